@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from loomwork.llm.ordered import identified, in_blocks, with_next_block
+from loomwork.llm.ordered import identified, with_next_block
 from loomwork.llm.shingles import mixed
+from loomwork.sized import join_small
 from loomwork.storage import checkpointed
 
 HASHES = 3
@@ -234,10 +235,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     share of paragraph digests in common: 1 for two empty texts.
     """
     rows = identified(documents)
-    blocks = checkpointed(rows.groupBy("block").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("first")))
+    blocks = checkpointed(rows.groupBy("block").agg(F.min("doc_id").alias("first")))
     following = with_next_block(blocks.select("block"))
-    guests = following.join(blocks.select(F.col("block").alias("next_block"), F.col("first.doc_id").alias("doc_id")), "next_block")
-    first = rows.join(guests.select(F.col("block").alias("of"), "doc_id"), "doc_id")
+    guests = following.join(blocks.select(F.col("block").alias("next_block"), F.col("first").alias("doc_id")), "next_block")
+    guests = checkpointed(guests.select(F.col("block").alias("of"), "doc_id"))
+    first = join_small(rows, guests, "doc_id")  # one id for each block: texts aren't shuffled for it
     first = first.groupBy("of", "doc_id").agg(F.min("text").alias("text"))
     every = rows.withColumn("guest", F.lit(False)).unionByName(
         first.select(F.col("of").alias("block"), "doc_id", "text", F.lit(True).alias("guest"))
