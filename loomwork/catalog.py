@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomwork.plans import event_queries, graph_queries, text_queries  # noqa: F401  (they register)
+from loomwork.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
