@@ -10,9 +10,23 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows that Python workers get at a time, where the session names no other number: rows may hold whole documents.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Python workers give freed memory back rather than keep it for the next task.
+_THRIFTY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers find this package at the driver's path; on clusters without it there, ship it with --py-files."""
+    """Sets up Python workers: they find this package at the driver's path, take small batches and keep little memory.
+
+    On clusters without the package at that path, ship it with --py-files.
+    """
     env = spark.sparkContext.environment
+    for name, value in _THRIFTY.items():
+        env.setdefault(name, value)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *[p for p in paths if p]])
