@@ -29,8 +29,8 @@ ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 BLOCK = 512
-#: Estimates deviate by about 0.04; pairs under the threshold by five times that are not confirmed.
-SLACK = 0.2
+#: Estimates deviate by about 0.04; pairs under the threshold by four times that are not confirmed.
+SLACK = 0.16
 
 _rng = np.random.default_rng(71993)
 _FACTOR = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,27 +172,46 @@ def _stars(members: DataFrame, round_: int) -> DataFrame:
     return best.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _across(threshold: float):
+def _met(block: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block: pairs of a home row and a minor row of different components that may reach the threshold.
+
+    Two sets may share several bands; they meet in the first of these only.
+    """
     per_cent = round(threshold * 100)
+    is_home = block["home"].to_numpy()
+    regs = np.frombuffer(b"".join(block["registers"]), "<u2").reshape(-1, REGISTERS)
+    n, node, label, at_band = (block[c].to_numpy() for c in ("n", "node", "label", "at"))
+    home, out = np.flatnonzero(is_home), []
+    for k in np.flatnonzero(~is_home):
+        fits = (label[home] != label[k]) & (np.minimum(n[home], n[k]) * 100 >= per_cent * np.maximum(n[home], n[k]))
+        rows = home[fits]
+        if len(rows):
+            same = regs[rows] == regs[k]
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at_band[k]
+            likely = estimate(same.mean(axis=1), n[rows], np.full(len(rows), n[k])) >= threshold - SLACK
+            out.append(np.stack([node[rows], np.full(len(rows), node[k])])[:, first & likely])
+    pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    return pairs.min(axis=0, initial=2**63 - 1), pairs.max(axis=0, initial=-(2**63))
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        """Of one block: pairs of a home row and a minor row of different components that may reach the threshold."""
-        home, minor = block[block["home"]], block[~block["home"]]
-        if not len(home) or not len(minor):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        side = [
-            (np.frombuffer(b"".join(x["registers"]), "<u2").reshape(-1, REGISTERS), x["n"].to_numpy(), x["node"].to_numpy(), x["label"].to_numpy())
-            for x in (home, minor)
-        ]
-        (regs, n, node, label), out = side[0], []
-        for r, m, other, other_label in zip(*side[1], strict=True):
-            fits = (label != other_label) & (np.minimum(n, m) * 100 >= per_cent * np.maximum(n, m))
-            at = np.flatnonzero(fits)
-            if len(at):
-                at = at[estimate((regs[at] == r).mean(axis=1), n[at], np.full(len(at), m)) >= threshold - SLACK]
-                out.append(np.stack([np.minimum(node[at], other), np.maximum(node[at], other)]))
-        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+def _across(threshold: float):
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by block; the last block of a batch waits for the rest of it."""
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            key = rows[["band", "i", "j"]].to_numpy()
+            edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            edges = np.r_[0, edge]
+            waiting = rows.iloc[edges[-1] :]
+            found = [_met(rows.iloc[x:y], threshold) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
+        if waiting is not None:
+            a, b = _met(waiting, threshold)
+            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     return pairs
 
@@ -213,11 +232,12 @@ def _rest(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     ))
     rows = members.join(per_band, "band")
     mix = F.xxhash64("node", "band")
-    home = rows.select("band", "node", "label", F.lit(True).alias("home"), F.pmod(mix, F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
-    minor = rows.where("label <> major").select("band", "node", "label", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(mix, F.col("mb")).alias("j"))
+    home = rows.select("band", "at", "node", "label", F.lit(True).alias("home"), F.pmod(mix, F.col("nb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"))
+    minor = rows.where("label <> major").select("band", "at", "node", "label", F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(mix, F.col("mb")).alias("j"))
     dealt = home.withColumn("i", F.col("i").cast("int")).unionByName(minor.withColumn("j", F.col("j").cast("int")))
     dealt = dealt.join(sets.select("node", "n", "registers"), "node")
-    return dealt.groupBy("band", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct()
+    sorted_ = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return sorted_.mapInPandas(_across(threshold), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -238,7 +258,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.75) -> DataFrame:
         "sets",
     )
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})))")
-    banded = nodes.select("node", F.explode(keys).alias("band"))
+    banded = nodes.select("node", F.posexplode(keys).alias("at", "band"))
     shared = checkpointed(banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band"))
     members = written(banded.join(shared, "band"), "members")
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
