@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.ids import default_tokenizer, encoder
 from loomwork.llm.ordered import identified, in_blocks, with_start
+from loomwork.sized import join_small
 from loomwork.storage import checkpointed, written
 
 MAGIC = 0x3150424C
@@ -147,7 +148,8 @@ def read_files(images: DataFrame) -> DataFrame:
     inner = parts.alias("a").join(parts.alias("b"), F.expr("a.block = b.block AND b.part < a.part"), "left")
     inner = inner.groupBy("a.block", "a.part").agg(F.coalesce(F.sum("b.n_ids"), F.lit(0)).alias("within"))
     where = starts.join(inner, "block").select("block", "part", (F.col("before") + F.col("within")).alias("start"))
-    return images.join(where, ["block", "part"]).mapInPandas(_reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row for each image of up to IMAGE ids; the images themselves aren't shuffled
+    return join_small(images, checkpointed(where), ["block", "part"]).mapInPandas(_reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
