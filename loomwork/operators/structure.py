@@ -93,7 +93,7 @@ LAYERS = [
 def layer(path: Column, own: list[tuple[str, str]] | None = None) -> Column:
     """struct(block, rule) of a file: a user's own globs first, then the rules in order, else unknown."""
     out = F.struct(F.lit("unknown").alias("block"), F.lit("none").alias("rule"))
-    rules = [(block, f"own:{glob}", fn.glob_pattern(glob)) for glob, block in own or []] + LAYERS
+    rules = [(block, f"own:{glob}", fn.glob_pattern(glob)) for block, glob in own or []] + LAYERS
     for block, rule, pattern in reversed(rules):
         out = F.when(path.rlike(pattern), F.struct(F.lit(block).alias("block"), F.lit(rule).alias("rule"))).otherwise(out)
     return out
