@@ -24,7 +24,7 @@ BITS = 18
 CHUNK = 4096
 #: Rows of each label that the regression is fitted on, and the n-grams of each that count: those with the largest ratios.
 SAMPLE = {1: 1000, 0: 2000}
-SAMPLE_GRAMS = 4096
+SAMPLE_GRAMS = 3072
 ROUNDS, PENALTY = 40, 1e-4
 
 
@@ -113,20 +113,21 @@ def _sampled(ratio: np.ndarray):
 
 def _regression(sample: list[np.ndarray], label: np.ndarray, share: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of least penalised logistic loss, by adaptive gradient steps over the whole sample."""
-    at = np.concatenate(sample) if sample else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(sample)), [len(x) for x in sample])
-    value = ratio[at].astype(np.float32)
+    size = np.array([len(x) for x in sample], np.int64)
+    used = np.unique(np.concatenate([np.empty(0, np.int32), *sample]))
+    at = np.searchsorted(used, np.concatenate([np.empty(0, np.int32), *sample])).astype(np.int32)
+    value = ratio[used][at]
+    row = np.repeat(np.arange(len(sample), dtype=np.int32), size)
     length = np.sqrt(np.bincount(row, value * value, len(sample)))
     value /= np.where(length > 0, length, 1).astype(np.float32)[row]
-    used, at = np.unique(at, return_inverse=True)
-    weight, bias = np.zeros(len(used)), float(np.log(max(share[label == 1].sum(), 1e-9) / max(share[label == 0].sum(), 1e-9)))
+    weight, bias = np.zeros(len(used), np.float32), float(np.log(max(share[label == 1].sum(), 1e-9) / max(share[label == 0].sum(), 1e-9)))
     step_w, step_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(ROUNDS):
         z = np.bincount(row, value * weight[at], len(sample)) + bias
         miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) * share
-        slope = np.bincount(at, value * miss[row], len(used)) + PENALTY * weight
+        slope = np.bincount(at, value * miss.astype(np.float32)[row], len(used)) + PENALTY * weight
         step_w += slope * slope
-        weight -= 1.5 * slope / np.sqrt(step_w)
+        weight -= (1.5 * slope / np.sqrt(step_w)).astype(np.float32)
         step_b += miss.sum() ** 2
         bias -= 0.3 * miss.sum() / np.sqrt(step_b)
     full = np.zeros(2**BITS, np.float32)
