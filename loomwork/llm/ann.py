@@ -126,16 +126,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores of the k best of a block; rough scores only narrow the choice, with room for their rounding."""
-    rough = np.where(ids == query_id, -np.inf, rough)
-    n = min(k, int((ids != query_id).sum()))
+def _best(ids: np.ndarray, vectors: np.ndarray, allowed: np.ndarray, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and exact scores of the k best allowed ones of a block; rough scores only narrow the choice, with room for their rounding."""
+    n = min(k, int(allowed.sum()))
     if n == 0:
         return np.empty(0, np.int64), np.empty(0)
+    rough = np.where(allowed, rough, -np.inf)
     edge = np.partition(rough, len(rough) - n)[len(rough) - n]
     room = 1e-12 * (1 + np.abs(query).sum() * np.abs(vectors).max())
     at = np.flatnonzero(rough >= edge - room)
-    at = at[ids[at] != query_id]
+    at = at[allowed[at]]
     score = (vectors[at] * query).sum(axis=1)
     order = np.lexsort((ids[at], -score))[:k]
     return at[order], score[order]
@@ -144,18 +144,22 @@ def _best(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray
 _FOUND = "query_id long, vec_id long, score double, leaf int"
 
 
+def _rows(query_id: int, ids: np.ndarray, score: np.ndarray, leaf: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.full(len(ids), query_id), "vec_id": ids, "score": score, "leaf": leaf})
+
+
 def _block(k: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         asked = rows[rows["is_query"]]
         held = rows[~rows["is_query"]]
-        out = []
+        out = [_rows(0, np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         if len(asked) and len(held):
-            ids, vectors, leaf = held["id"].to_numpy(), _matrix(held["vector"]), held["leaf"].to_numpy()
+            ids, vectors, leaf = held["id"].to_numpy(), _matrix(held["vector"]), held["leaf"].to_numpy().astype(np.int64)
             queries = _matrix(asked["vector"])
-            for q, query, rough in zip(asked["id"], queries, queries @ vectors.T, strict=True):
-                at, score = _best(ids, vectors, q, query, rough, k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": score, "leaf": leaf[at]}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+            for q, query, leaves, rough in zip(asked["id"], queries, asked["leaves"], queries @ vectors.T, strict=True):
+                at, score = _best(ids, vectors, np.isin(leaf, leaves) & (ids != q), query, rough, k)
+                out.append(_rows(q, ids[at], score, leaf[at]))
+        return pd.concat(out)
 
     return search
 
@@ -172,8 +176,8 @@ def _brute(indexed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) ->
             if len(batch):
                 vec_ids, vectors, leaf = batch["id"].to_numpy(), _matrix(batch["vector"]), batch["leaf"].to_numpy()
                 for q, query, rough in zip(ids, queries, queries @ vectors.T, strict=True):
-                    at, score = _best(vec_ids, vectors, q, query, rough, k)
-                    yield pd.DataFrame({"query_id": q, "vec_id": vec_ids[at], "score": score, "leaf": leaf[at]})
+                    at, score = _best(vec_ids, vectors, vec_ids != q, query, rough, k)
+                    yield _rows(q, vec_ids[at], score, leaf[at])
 
     return _top(indexed.select("id", "vector", "leaf").mapInPandas(scan, _FOUND), k).toPandas()
 
@@ -189,6 +193,17 @@ def calibrate(tree: Tree, truth: pd.DataFrame, queries: dict[int, np.ndarray], r
     return int(np.sort(when)[min(len(when) - 1, int(np.ceil(recall * len(when))) - 1)])
 
 
+def _buckets(per_leaf: dict[int, int]) -> dict[int, int]:
+    """Neighbouring leaves as buckets of about VECTORS rows; a larger leaf has one of its own."""
+    out, now, size = {}, 0, 0
+    for leaf in sorted(per_leaf):
+        if size and size + per_leaf[leaf] > VECTORS:
+            now, size = now + 1, 0
+        out[leaf] = now
+        size += per_leaf[leaf]
+    return out
+
+
 def neighbours(
     embeddings: DataFrame, queries: Column, k: int = NEIGHBOURS, recall: float = RECALL, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -229,35 +244,43 @@ def neighbours(
     width = calibrate(tree, truth, dict(zip(some["id"], _matrix(some["vector"]), strict=True)), recall)
     per_leaf = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row for each leaf
 
+    bucket = _buckets(per_leaf)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for q, query in zip(batch["id"], batch["vector"], strict=True):
-                seen, met = [], 0
-                for leaf in shared.value.visits(np.asarray(query, np.float64)):
-                    if len(seen) >= width and met > k:
+            visits = []
+            for query in batch["vector"]:
+                seen, met = {}, 0
+                for n, leaf in enumerate(shared.value.visits(np.asarray(query, np.float64))):
+                    if n >= width and met > k:
                         break
-                    seen.append(leaf)
-                    met += per_leaf.get(leaf, 0)
-                out.append(pd.DataFrame({"id": q, "vector": [query] * len(seen), "leaf": seen}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "vector": [], "leaf": []})
-
-    visits = asking.mapInPandas(walk, "id long, vector array<double>, leaf int").withColumn("is_query", F.lit(True))
-    asked = checkpointed(visits.groupBy("leaf").agg(F.count("*").alias("q")))
-    blocks = indexed.groupBy("leaf").agg(F.count("*").alias("n")).join(asked, "leaf").select(
-        "leaf", F.ceil(F.col("n") / VECTORS).cast("int").alias("nb"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qb")
-    )
-    blocks = checkpointed(blocks)
+                    if leaf in bucket:
+                        seen.setdefault(bucket[leaf], []).append(leaf)
+                        met += per_leaf[leaf]
+                visits.append([{"bucket": b, "leaves": leaves} for b, leaves in seen.items()])
+            yield batch.assign(visits=visits)
+
+    walked = asking.mapInPandas(walk, "id long, vector array<double>, visits array<struct<bucket:int,leaves:array<int>>>")
+    walked = written(walked, "walks").select("id", "vector", F.explode("visits").alias("v"))
+    visits = walked.select("id", "vector", F.lit(None).cast("int").alias("leaf"), "v.leaves", F.lit(True).alias("is_query"), "v.bucket")
+    in_bucket: dict[int, int] = {}
+    for leaf, n in per_leaf.items():
+        in_bucket[bucket[leaf]] = in_bucket.get(bucket[leaf], 0) + n
+    of_leaf = spark.createDataFrame(sorted(bucket.items()), "leaf int, bucket int")
+    sizes = spark.createDataFrame([(b, -(-n // VECTORS)) for b, n in sorted(in_bucket.items())], "bucket int, nb int")
+    asked = visits.groupBy("bucket").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qb"))
+    blocks = checkpointed(sizes.join(asked, "bucket"))
 
     def dealt(part: DataFrame, own: str, other: str) -> DataFrame:
         """Rows in blocks: one of their own kind by hash, all of the other kind."""
-        part = join_small(part, blocks, "leaf")
+        part = join_small(part, blocks, "bucket")
         mine = F.pmod(F.xxhash64(F.lit(2), "id"), F.col(own)).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         columns = {own: mine, other: each}
-        return part.select("id", "vector", "leaf", "is_query", columns["nb"].alias("i"), columns["qb"].alias("j"))
+        return part.select("id", "vector", "leaf", "leaves", "is_query", "bucket", columns["nb"].alias("i"), columns["qb"].alias("j"))
 
-    held = indexed.select("id", "vector", "leaf").withColumn("is_query", F.lit(False))
+    held = join_small(indexed.select("id", "vector", "leaf"), of_leaf, "leaf")
+    held = held.withColumns({"is_query": F.lit(False), "leaves": F.lit(None).cast("array<int>")})
     every = dealt(held, "nb", "qb").unionByName(dealt(visits, "qb", "nb"))
-    found = every.groupBy("leaf", "i", "j").applyInPandas(_block(k), _FOUND)
+    found = every.groupBy("bucket", "i", "j").applyInPandas(_block(k), _FOUND)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
