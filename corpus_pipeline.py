@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import linededup, mixing, neardup, packing, toxicity
 from loomwork.session import ready
+from loomwork.sized import join_small
 from loomwork.storage import written
 
 
@@ -26,12 +27,13 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each group of near duplicates the document with the least doc_id stays; rows without a doc_id stay."""
     kept = written(neardup.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    stay = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi") if not _small(kept) else docs.join(F.broadcast(kept), "doc_id", "left_semi")
+    stay = join_small(docs.dropDuplicates(), kept, "doc_id", "left_semi") if _repeated(docs) else join_small(docs, kept, "doc_id", "left_semi")
     return stay.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
-def _small(ids: DataFrame) -> bool:
-    return ids.limit(1_000_001).count() <= 1_000_000
+def _repeated(docs: DataFrame) -> bool:
+    """Whether a doc_id comes twice: only then rows are compared whole."""
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

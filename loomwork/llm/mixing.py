@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.sized import join_small
@@ -50,7 +50,8 @@ class Raked:
     rounds: int
 
 
-def _shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
+def shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
+    """The target shares of a dimension's values, from their tokens."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("t"))
     total = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("t")).first()["t"]
     return sums.select(dimension, (F.pow("t", F.lit(power)) / F.lit(total)).alias("share"))
@@ -59,25 +60,36 @@ def _shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> Raked:
     """Weights of the cells whose marginals meet the targets (tables of a dimension's value and its share).
 
-    cells has one row for each combination that occurs: a product of three small
-    vocabularies, far fewer rows than documents, though never collected.
+    cells has a row for each combination that occurs.  Sources may be very many: their
+    factors stay in Spark, computed over the few cells of each source.  Languages and
+    topics are short vocabularies: the table of the two is brought to its targets on the driver.
     """
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"]
-    now = checkpointed(cells.withColumn("weight", F.col("tokens") / F.lit(total)))
-    error = 0.0
-    for done in range(1, rounds + 1):
+    table = checkpointed(cells.join(targets["source"].withColumnRenamed("share", "aim"), "source"))
+    aims = [{r[d]: r["share"] for r in targets[d].collect()} for d in ("lang", "topic")]
+    factor = {(r["lang"], r["topic"]): 1.0 for r in table.select("lang", "topic").distinct().collect()}
+    one_source = Window.partitionBy("source")
+    error, done = 0.0, 0
+    while True:
+        done += 1
+        factors = cells.sparkSession.createDataFrame([(*k, f) for k, f in sorted(factor.items())], "lang string, topic string, f double")
+        scaled = table.join(F.broadcast(factors), ["lang", "topic"]).withColumn("x", F.col("tokens") * F.col("f"))
+        weighed = scaled.withColumn("weight", F.col("aim") * F.col("x") / F.sum("x").over(one_source))
+        now = {(r["lang"], r["topic"]): r["w"] for r in weighed.groupBy("lang", "topic").agg(F.sum("weight").alias("w")).collect()}
         gaps = []
-        for k, dimension in enumerate(DIMENSIONS):
-            sums = now.groupBy(dimension).agg(F.sum("weight").alias("s")).join(targets[dimension], dimension)
-            factor = sums.select(dimension, (F.col("share") / F.col("s")).alias("f"), F.abs(F.col("share") - F.col("s")).alias(f"gap{k}"))
-            now = now.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-            gaps.append(f"gap{k}")
-        now = checkpointed(now)
-        error = now.agg(F.max(F.greatest(*gaps)).alias("e")).first()["e"] or 0.0
-        now = now.drop(*gaps)
-        if error < CLOSE:
-            break
-    return Raked(now, float(error), done)
+        for place, aim in enumerate(aims):
+            sums: dict[str, float] = {}
+            for k in sorted(now):
+                sums[k[place]] = sums.get(k[place], 0.0) + now[k]
+            gaps += [abs(aim[v] - s) for v, s in sums.items()] if place == 0 else []
+            for k in now:
+                by = aim[k[place]] / sums[k[place]]
+                now[k] *= by
+                factor[k] *= by
+            if place:
+                gaps += [abs(aim[v] - s) for v, s in sums.items()]
+        error = max(gaps)
+        if error < CLOSE or done >= rounds:
+            return Raked(checkpointed(weighed.select("source", "lang", "topic", "tokens", "weight")), error, done)
 
 
 def _calibrated(cells: DataFrame, budget: float) -> DataFrame:
@@ -115,7 +127,7 @@ def mixed(documents: DataFrame, keep: float = KEEP, seed: int = 7, added: bool =
     if cells.isEmpty():
         chosen = rows.withColumn("__p", F.lit(0.0))
     else:
-        targets = {d: checkpointed(_shares(cells, d, POWER[d])) for d in DIMENSIONS}
+        targets = {d: shares(cells, d, POWER[d]) for d in DIMENSIONS}
         total = cells.agg(F.sum("tokens").alias("t")).first()["t"]
         calibrated = checkpointed(_calibrated(rake(cells, targets).cells, keep * total))
         small = calibrated.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))

@@ -74,7 +74,7 @@ def test_raking_meets_the_targets(spark):
         [(s, l, t, float(n)) for s, l, t, n in [("a", "en", "x", 900), ("a", "fr", "y", 50), ("b", "en", "y", 100), ("b", "fr", "x", 30), ("a", "en", "y", 70), ("b", "en", "x", 60)]],
         "source string, lang string, topic string, tokens double",
     )
-    targets = {d: mixing._shares(cells, d, mixing.POWER[d]) for d in mixing.DIMENSIONS}
+    targets = {d: mixing.shares(cells, d, mixing.POWER[d]) for d in mixing.DIMENSIONS}
     raked = mixing.rake(cells, targets)
     assert raked.error < 1e-6
     for d in mixing.DIMENSIONS:
