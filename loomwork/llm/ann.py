@@ -27,7 +27,7 @@ SAMPLE, BRANCH, LEAF = 20_000, 8, 48
 #: Queries searched by brute force, and the share of their neighbours to meet.
 CALIBRATION, RECALL = 128, 0.97
 #: Rows of vectors and of queries that a task holds at a time.
-VECTORS, QUERIES = 2048, 512
+VECTORS, QUERIES = 8192, 512
 NEIGHBOURS = 20
 
 
@@ -148,18 +148,22 @@ def _rows(query_id: int, ids: np.ndarray, score: np.ndarray, leaf: np.ndarray) -
     return pd.DataFrame({"query_id": np.full(len(ids), query_id), "vec_id": ids, "score": score, "leaf": leaf})
 
 
+_BEST = "query_id long, best array<struct<away:double,vec_id:long>>"
+
+
 def _block(k: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        """One row for each query of the block: its best, nearest first, with the score's negative."""
         asked = rows[rows["is_query"]]
         held = rows[~rows["is_query"]]
-        out = [_rows(0, np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        out = []
         if len(asked) and len(held):
             ids, vectors, leaf = held["id"].to_numpy(), _matrix(held["vector"]), held["leaf"].to_numpy().astype(np.int64)
             queries = _matrix(asked["vector"])
             for q, query, leaves, rough in zip(asked["id"], queries, asked["leaves"], queries @ vectors.T, strict=True):
                 at, score = _best(ids, vectors, np.isin(leaf, leaves) & (ids != q), query, rough, k)
-                out.append(_rows(q, ids[at], score, leaf[at]))
-        return pd.concat(out)
+                out.append((q, [{"away": -s, "vec_id": i} for s, i in zip(score.tolist(), ids[at].tolist(), strict=True)]))
+        return pd.DataFrame(out, columns=["query_id", "best"])
 
     return search
 
@@ -260,7 +264,8 @@ def neighbours(
                 visits.append([{"bucket": b, "leaves": leaves} for b, leaves in seen.items()])
             yield batch.assign(visits=visits)
 
-    walked = asking.mapInPandas(walk, "id long, vector array<double>, visits array<struct<bucket:int,leaves:array<int>>>")
+    parts = max(1, -(-asking.count() // 256))  # walks cost time rather than bytes, so they are dealt by count
+    walked = asking.repartition(parts, "id").mapInPandas(walk, "id long, vector array<double>, visits array<struct<bucket:int,leaves:array<int>>>")
     walked = written(walked, "walks").select("id", "vector", F.explode("visits").alias("v"))
     visits = walked.select("id", "vector", F.lit(None).cast("int").alias("leaf"), "v.leaves", F.lit(True).alias("is_query"), "v.bucket")
     in_bucket: dict[int, int] = {}
@@ -282,5 +287,8 @@ def neighbours(
     held = join_small(indexed.select("id", "vector", "leaf"), of_leaf, "leaf")
     held = held.withColumns({"is_query": F.lit(False), "leaves": F.lit(None).cast("array<int>")})
     every = dealt(held, "nb", "qb").unionByName(dealt(visits, "qb", "nb"))
-    found = every.groupBy("bucket", "i", "j").applyInPandas(_block(k), _FOUND)
-    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = every.groupBy("bucket", "i", "j").applyInPandas(_block(k), _BEST)
+    # a query has one row from each block that it visits
+    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    each = merged.select("query_id", F.posexplode("best").alias("at", "b"))
+    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.away")).alias("score"))
