@@ -24,9 +24,9 @@ from loomwork.llm.ordered import identified, in_blocks
 WINDOW = 2048
 END = 1
 #: Cost of a cut at the end of a sentence and inside one, in tokens of padding.
-SENTENCE, INSIDE = 24, 96
+SENTENCE, INSIDE = 6, 24
 #: Cuts inside a sentence stand so many tokens apart.
-STRIDE = 256
+STRIDE = 128
 #: Windows are numbered inside their block; a block has fewer than this.
 NUMBERS = 2**24
 
@@ -69,7 +69,7 @@ def candidates(sizes: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tup
     soft = soft[(soft > 0) & (soft < total)]
     edges = np.r_[0, soft, total]
     gap = np.diff(edges)
-    hard = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(edges[:-1][gap > window // 2], edges[1:][gap > window // 2], strict=True)]
+    hard = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(edges[:-1][gap > 2 * STRIDE], edges[1:][gap > 2 * STRIDE], strict=True)]
     place = np.concatenate([soft, *hard, [total]]).astype(np.int64)
     cost = np.concatenate([np.full(len(soft), SENTENCE), *[np.full(len(h), INSIDE) for h in hard], [0]]).astype(np.int64)
     order = np.argsort(place, kind="stable")
