@@ -117,18 +117,19 @@ _ADDRESS = re.compile(
 _HALF = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:\.{_NAME})*@[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]+", re.IGNORECASE)
 _PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}[ ]?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[ ]?{_CLOSE}", re.IGNORECASE)
-_MAY_DISGUISE = re.compile(rf"[\[({{<][ ]?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[ ]?[\])}}>]|[ ](?:{_DOT_WORDS})[ ]")  # of a text in lower case
+#: Dots between groups of digits.
+_DOTTED = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.IGNORECASE)
+#: Stands in every match of the three patterns that gets edits: a bare word for @ counts only beside a disguised dot.
+_MAY_DISGUISE = re.compile(rf"{_BRACKETED.pattern}|[ ](?:{_DOT_WORDS})[ ]|[ ]@[ ]", re.IGNORECASE)
 # Last labels of addresses that are written out in words only.
 _LAST = frozenset("com org net edu gov mil int info biz io ai co me tv eu uk us de fr es it nl pl pt ch at be se no dk fi ie ca au nz jp cn in br mx ar ru example test invalid".split())
 
 _NUMBER = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(
-    rf"(?:\b(?:{_PLUS_WORDS})[ -]+|\+[ ]?)?\b(?:(?:{_NUMBER})\b|[0-9]+)(?:(?:[ ,-]+|[ ]*\.[ ]*|[ ]+(?:{_DOT_WORDS})[ ]+)(?:\b(?:{_NUMBER})\b|[0-9]+))*", re.IGNORECASE
-)
-_RUN = re.compile(rf"\b(?:{_NUMBER})(?:[ ,.-]+(?:(?:{_DOT_WORDS})[ ]+)?(?:{_NUMBER}|[0-9]+)){{3}}")  # of a text in lower case
-_SPELLED_PART = re.compile(
-    rf"(?P<plus>\b(?:{_PLUS_WORDS})[ -]+)|(?P<digit>\b(?:{_NUMBER})\b)|(?P<dot>[ ]+(?:{_DOT_WORDS})[ ]+)|(?P<gap>[ ,-]+)", re.IGNORECASE
-)
+_SPELLED_DIGIT, _STEP = rf"\b(?:{_NUMBER})\b", rf"(?:[ ,-]+|[ ]*\.[ ]*|{_DOT})"
+_SPELLED = re.compile(rf"(?:\b(?:{_PLUS_WORDS})[ -]+|\+[ ]?)?\b(?:{_SPELLED_DIGIT}|[0-9]+)(?:{_STEP}(?:{_SPELLED_DIGIT}|[0-9]+))*", re.IGNORECASE)
+#: Stands in every match of _SPELLED that is of use: no identifier is one word, so a spelled digit has a neighbour.
+_MAY_SPELL = re.compile(rf"{_SPELLED_DIGIT}{_STEP}(?:{_SPELLED_DIGIT}|[0-9])|[0-9]{_STEP}{_SPELLED_DIGIT}", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(?P<plus>\b(?:{_PLUS_WORDS})[ -]+)|(?P<digit>{_SPELLED_DIGIT})|(?P<dot>{_DOT})|(?P<gap>[ ,-]+)", re.IGNORECASE)
 
 Edit = tuple[int, int, str]
 
@@ -175,9 +176,9 @@ def _character_edits(text: str) -> list[Edit]:
 
 
 def _address_edits(text: str) -> list[Edit]:
-    if not _MAY_DISGUISE.search(text.lower()):
+    if not _MAY_DISGUISE.search(text):
         return []
-    out = []
+    out = [(*m.span(), ".") for m in _DOTTED.finditer(text)]
     for pattern in (_ADDRESS, _HALF):
         for m in pattern.finditer(text):
             parts = list(_PART.finditer(text, m.start(), m.end()))
@@ -199,12 +200,12 @@ def _apart(edits: list[Edit]) -> list[Edit]:
 
 
 def _digit_edits(text: str) -> list[Edit]:
-    if not _RUN.search(text.lower()):
+    if not _MAY_SPELL.search(text):
         return []
     out = []
     for m in _SPELLED.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
-        if sum(bool(p["digit"]) for p in parts) < 4:
+        if not any(p["digit"] for p in parts):
             continue
         for p in parts:
             new = "+" if p["plus"] else _DIGITS[p[0].lower()] if p["digit"] else "." if p["dot"] else ""
@@ -213,25 +214,34 @@ def _digit_edits(text: str) -> list[Edit]:
 
 
 def disguised(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers that only the normalised text shows, as spans of the source, without those that overlap found ones of their kind."""
+    """Identifiers that only a normalised text shows, as spans of the source.
+
+    The detectors run after each rewriting, so that a later one hides nothing.  Of
+    spans of one kind that overlap the longest counts; those that overlap found ones
+    of their kind count only if they hold them and more.
+    """
     steps: list[Rewritten] = []
-    now = text
+    now, shown = text, set()
     for edits in (_character_edits, _address_edits, _digit_edits):
         made = edits(now)
-        if made:
-            steps.append(Rewritten(now, made))
-            now = steps[-1].text
-    if not steps:
-        return []
-    out = []
-    for kind, start, end in plain(now):
-        touched = False
-        for step in reversed(steps):
-            touched = touched or step.touches(start, end)
-            start, end = step.source(start, end)
-        if touched and not any(k == kind and a < end and b > start for k, a, b in found):
+        if not made:
+            continue
+        steps.append(Rewritten(now, made))
+        now = steps[-1].text
+        for kind, start, end in plain(now):
+            touched = False
+            for step in reversed(steps):
+                touched = touched or step.touches(start, end)
+                start, end = step.source(start, end)
+            if touched:
+                shown.add((kind, start, end))
+    out: list[tuple[str, int, int]] = []
+    for kind, start, end in sorted(shown, key=lambda s: (s[1] - s[2], s)):
+        over = [(a, b) for k, a, b in found if k == kind and a < end and b > start]
+        longer = all(start <= a and b <= end and (a, b) != (start, end) for a, b in over)
+        if longer and not any(k == kind and a < end and b > start for k, a, b in out):
             out.append((kind, start, end))
-    return out
+    return _sorted(out)
 
 
 _OUT = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"

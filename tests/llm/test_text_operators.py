@@ -137,6 +137,21 @@ def test_no_disguise(text):
     assert pii.disguised(text, pii.plain(text)) == []
 
 
+@pytest.mark.parametrize("text, kind, span", [
+    ("at 192[.]168[.]1[.]20 now", "ip", "192[.]168[.]1[.]20"),
+    ("at 192 dot 168 dot 1 dot 20 now", "ip", "192 dot 168 dot 1 dot 20"),
+    ("one nine two [dot] 168 [dot] 1 [dot] two zero", "ip", "one nine two [dot] 168 [dot] 1 [dot] two zero"),
+    ("call +1 555 123 four five six 7 now", "phone", "+1 555 123 four five six 7"),
+    ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ("mail john.smith @ example.com", "email", "john.smith @ example.com"),
+    ("mail john@mail.example [dot] com", "email", "john@mail.example [dot] com"),
+    ("card ４１１１ １１１１ １１１１ １１１１ one of", "card", "４１１１ １１１１ １１１１ １１１１"),
+])
+def test_disguises_of_digits_and_signs(text, kind, span):
+    (found,) = pii.disguised(text, pii.plain(text))
+    assert found[0] == kind and text[found[1] : found[2]] == span
+
+
 def test_personal_data_rows(spark):
     rows = [(1, "a@b.co and 1.2.3.4", "s"), (2, None, "s"), (None, "", "s"), (1, "a@b.co and 1.2.3.4", "s"), (3, "j [at] b [dot] com", "s")]
     found = pii.digest(pii.personal_data(docs(spark, rows))).collect()
