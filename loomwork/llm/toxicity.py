@@ -3,13 +3,17 @@
 An n-gram's ratio compares how many toxic and how many other labelled documents
 have it.  A document is the set of its n-grams (hashed to 2**BITS buckets), each
 with its ratio as value, scaled to length one; a logistic regression weighs them.
-Ratios come from all labelled rows; the regression is fitted on a bounded sample.
+Ratios come from all labelled rows; the regression is fitted on every n-gram of a
+bounded sample of rows.
 """
 
 from __future__ import annotations
 
+import tempfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -22,9 +26,10 @@ from loomwork.storage import checkpointed
 SIZES = (4, 5)
 BITS = 18
 CHUNK = 4096
-#: Rows of each label that the regression is fitted on, and the n-grams of each that count: those with the largest ratios.
+#: Rows of each label that the regression is fitted on.
 SAMPLE = {1: 1000, 0: 2000}
-SAMPLE_GRAMS = 3072
+#: N-grams of the sample that are in the driver's memory at once, or those of one row if it has more.
+BLOCK = 2**19
 ROUNDS, PENALTY = 40, 1e-4
 
 
@@ -97,42 +102,65 @@ def gram_counts(labelled: DataFrame) -> np.ndarray:
     return out
 
 
-def _sampled(ratio: np.ndarray):
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                at = grams(text)
-                if len(at) > SAMPLE_GRAMS:
-                    at = np.sort(at[np.argsort(-np.abs(ratio[at]), kind="stable")[:SAMPLE_GRAMS]])
-                out.append(at.astype(np.int32).tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": out})
-
-    return features
-
-
-def _regression(sample: list[np.ndarray], label: np.ndarray, share: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": [grams(t).astype(np.int32).tobytes() for t in batch["text"]]})
+
+
+class _Vectors:
+    """The n-grams of the sampled rows in a file of the driver, read in blocks of whole rows."""
+
+    def __init__(self, rows: DataFrame, file: BinaryIO):
+        found, end = [], 0
+        for row in rows.toLocalIterator():
+            at = bytes(row["at"])
+            file.write(at)
+            found.append((row["label"], row["doc_id"], len(at), zlib.crc32(at), end))
+            end += len(at)
+        found.sort()
+        self.label = np.array([f[0] for f in found])
+        self._file, self._size, self._start = file, [f[2] for f in found], [f[4] for f in found]
+
+    def _read(self, k: int) -> np.ndarray:
+        self._file.seek(self._start[k])
+        return np.frombuffer(self._file.read(self._size[k]), np.int32)
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, and of each of their n-grams the row in the block and the bucket."""
+        first = 0
+        while first < len(self._size):
+            last, total = first + 1, self._size[first]
+            while last < len(self._size) and total + self._size[last] <= 4 * BLOCK:
+                total += self._size[last]
+                last += 1
+            parts = [self._read(k) for k in range(first, last)]
+            yield slice(first, last), np.repeat(np.arange(last - first), [len(p) for p in parts]), np.concatenate(parts)
+            first = last
+
+
+def _regression(sample: _Vectors, share: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of least penalised logistic loss, by adaptive gradient steps over the whole sample."""
-    size = np.array([len(x) for x in sample], np.int64)
-    used = np.unique(np.concatenate([np.empty(0, np.int32), *sample]))
-    at = np.searchsorted(used, np.concatenate([np.empty(0, np.int32), *sample])).astype(np.int32)
-    value = ratio[used][at]
-    row = np.repeat(np.arange(len(sample), dtype=np.int32), size)
-    length = np.sqrt(np.bincount(row, value * value, len(sample)))
-    value /= np.where(length > 0, length, 1).astype(np.float32)[row]
-    weight, bias = np.zeros(len(used), np.float32), float(np.log(max(share[label == 1].sum(), 1e-9) / max(share[label == 0].sum(), 1e-9)))
-    step_w, step_b = np.full(len(used), 1e-8), 1e-8
+    label = sample.label
+    length = np.empty(len(label))
+    for rows, row, at in sample.blocks():
+        length[rows] = np.sqrt(np.bincount(row, ratio[at].astype(np.float64) ** 2, rows.stop - rows.start))
+    scale = 1 / np.where(length > 0, length, 1)
+    weight, bias = np.zeros(len(ratio), np.float32), float(np.log(max(share[label == 1].sum(), 1e-9) / max(share[label == 0].sum(), 1e-9)))
+    step_w, step_b = np.full(len(ratio), 1e-8), 1e-8
     for _ in range(ROUNDS):
-        z = np.bincount(row, value * weight[at], len(sample)) + bias
-        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) * share
-        slope = np.bincount(at, value * miss.astype(np.float32)[row], len(used)) + PENALTY * weight
+        slope, total = np.zeros(len(ratio)), 0.0
+        scaled = ratio * weight
+        for rows, row, at in sample.blocks():
+            z = np.bincount(row, scaled[at], rows.stop - rows.start) * scale[rows] + bias
+            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) * share[rows]
+            slope += np.bincount(at, (miss * scale[rows])[row], len(ratio))
+            total += miss.sum()
+        slope = slope * ratio + PENALTY * weight
         step_w += slope * slope
         weight -= (1.5 * slope / np.sqrt(step_w)).astype(np.float32)
-        step_b += miss.sum() ** 2
-        bias -= 0.3 * miss.sum() / np.sqrt(step_b)
-    full = np.zeros(2**BITS, np.float32)
-    full[used] = weight
-    return full, float(bias)
+        step_b += total**2
+        bias -= 0.3 * total / np.sqrt(step_b)
+    return weight, float(bias)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -154,11 +182,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     none, some = gram_counts(labelled) + 1.0
     ratio = np.log((some / (total[1] + 2)) / (none / (total[0] + 2))).astype(np.float32)
     chosen = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
-    rows = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").mapInPandas(_sampled(ratio), "doc_id long, label int, at binary")
-    rows = sorted(rows.collect(), key=lambda r: (r["label"], r["doc_id"], bytes(r["at"])))
-    y = np.array([r["label"] for r in rows])
-    share = np.where(y == 1, total[1] / max((y == 1).sum(), 1), total[0] / max((y == 0).sum(), 1)) / (total[0] + total[1])
-    weight, bias = _regression([np.frombuffer(r["at"], np.int32) for r in rows], y, share, ratio)
+    rows = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").mapInPandas(_sampled, "doc_id long, label int, at binary")
+    with tempfile.TemporaryFile() as file:
+        sample = _Vectors(checkpointed(rows).coalesce(8), file)
+        y = sample.label
+        share = np.where(y == 1, total[1] / max((y == 1).sum(), 1), total[0] / max((y == 0).sum(), 1)) / (total[0] + total[1])
+        weight, bias = _regression(sample, share, ratio)
     return Model(ratio, weight, bias)
 
 

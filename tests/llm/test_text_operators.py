@@ -45,6 +45,20 @@ def test_toxicity_drops_and_keeps(labelled, spark):
     assert toxicity.toxicity(labelled[0], labelled[1].limit(0)).select("score").distinct().count() == 1
 
 
+def test_toxicity_fits_every_gram_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 9000, raising=False)
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n))
+    rows = [(k, words(700) + (" you moron " if k % 2 else " quiet river "), "s") for k in range(12)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    for _, text, _ in rows:
+        at = toxicity.grams(text)
+        assert len(at) > 4000
+        assert (model.weight[at[model.ratio[at] != 0]] != 0).mean() > 0.99
+        assert (model.score(text) >= 0.5) == (text.endswith(" you moron "))
+
+
 # line dedup
 
 
