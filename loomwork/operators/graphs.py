@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +45,23 @@ def fan(edges: DataFrame, least: int) -> DataFrame:
     return out.union(into).where(F.col("n") >= least)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """node, depth: what the start nodes reach, at the least number of steps; nodes in stops are reached but not left.
 
-    Breadth first: each round joins the newest nodes only, and is checkpointed.
+    Breadth first: each round joins the newest nodes only, and is checkpointed.  Rounds
+    go on until nothing is new; where most is given and more are needed, it raises.
     """
     found = checkpointed(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     newest = found
     links = edges.select("src", "dst").distinct()
-    for depth in range(1, most + 1):
+    for depth in count(1):
         leaving = newest if stops is None else newest.join(stops.select("node"), "node", "left_anti")
         reached = links.join(leaving.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         newest = checkpointed(reached.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"nodes more than {most} steps away")
         found = checkpointed(found.union(newest))
     return found
 
@@ -108,20 +113,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return every.join(large.select("component"), "component", "left_semi").select("node", "component")
 
 
-def dependency_depth(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node, depth: 0 for what depends on nothing, else one more than the deepest it depends on; edges on cycles count for nothing."""
+def dependency_depth(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, depth: 0 for what depends on nothing, else one more than the deepest it depends on; edges on cycles count for nothing.
+
+    Where most is given and depths are over it, it raises.
+    """
     cyclic = strong_components(edges)
     of = lambda end: cyclic.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
     marked = edges.select("src", "dst").distinct().join(of("src"), "src", "left").join(of("dst"), "dst", "left")
     links = checkpointed(marked.where("src <> dst AND (src_c IS NULL OR dst_c IS NULL OR src_c <> dst_c)").select("src", "dst"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     depth = checkpointed(nodes.withColumn("depth", F.lit(0)))
-    for _ in range(most):
+    for k in count():
         deeper = links.join(depth.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("depth") + 1).alias("d"))
         step = checkpointed(depth.join(deeper, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("d"), "depth"))
         depth = step.select("node", F.col("d").alias("depth"))
         if step.where("d <> depth").isEmpty():
             break
+        if most is not None and k >= most:
+            raise RuntimeError(f"depths over {most}")
     return depth
 
 

@@ -1,5 +1,6 @@
 """Golden rows of operators that the shared tables don't exercise."""
 
+import inspect
 import json
 import random
 
@@ -329,3 +330,15 @@ def test_session_stream(spark, tmp_path):
     got = spark.table("sessions")
     want = events.sessions(table, "user_id", "ts", 1800).select("user_id", "started", "ended", "n")
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_long_ways_are_not_cut(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graphs.reachable(chain, start, most=6).count() == 7
+    assert {r["node"]: r["depth"] for r in graphs.dependency_depth(chain, most=6).collect()} == {k: 6 - k for k in range(7)}
+    for cut in (lambda: graphs.reachable(chain, start, most=5), lambda: graphs.dependency_depth(chain, most=5)):
+        with pytest.raises(RuntimeError):
+            cut()
+    for function in (graphs.reachable, graphs.dependency_depth):
+        assert inspect.signature(function).parameters["most"].default is None
