@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.storage import checkpointed
+
 #: A block spans so many consecutive ids, and so holds at most as many documents.
 SPAN = 512
 
@@ -16,6 +22,32 @@ def identified(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / span).alias("block"), "doc_id", "text")
 
 
+def identified_by_size(documents: DataFrame, size: int) -> DataFrame:
+    """As identified, but a block ends where the bytes of all texts up to it pass a multiple of size, whatever the ids' spacing.
+
+    Blocks are numbered from 0 without gaps; rows of one doc_id stand in one block.
+    The running sums are of one row for each doc_id, dealt by range and summed in two
+    levels; the driver gets the first doc_id of each block.
+    """
+    rows = identified(documents).drop("block")
+    amounts = checkpointed(rows.groupBy("doc_id").agg(F.sum(F.octet_length("text") + 1).alias("amount")))
+    dealt = checkpointed(amounts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum("amount").over(before(Window.partitionBy("part").orderBy("doc_id"))), F.lit(0))
+    tops = dealt.groupBy("part").agg(F.sum("amount").alias("total"), F.min("doc_id").alias("first"))
+    tops = tops.select("part", F.coalesce(F.sum("total").over(before(Window.orderBy("first"))), F.lit(0)).alias("outer"))
+    starts = dealt.withColumn("inner", inner).join(F.broadcast(tops), "part").select("doc_id", F.floor((F.col("inner") + F.col("outer")) / size).alias("k"))
+    firsts = np.sort(np.array([r["first"] for r in starts.groupBy("k").agg(F.min("doc_id").alias("first")).collect()], np.int64))
+    shared = documents.sparkSession.sparkContext.broadcast(firsts)
+
+    @F.pandas_udf("long")
+    def block(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in ids:
+            yield pd.Series(np.searchsorted(shared.value, batch.to_numpy(np.int64), side="right") - 1)
+
+    return rows.select(block("doc_id").alias("block"), "doc_id", "text")
+
+
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows dealt out by block, ascending by doc_id within each; the one shuffle of texts."""
     return rows.repartition("block").sortWithinPartitions("block", "doc_id", "text")

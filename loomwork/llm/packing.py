@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.ids import default_tokenizer, encoder
-from loomwork.llm.ordered import identified, in_blocks
+from loomwork.llm.ordered import identified_by_size, in_blocks
 
 WINDOW = 2048
 END = 1
@@ -27,6 +27,8 @@ END = 1
 SENTENCE, INSIDE = 6, 24
 #: Cuts inside a sentence stand so many tokens apart.
 STRIDE = 128
+#: A block of documents has about so many bytes of text, and so some hundred windows.
+BLOCK_BYTES = 2**20
 #: Windows are numbered inside their block; a block has fewer than this.
 NUMBERS = 2**24
 
@@ -131,10 +133,10 @@ def packed(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     Documents stand in the order of doc_id (repeated ids by text), each as its ids
     and the end id; a null or empty text is the end id alone.  Windows hold at most
-    WINDOW ids and never cross a block of ordered.SPAN consecutive ids, so that
+    WINDOW ids and never cross a block, which holds BLOCK_BYTES of texts, so that
     blocks are packed in parallel and only their last windows have more padding.
     Rows without a doc_id are left out; repeated rows are packed again.  Columns other
     than doc_id and text are not read.  An empty table gives an empty result.
     """
-    rows = in_blocks(identified(documents))
+    rows = in_blocks(identified_by_size(documents, BLOCK_BYTES))
     return rows.mapInPandas(_packing(tokenizer or default_tokenizer()), _OUT)

@@ -242,6 +242,21 @@ def test_packing_keeps_every_id_once(spark, tokenizer):
     assert packing.packed(docs(spark, [])).count() == 0
 
 
+def test_packing_does_not_depend_on_the_spacing_of_ids(spark, monkeypatch):
+    text = lambda k: f"Sentence number {k}. " * (1 + k % 9)
+    packs = {}
+    for size in (2**20, 4000):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", size, raising=False)
+        for name, of in (("near", lambda k: k), ("far", lambda k: k * 2**50 - 2**57)):
+            found = packing.packed(docs(spark, [(of(k), text(k), "s") for k in range(256)])).collect()
+            by_id = {of(k): k for k in range(256)}
+            packs[size, name] = sorted((by_id[r["doc_id"]], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in found)
+        assert packs[size, "near"] == packs[size, "far"]
+        assert sum(p[2] for p in packs[size, "far"]) == sum(r["doc_tokens"] for r in found if r["start"] == 0)
+    whole = packs[2**20, "far"]
+    assert sum(p[2] for p in whole) / (2048 * len({p[3] for p in whole})) > 0.8
+
+
 def test_bit_packing_round_trip():
     rng = np.random.default_rng(8)
     for width in (1, 3, 7, 13, 16, 17, 20):
