@@ -62,13 +62,44 @@ def test_same_as_brute_force(spark, seed):
 def test_blocks_smaller_than_bands(spark, monkeypatch):
     """Pairs that stars leave open are all compared, however the blocks are cut."""
     monkeypatch.setattr(neardup, "BLOCK", 3)
-    monkeypatch.setattr(neardup, "_stars", lambda members, round_: members.selectExpr("node AS a", "node AS b").limit(0))
+    monkeypatch.setattr(neardup, "STARS", 0)
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
     assert found == brute(rows)
 
 
+def test_one_large_group_makes_few_rows(spark, monkeypatch):
+    """A group of near copies gives a star row for each node and round and a spanning forest, never its pairs."""
+    rng = random.Random(8)
+    base = rng.choices([f"w{k}" for k in range(400)], k=80)
+    texts = []
+    for k in range(2500):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 4])):
+            text[rng.randrange(len(text))] = f"c{k}"
+        texts.append(" ".join(text))
+    made = []
+    confirmed, rest = neardup._confirmed, neardup._rest
+    monkeypatch.setattr(neardup, "_confirmed", lambda stars, *a: (made.append(stars.count()), confirmed(stars, *a))[1])
+    monkeypatch.setattr(neardup, "_rest", lambda *a: (lambda found: (made.append(found.count()), found)[1])(rest(*a)))
+    rows = list(enumerate([" ".join(base), *texts]))
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    sets = [set(shingle_set(t).tolist()) for _, t in rows]
+    alike = [i for i, _ in rows if 100 * len(sets[0] & sets[i]) >= 75 * len(sets[0] | sets[i])]
+    assert len(alike) > 1500 and all(found[i] == 0 for i in alike)
+    assert max(made) <= len(rows)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a + " end"), (1, b + " end"), (2, a), (3, b), (4, a)]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+    assert found == [(1, 57, 1), (1, 57, 1), (2, 56, 1), (3, 56, 1), (4, 56, 1)]
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
