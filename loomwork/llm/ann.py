@@ -4,8 +4,9 @@ Vectors get one more component that makes their lengths equal, so that the large
 inner product is the least distance.  A tree of k-means centres is grown on a
 bounded sample; every vector goes to one leaf.  A query walks the tree best bin
 first, with a priority queue of nodes by distance, and scores the vectors of the
-leaves that it visits exactly.  How many leaves is calibrated: some queries are
-searched by brute force, and visits widen until enough of their neighbours are met.
+leaves that it visits exactly, and no others.  How many leaves is calibrated: some
+queries are searched by brute force, and visits widen until enough of their
+neighbours are met; recall is then measured on other queries.
 """
 
 from __future__ import annotations
@@ -13,21 +14,23 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from loomwork.sized import join_small
 from loomwork.storage import checkpointed, written
 
 #: Vectors that the tree is grown on, children of a node, and sample vectors of a leaf at most.
 SAMPLE, BRANCH, LEAF = 20_000, 8, 48
-#: Queries searched by brute force, and the share of their neighbours to meet.
-CALIBRATION, RECALL = 128, 0.97
-#: Rows of vectors and of queries that a task holds at a time.
-VECTORS, QUERIES = 8192, 512
+#: Queries searched by brute force, half to calibrate on and half to measure; the share of neighbours to meet on the first half, and on the second at least.
+CALIBRATION, RECALL, FLOOR = 256, 0.93, 0.91
+#: Rows of vectors and of queries in a block, and queries of it that are scored at a time.
+VECTORS, QUERIES, AT_ONCE = 8192, 4096, 256
 NEIGHBOURS = 20
 
 
@@ -62,19 +65,25 @@ class Tree:
                 kids = np.arange(self.first[n], self.first[n] + self.children[n])
                 node[rows] = kids[_distance(lifted[rows], self.centre[kids]).argmin(axis=1)]
 
-    def visits(self, query: np.ndarray) -> Iterator[int]:
-        """Leaves in the order of a best-bin-first walk: the nearest open node of the whole tree comes next."""
-        lifted = np.append(query, 0.0)
+    def away(self, queries: np.ndarray) -> np.ndarray:
+        """The distance (less what is the same for all nodes) of each query to each node's centre."""
+        return _distance(np.hstack([queries, np.zeros((len(queries), 1))]), self.centre)
+
+    def visits(self, away: np.ndarray) -> Iterator[int]:
+        """Leaves in the order of a best-bin-first walk of one query: the nearest open node of the whole tree comes next."""
         queue = [(0.0, 0)]
+        far, first, children, leaf = away.tolist(), *self._lists
         while queue:
-            _, n = heapq.heappop(queue)
-            if not self.children[n]:
-                yield int(self.leaf[n])
+            n = heapq.heappop(queue)[1]
+            if not children[n]:
+                yield leaf[n]
                 continue
-            kids = range(self.first[n], self.first[n] + self.children[n])
-            away = self.centre[kids.start : kids.stop] - lifted
-            for k, d in zip(kids, (away * away).sum(axis=1).tolist(), strict=True):
-                heapq.heappush(queue, (d, k))
+            for k in range(first[n], first[n] + children[n]):
+                heapq.heappush(queue, (far[k], k))
+
+    @cached_property
+    def _lists(self) -> tuple[list, list, list]:
+        return self.first.tolist(), self.children.tolist(), self.leaf.tolist()
 
 
 def _distance(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -126,44 +135,57 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, allowed: np.ndarray, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores of the k best allowed ones of a block; rough scores only narrow the choice, with room for their rounding."""
-    n = min(k, int(allowed.sum()))
-    if n == 0:
-        return np.empty(0, np.int64), np.empty(0)
-    rough = np.where(allowed, rough, -np.inf)
-    edge = np.partition(rough, len(rough) - n)[len(rough) - n]
-    room = 1e-12 * (1 + np.abs(query).sum() * np.abs(vectors).max())
-    at = np.flatnonzero(rough >= edge - room)
-    at = at[allowed[at]]
-    score = (vectors[at] * query).sum(axis=1)
-    order = np.lexsort((ids[at], -score))[:k]
-    return at[order], score[order]
-
-
 _FOUND = "query_id long, vec_id long, score double, leaf int"
 
 
-def _rows(query_id: int, ids: np.ndarray, score: np.ndarray, leaf: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": np.full(len(ids), query_id), "vec_id": ids, "score": score, "leaf": leaf})
+def _rows(query_id: np.ndarray, ids: np.ndarray, score: np.ndarray, leaf: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": score, "leaf": leaf})
 
 
-_BEST = "query_id long, best array<struct<away:double,vec_id:long>>"
+def _chosen(scores: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, vector rows and exact scores of the k best of each row of scores; -inf marks what is no candidate.
+
+    scores only narrow the choice, with room for their rounding.
+    """
+    n = min(k, scores.shape[1])
+    edge = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    room = 1e-12 * (1 + np.abs(queries).sum(axis=1) * np.abs(vectors).max(initial=0))
+    of, at = np.nonzero((scores >= (edge - room)[:, None]) & (scores > -np.inf))
+    exact = np.empty(len(at))
+    for x in range(0, len(at), 2**16):  # ties may be very many
+        exact[x : x + 2**16] = (vectors[at[x : x + 2**16]] * queries[of[x : x + 2**16]]).sum(axis=1)
+    order = np.lexsort((ids[at], -exact, of))
+    of, at, exact = of[order], at[order], exact[order]
+    begin = np.searchsorted(of, np.arange(len(queries)))
+    best = np.arange(len(of)) - begin[of] < k
+    return of[best], at[best], exact[best]
 
 
 def _block(k: int):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        """One row for each query of the block: its best, nearest first, with the score's negative."""
-        asked = rows[rows["is_query"]]
-        held = rows[~rows["is_query"]]
-        out = []
+        """The k best that each query of the block finds in it; a leaf is multiplied with the queries that visit it only."""
+        asked, held = rows[rows["is_query"]], rows[~rows["is_query"]].sort_values("leaf", kind="stable")
+        out = [_rows(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         if len(asked) and len(held):
             ids, vectors, leaf = held["id"].to_numpy(), _matrix(held["vector"]), held["leaf"].to_numpy().astype(np.int64)
-            queries = _matrix(asked["vector"])
-            for q, query, leaves, rough in zip(asked["id"], queries, asked["leaves"], queries @ vectors.T, strict=True):
-                at, score = _best(ids, vectors, np.isin(leaf, leaves) & (ids != q), query, rough, k)
-                out.append((q, [{"away": -s, "vec_id": i} for s, i in zip(score.tolist(), ids[at].tolist(), strict=True)]))
-        return pd.DataFrame(out, columns=["query_id", "best"])
+            leaves, begin = np.unique(leaf, return_index=True)
+            end = np.r_[begin[1:], len(leaf)]
+            for x in range(0, len(asked), AT_ONCE):
+                part = asked.iloc[x : x + AT_ONCE]
+                q, queries = part["id"].to_numpy(), _matrix(part["vector"])
+                visitor = np.repeat(np.arange(len(part)), [len(v) for v in part["leaves"]])
+                visited = np.concatenate(part["leaves"].to_list())
+                order = np.argsort(visited, kind="stable")
+                visitor, visited = visitor[order], visited[order]
+                scores = np.full((len(part), len(ids)), -np.inf)
+                low, high = np.searchsorted(visited, leaves, "left"), np.searchsorted(visited, leaves, "right")
+                for n in np.flatnonzero(high > low):
+                    who = visitor[low[n] : high[n]]
+                    scores[who, begin[n] : end[n]] = queries[who] @ vectors[begin[n] : end[n]].T
+                scores[ids[None, :] == q[:, None]] = -np.inf
+                of, at, score = _chosen(scores, queries, vectors, ids, k)
+                out.append(_rows(q[of], ids[at], score, leaf[at]))
+        return pd.concat(out, ignore_index=True)
 
     return search
 
@@ -179,22 +201,31 @@ def _brute(indexed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) ->
         for batch in batches:
             if len(batch):
                 vec_ids, vectors, leaf = batch["id"].to_numpy(), _matrix(batch["vector"]), batch["leaf"].to_numpy()
-                for q, query, rough in zip(ids, queries, queries @ vectors.T, strict=True):
-                    at, score = _best(vec_ids, vectors, vec_ids != q, query, rough, k)
-                    yield _rows(q, vec_ids[at], score, leaf[at])
+                scores = queries @ vectors.T
+                scores[vec_ids[None, :] == ids[:, None]] = -np.inf
+                of, at, score = _chosen(scores, queries, vectors, vec_ids, k)
+                yield _rows(ids[of], vec_ids[at], score, leaf[at])
 
     return _top(indexed.select("id", "vector", "leaf").mapInPandas(scan, _FOUND), k).toPandas()
 
 
-def calibrate(tree: Tree, truth: pd.DataFrame, queries: dict[int, np.ndarray], recall: float = RECALL) -> int:
-    """The least number of leaf visits at which so large a share of the true neighbours is met."""
-    when = []
-    for q, rows in truth.groupby("query_id"):
-        order = {leaf: k for k, leaf in enumerate(tree.visits(queries[q]), 1)}
+def _met_at(tree: Tree, truth: pd.DataFrame, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each true neighbour the number of leaf visits at which its query meets it, ascending."""
+    when, away = [], dict(zip(ids.tolist(), tree.away(queries), strict=True))
+    for q, rows in truth[truth["query_id"].isin(ids)].groupby("query_id"):
+        order = {leaf: k for k, leaf in enumerate(tree.visits(away[q]), 1)}
         when += [order[leaf] for leaf in rows["leaf"]]
-    if not when:
-        return tree.leaves
-    return int(np.sort(when)[min(len(when) - 1, int(np.ceil(recall * len(when))) - 1)])
+    return np.sort(np.array(when, np.int64))
+
+
+def calibrate(tree: Tree, truth: pd.DataFrame, ids: np.ndarray, queries: np.ndarray, recall: float = RECALL) -> int:
+    """The least number of leaf visits that meets so large a share of the true neighbours of one half of the queries, and FLOOR of the other's."""
+    width = 0
+    for half, share in ((slice(0, None, 2), recall), (slice(1, None, 2), min(recall, FLOOR))):
+        met = _met_at(tree, truth, ids[half], queries[half])
+        if len(met):
+            width = max(width, int(met[max(int(np.ceil(share * len(met))) - 1, 0)]))
+    return width or tree.leaves
 
 
 def _buckets(per_leaf: dict[int, int]) -> dict[int, int]:
@@ -220,11 +251,14 @@ def neighbours(
     not read.  An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
+    # single precision travels as it is; tasks compute in double
+    kind = "array<float>" if embeddings.schema[vector].dataType == ArrayType(FloatType(), embeddings.schema[vector].dataType.containsNull) else "array<double>"
+    numbers = F.col(vector).cast(kind)
     rows = embeddings.where(usable(vector) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
+        F.col(id_col).cast("long").alias("id"), numbers.alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(
-        F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")
+        F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).alias("longest")
     )
     most = sizes.orderBy(F.desc("n"), "d").first()
     if most is None:
@@ -245,7 +279,7 @@ def neighbours(
     if some.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     truth = _brute(indexed, some["id"].to_numpy(), _matrix(some["vector"]), k)
-    width = calibrate(tree, truth, dict(zip(some["id"], _matrix(some["vector"]), strict=True)), recall)
+    width = calibrate(tree, truth, some["id"].to_numpy(), _matrix(some["vector"]), recall)
     per_leaf = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row for each leaf
 
     bucket = _buckets(per_leaf)
@@ -253,9 +287,10 @@ def neighbours(
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             visits = []
-            for query in batch["vector"]:
+            parts = (_matrix(batch["vector"].iloc[x : x + AT_ONCE]) for x in range(0, len(batch), AT_ONCE))
+            for away in (row for part in parts for row in shared.value.away(part)):
                 seen, met = {}, 0
-                for n, leaf in enumerate(shared.value.visits(np.asarray(query, np.float64))):
+                for n, leaf in enumerate(shared.value.visits(away)):
                     if n >= width and met > k:
                         break
                     if leaf in bucket:
@@ -265,7 +300,7 @@ def neighbours(
             yield batch.assign(visits=visits)
 
     parts = max(1, -(-asking.count() // 256))  # walks cost time rather than bytes, so they are dealt by count
-    walked = asking.repartition(parts, "id").mapInPandas(walk, "id long, vector array<double>, visits array<struct<bucket:int,leaves:array<int>>>")
+    walked = asking.repartition(parts, "id").mapInPandas(walk, f"id long, vector {kind}, visits array<struct<bucket:int,leaves:array<int>>>")
     walked = written(walked, "walks").select("id", "vector", F.explode("visits").alias("v"))
     visits = walked.select("id", "vector", F.lit(None).cast("int").alias("leaf"), "v.leaves", F.lit(True).alias("is_query"), "v.bucket")
     in_bucket: dict[int, int] = {}
@@ -287,8 +322,5 @@ def neighbours(
     held = join_small(indexed.select("id", "vector", "leaf"), of_leaf, "leaf")
     held = held.withColumns({"is_query": F.lit(False), "leaves": F.lit(None).cast("array<int>")})
     every = dealt(held, "nb", "qb").unionByName(dealt(visits, "qb", "nb"))
-    found = every.groupBy("bucket", "i", "j").applyInPandas(_block(k), _BEST)
-    # a query has one row from each block that it visits
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    each = merged.select("query_id", F.posexplode("best").alias("at", "b"))
-    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.away")).alias("score"))
+    found = every.groupBy("bucket", "i", "j").applyInPandas(_block(k), _FOUND)
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

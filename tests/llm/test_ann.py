@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import ann
@@ -55,5 +58,23 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
 def test_wider_visits_meet_more():
     rng = np.random.default_rng(11)
     tree = ann.grow(rng.normal(size=(2000, 8)), 10.0)
-    order = list(tree.visits(rng.normal(size=8)))
+    order = list(tree.visits(tree.away(rng.normal(size=(1, 8)))[0]))
     assert sorted(order) == list(range(tree.leaves))
+
+
+def test_recall_on_the_given_vectors(spark):
+    path = Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    found = ann.neighbours(spark.read.parquet(f"file://{path}"), F.col("vec_id") % 20 == 0).toPandas()
+    table = spark.read.parquet(f"file://{path}").where("embedding IS NOT NULL").toPandas()
+    ids, vectors = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_list()).astype(float)
+    hits = sum(len(set(rows["vec_id"]) & set(truth(ids, vectors, q, 20))) for q, rows in found.groupby("query_id"))
+    assert hits / len(found) >= 0.9
+
+
+def test_many_ties_are_scored_in_parts():
+    vectors = np.ones((70_000, 2))
+    queries = np.ones((2, 2))
+    of, at, score = ann._chosen(queries @ vectors.T, queries, vectors, np.arange(70_000)[::-1], 3)
+    assert of.tolist() == [0, 0, 0, 1, 1, 1] and at.tolist() == [69_999, 69_998, 69_997] * 2 and (score == 2).all()
