@@ -4,7 +4,8 @@ A text becomes a set of paragraph digests.  Each digest is added to HASHES cells
 a table; a cell keeps the count, the xor of its digests and the xor of their
 checks.  The tables of two versions subtract cell by cell: what both have cancels,
 and peeling cells that hold a single digest recovers what differs.  If peeling
-gets stuck the table was too small, and both are built again with four times the cells.
+gets stuck the table was too small, and both are built again larger: first as large as
+the least digests of both suggest, then twice as large each time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from loomwork.llm.ordered import identified, with_next_block
+from loomwork.llm.ordered import identified_by_size, in_blocks, with_next_block
 from loomwork.llm.shingles import mixed
 from loomwork.sized import join_small
 from loomwork.storage import checkpointed
@@ -124,8 +125,8 @@ def peel(difference: np.ndarray, owner: np.ndarray, cells: np.ndarray, start: np
     return *(np.concatenate(x) for x in zip(*out, strict=True)), stuck
 
 
-def _first_size(one: np.ndarray, two: np.ndarray) -> int:
-    """Cells to begin with: from the share that the least digests of both have in common."""
+def _next_size(one: np.ndarray, two: np.ndarray) -> int:
+    """Cells of the second try: from the share that the least digests of both have in common."""
     a, b = one[:12].tolist(), two[:12].tolist()
     both = set(a) & set(b)
     least = sorted({*a, *b})[:12]
@@ -135,15 +136,17 @@ def _first_size(one: np.ndarray, two: np.ndarray) -> int:
 
 
 def differences(
-    ones: list[np.ndarray], twos: list[np.ndarray], cells: int | None = None
+    ones: list[np.ndarray], twos: list[np.ndarray], cells: int = CELLS
 ) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """For each pair of digest sets: the digests only in one, those only in two, and the cells that it took.
 
-    A table that gets stuck is built again from the sets with twice the cells.
+    The first sketches have so many cells, as published fingerprints do.  Those that
+    get stuck are filled again from the sets with more; another size has other places, so
+    that no digests share their cells for ever.
     """
     out: list = [None] * len(ones)
-    size = np.array([cells or _first_size(a, b) for a, b in zip(ones, twos, strict=True)], np.int64)
-    todo = np.arange(len(ones))
+    size = np.full(len(ones), cells, np.int64)
+    todo, first_try = np.arange(len(ones)), True
     while len(todo):
         now = size[todo]
         start = np.cumsum(now) - now
@@ -157,15 +160,12 @@ def differences(
         order = np.argsort(of, kind="stable")
         found, of, first = found[order], of[order], first[order]
         ends = np.searchsorted(of, np.arange(len(todo) + 1))
-        for k, i in enumerate(todo):
-            if not stuck[k]:
-                mine, side = found[ends[k] : ends[k + 1]], first[ends[k] : ends[k + 1]]
-                out[i] = (mine[side], mine[~side], int(now[k]))
+        for k in np.flatnonzero(~stuck):
+            mine, side = found[ends[k] : ends[k + 1]], first[ends[k] : ends[k + 1]]
+            out[todo[k]] = (mine[side], mine[~side], int(now[k]))
         todo = todo[stuck]
-        size[todo] *= 2
-        for i in todo[size[todo] > 16 * HASHES * (CELLS + np.array([len(ones[i]) + len(twos[i]) for i in todo], np.int64))]:
-            out[i] = (np.setdiff1d(ones[i], twos[i]), np.setdiff1d(twos[i], ones[i]), int(size[i]))  # digests that share every cell
-        todo = np.array([i for i in todo if out[i] is None], np.int64)
+        size[todo] = [max(2 * size[i], _next_size(ones[i], twos[i])) if first_try else 2 * size[i] for i in todo]
+        first_try = False
     return out
 
 
@@ -234,7 +234,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     An empty table gives an empty result.  near_edited and near_next are the
     share of paragraph digests in common: 1 for two empty texts.
     """
-    rows = identified(documents)
+    rows, n_blocks = identified_by_size(documents)
     blocks = checkpointed(rows.groupBy("block").agg(F.min("doc_id").alias("first")))
     following = with_next_block(blocks.select("block"))
     guests = following.join(blocks.select(F.col("block").alias("next_block"), F.col("first").alias("doc_id")), "next_block")
@@ -244,5 +244,4 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     every = rows.withColumn("guest", F.lit(False)).unionByName(
         first.select(F.col("of").alias("block"), "doc_id", "text", F.lit(True).alias("guest"))
     )
-    dealt = every.repartition("block").sortWithinPartitions("block", "guest", "doc_id", "text")
-    return dealt.mapInPandas(_compared, _OUT)
+    return in_blocks(every, n_blocks, "guest", "doc_id", "text").mapInPandas(_compared, _OUT)

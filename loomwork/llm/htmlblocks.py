@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul xmp".split()
 )
-_SILENT = frozenset("script style template title textarea iframe noscript noframes xmp svg math object canvas audio video map datalist".split())
+_SILENT = frozenset("script style template title textarea iframe noscript noframes svg canvas audio video map datalist".split())
 _FRAME = frozenset("nav footer aside form fieldset button select dialog menu header search".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends an open element of the value, if one is open inside the nearest of the others.
@@ -40,6 +41,11 @@ _FRAME_WORDS = frozenset(
     "disqus discussion pagination pager toolbar widget widgets skip copyright tags hidden".split()
 )
 _FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+# Words that only say what shape a part of the frame has.
+_SHAPE_WORDS = frozenset(
+    "area bar block body box button buttons container content count form group heading icon icons inner inline item items label left link links list "
+    "more panel post posts article articles right row section slot small text thread title top bottom unit wrap wrapper".split()
+)
 _ARTICLE_WORDS = frozenset("article articlebody post entry story".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
 
@@ -77,6 +83,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _named_frame(names: str, inside: bool) -> bool:
+    """Whether class or id names mark a part of the frame.
+
+    Outside the article one such word is enough; inside it a name must say nothing
+    else, so that "related-posts" does and "related-work" or "share-price" doesn't.
+    """
+    for name in names.split():
+        words = {w.lower() for w in _TOKEN.findall(name)}
+        marking = words & _FRAME_WORDS - ({"header"} if inside else set())
+        if marking and (not inside or words <= _FRAME_WORDS | _SHAPE_WORDS):
+            return True
+    return False
+
+
 def _opened(name: str, attributes: str, parent: _Open) -> _Open:
     inside, frame = parent.inside or name in ("article", "main"), parent.frame
     if name in _FRAME and not (name == "header" and parent.inside):
@@ -88,8 +108,7 @@ def _opened(name: str, attributes: str, parent: _Open) -> _Open:
         if name in ("article", "main", "body", "html"):
             frame = frame or bool(marks & _COMMENT_WORDS) and name == "article"
         else:
-            words = marks - {"header"} if parent.inside else marks
-            frame = frame or bool(words & _FRAME_WORDS) or role in _FRAME_ROLES
+            frame = frame or role in _FRAME_ROLES or _named_frame(f"{found.get('class', '')} {found.get('id', '')}", parent.inside)
             inside = inside or role == "main" or bool(marks & _ARTICLE_WORDS) or found.get("itemprop", "").lower() == "articlebody"
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _LINE_HIDDEN.search(found.get("style", "")):
             frame = True
@@ -100,8 +119,14 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order, with character references decoded and white space as single spaces."""
     out: list[Block] = []
     stack = [_Open("", False, False, False, False)]
+    is_open: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
-    where = stack[0]
+    where, said = stack[0], False
+
+    def close(k: int) -> None:
+        """Ends the elements from the k-th on."""
+        is_open.subtract(x.name for x in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         if parts:
@@ -112,10 +137,12 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
 
     def say(text: str) -> None:
-        nonlocal where
+        nonlocal where, said
         if text:
-            if not parts or not text.isspace():
-                where = stack[-1] if not parts or not any(t.strip() for t, _ in parts) else where
+            if not parts:
+                where, said = stack[-1], False
+            if not said and not text.isspace():
+                where, said = stack[-1], True
             parts.append((html.unescape(text) if "&" in text else text, stack[-1].link))
 
     at = 0
@@ -137,9 +164,8 @@ def blocks(page: str) -> list[Block]:
         if page[begin + 1] == "/":
             if name in _BREAKS:
                 flush()
-            if any(x.name == name for x in stack):
-                while stack.pop().name != name:
-                    pass
+            if is_open[name] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name in _SILENT:
             if name == "title":
@@ -154,18 +180,18 @@ def blocks(page: str) -> list[Block]:
         if name in _BREAKS:
             flush()
             if any(x.name == "p" for x in stack[-3:]) and name not in ("option", "optgroup"):
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == "p")
-                del stack[k:]  # a block ends an open paragraph
-        if name in _IMPLIED:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == "p"))  # a block ends an open paragraph
+        if name in _IMPLIED and any(is_open[x] > 0 for x in _IMPLIED[name][0]):
             ends, within = _IMPLIED[name]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in within:
                     break
                 if stack[k].name in ends:
-                    del stack[k:]
+                    close(k)
                     break
         if name not in _VOID:
             stack.append(_opened(name, tag[2], stack[-1]))
+            is_open[name] += 1
     flush()
     return out
 
@@ -190,6 +216,12 @@ LABELLED = [
     (90, 0.02, 8, 0.00, 75, 0.00, 1, 0, 0, 1), (45, 0.00, 60, 0.00, 4, 0.00, 1, 0, 0, 1), (30, 0.10, 100, 0.00, 80, 0.00, 1, 0, 0, 1),
     (6, 0.00, 3, 1.00, 80, 0.00, 1, 0, 1, 1), (4, 0.00, 60, 0.00, 55, 0.00, 1, 0, 1, 1), (3, 0.00, 50, 0.00, 48, 0.00, 1, 0, 0, 1),
     (12, 0.00, 40, 0.00, 30, 0.00, 1, 0, 0, 1), (8, 0.00, 70, 0.00, 9, 0.00, 1, 0, 0, 1), (200, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1),
+    (11, 0.00, 120, 0.00, 0, 0.00, 1, 0, 0, 1), (2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1), (1, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1),
+    (7, 0.00, 140, 0.05, 2, 0.00, 1, 0, 0, 1), (3, 0.00, 9, 0.00, 1, 0.00, 1, 0, 0, 1), (2, 0.00, 1, 0.00, 1, 0.00, 1, 0, 0, 1),
+    (5, 0.00, 70, 0.10, 0, 0.00, 1, 0, 0, 1), (1, 0.00, 30, 0.00, 2, 0.00, 1, 0, 0, 1), (13, 0.00, 2, 0.00, 3, 0.00, 1, 0, 1, 1),
+    (4, 0.00, 8, 0.00, 0, 0.00, 1, 0, 1, 1), (2, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 1), (9, 0.00, 4, 0.00, 2, 0.20, 1, 0, 0, 1),
+    (3, 0.00, 3, 1.00, 0, 0.00, 1, 0, 0, 0), (8, 0.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0), (2, 0.00, 4, 1.00, 5, 1.00, 1, 0, 0, 0),
+    (5, 0.20, 2, 1.00, 1, 1.00, 1, 0, 0, 0), (3, 0.00, 12, 0.80, 2, 0.90, 1, 0, 0, 0), (10, 0.10, 3, 1.00, 4, 1.00, 1, 0, 0, 0),
     (16, 0.00, 11, 0.00, 35, 0.00, 1, 0, 0, 1), (22, 0.00, 5, 0.00, 3, 1.00, 1, 0, 0, 1), (14, 0.00, 6, 0.00, 13, 0.00, 1, 0, 0, 1),
     (1, 1.00, 0, 0.00, 2, 1.00, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 0, 0), (5, 1.00, 3, 1.00, 60, 0.00, 1, 0, 0, 0),
     (25, 0.80, 12, 1.00, 40, 0.00, 1, 0, 0, 0), (3, 0.00, 2, 1.00, 3, 1.00, 1, 0, 0, 0), (2, 0.00, 0, 0.00, 3, 1.00, 1, 0, 0, 0),

@@ -9,8 +9,8 @@ from loomwork.storage import checkpointed
 
 RATIO = 0.02
 MIN_PAGES = 5
-#: Boilerplate lines of all hosts that are sent to every task; with more, hosts and documents are shuffled.
-BROADCAST_LINES = 200_000
+#: Boilerplate lines of all hosts that are sent to every task; with more, documents and hosts are shuffled in so many parts a host.
+BROADCAST_LINES, PARTS = 200_000, 64
 
 
 def _lines(text: Column) -> Column:
@@ -25,15 +25,16 @@ def _name(line: Column) -> Column:
 def boilerplate(documents: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, line (hash), n_pages, host_pages of the lines that stand in more than that share of a host's pages.
 
-    A page counts a line once.  Lines of white space only and rows without a text
-    count for nothing; a null host is a host of its own.
+    Copies are one page: a host's pages are its distinct texts.  A page counts a line
+    once.  Lines of white space only and rows without a text count for nothing; a
+    null host is a host of its own.
     """
     pages = documents.select(F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    pages = pages.where("text IS NOT NULL")
+    pages = pages.where("text IS NOT NULL").withColumn("page", F.xxhash64("text"))
     lines = F.filter(_lines(F.col("text")), lambda x: F.length(F.trim(x)) > 0)
-    each = pages.select("host", F.explode(F.array_distinct(F.transform(lines, _name))).alias("line"))
-    often = each.groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "of_host")
+    each = pages.select("host", "page", F.explode(F.array_distinct(F.transform(lines, _name))).alias("line"))
+    often = each.groupBy("host", "line").agg(F.countDistinct("page").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    totals = pages.groupBy("host").agg(F.countDistinct("page").alias("host_pages")).withColumnRenamed("host", "of_host")
     joined = often.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).drop("of_host")
     return joined.where(F.col("n_pages") > ratio * F.col("host_pages"))
 
@@ -43,39 +44,43 @@ def without_boilerplate(
 ) -> DataFrame:
     """documents with text less the boilerplate lines of each row's host; added: also n_lines and n_dropped.
 
-    A page that has only boilerplate lines (and blank ones) is a copy rather than
-    a frame around content of its own: it stays whole, for document dedup.
-    A null text stays null, an empty one empty.  Repeated rows count as pages each.
-    Other columns stay as they are, whatever their names.  An empty table gives an empty result.
+    A page that has only boilerplate lines gets an empty text (or its blank lines).
+    Equal texts of a host are one page, so copies of a page don't make its lines
+    boilerplate; near copies do, if they are more than that share.  A null text stays
+    null, an empty one empty.  Other columns stay as they are, whatever their names
+    (added columns replace those of their names).  An empty table gives an empty result.
     """
     found = checkpointed(boilerplate(documents, host, ratio, min_pages))
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("__frame"), F.lit(True).alias("__has"))
-    by_host = by_host.withColumnRenamed("host", "__host")
+    by_host = found.groupBy("host").agg(F.collect_list("line").alias("frame"))  # at most (lines of a page / ratio) lines a host
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(host).cast("string").alias("of_host"))
+    same = F.col("of_host").eqNullSafe(F.col("host"))
     if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
-    else:  # a host has at most (lines of a page / ratio) boilerplate lines, so the rows of this table are small
-        by_host = checkpointed(by_host)
-    rows = documents.join(by_host, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
-    lines = _lines(F.col("text").cast("string"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__frame"), _name(x)) | (F.length(F.trim(x)) == 0))
-    own = F.exists(kept, lambda x: F.length(F.trim(x)) > 0)
-    cut = F.col("__has") & own & (F.size(kept) < F.size(lines))
-    text = F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text").cast("string"))
-    columns = [(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in documents.columns]
-    if added:
-        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-        columns += [n.cast("long").alias("n_lines"), F.when(cut, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_dropped")]
-    return rows.select(*columns)
+        rows = rows.join(F.broadcast(by_host), same, "left")
+    else:  # a host's documents go to PARTS tasks, each with the host's lines
+        part = F.pmod(F.xxhash64("row.text"), F.lit(PARTS)).cast("int")
+        framed = checkpointed(by_host).select("host", "frame", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        rows = rows.withColumn("of_part", part).join(framed, same & (F.col("of_part") == F.col("part")), "left")
+    text = F.col("row.text").cast("string")
+    lines = _lines(text)
+    met = F.array_intersect(F.transform(lines, _name), "frame")  # the page's own boilerplate lines, few
+    rows = rows.select("row", F.when(F.col("frame").isNotNull(), met).alias("met"))
+    kept = F.filter(lines, lambda x: ~F.array_contains("met", _name(x)) | (F.length(F.trim(x)) == 0))
+    cut = F.coalesce(F.size("met") > 0, F.lit(False)) & (F.size(kept) < F.size(lines))
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    extra = {"n_lines": n, "n_dropped": F.when(cut, F.size(lines) - F.size(kept)).otherwise(0).cast("long")} if added else {}
+    new = F.when(cut, F.array_join(kept, "\n")).otherwise(text)
+    columns = [(new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in documents.columns if c not in extra]
+    return rows.select(F.struct(*columns, *[v.alias(c) for c, v in extra.items()]).alias("out")).select("out.*")
 
 
 ORACLE = f"""
-WITH lines AS (
-  SELECT DISTINCT doc_id, source, trim(line, ' ') AS line
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM {{documents}})
+WITH pages AS (SELECT DISTINCT source, text FROM {{documents}} WHERE text IS NOT NULL), lines AS (
+  SELECT DISTINCT text, source, trim(line, ' ') AS line
+  FROM (SELECT text, source, unnest(string_split(text, chr(10))) AS line FROM pages)
   WHERE length(trim(line, ' ')) > 0
 ), often AS (
   SELECT source, line, count(*) AS n FROM lines GROUP BY source, line HAVING count(*) >= {MIN_PAGES}
-), hosts AS (SELECT source, count(text) AS total FROM {{documents}} GROUP BY source),
+), hosts AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 frame AS (
   SELECT often.source, list(line) AS lines FROM often JOIN hosts ON often.source IS NOT DISTINCT FROM hosts.source
   WHERE n > {RATIO} * total GROUP BY often.source
@@ -83,5 +88,5 @@ frame AS (
   SELECT d.*, string_split(d.text, chr(10)) AS every,
     [x FOR x IN string_split(d.text, chr(10)) IF length(trim(x, ' ')) = 0 OR NOT list_contains(coalesce(f.lines, []), trim(x, ' '))] AS kept
   FROM {{documents}} d LEFT JOIN frame f ON d.source IS NOT DISTINCT FROM f.source
-), decided AS (SELECT *, len(kept) < len(every) AND len([x FOR x IN kept IF length(trim(x, ' ')) > 0]) > 0 AS less FROM cut)
+), decided AS (SELECT *, len(kept) < len(every) AS less FROM cut)
 """

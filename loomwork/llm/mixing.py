@@ -8,6 +8,7 @@ add up to the token budget.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A target marginal is in proportion to tokens ** power: 1 leaves a dimension as it is, 0 makes its values equal.
 POWER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 KEEP = 0.8
-ROUNDS, CLOSE = 30, 1e-6
+ROUNDS, CLOSE = 60, 1e-6
 
 
 def tokens(text: Column) -> Column:
@@ -115,27 +116,32 @@ def mixed(documents: DataFrame, keep: float = KEEP, seed: int = 7, added: bool =
     keep: the share of all tokens to aim at.  A row is drawn if a hash of its
     doc_id, as a number from 0 to 1, is under its cell's probability, so repeated
     rows are drawn or left together and a rerun draws the same ones; for a null
-    doc_id the text is hashed.  A null source or language is a value of its own;
+    doc_id, or without that column, the text is hashed.  A null source or language is a value of its own;
     null and empty texts weigh one token.  added: also topic, tokens and
-    probability.  Other columns stay as they are.  An empty table gives an empty result.
+    probability, in place of columns of these names.  Other columns stay as they are.
+    Targets that contradict each other can't all be met: a warning gives the error then.
+    An empty table gives an empty result.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    own = {f"__{d}": topic(F.col("text")) if d == "topic" else key(d) for d in DIMENSIONS}
-    rows = documents.withColumns(own | {"__tokens": tokens(F.col("text"))})
-    cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens"))
-    cells = checkpointed(cells)
+    own = {d: topic(F.col("text")) if d == "topic" else key(d) for d in DIMENSIONS}
+    by_text = F.xxhash64(F.lit(seed), "text")
+    draw = F.when(F.col("doc_id").isNull(), by_text).otherwise(F.xxhash64(F.lit(seed), "doc_id")) if "doc_id" in documents.columns else by_text
+    number = F.pmod(draw, F.lit(2**52)) / F.lit(2.0**52)
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), number.alias("number"), tokens(F.col("text")).alias("tokens"),
+        *[v.alias(d) for d, v in own.items()],
+    )
+    cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     if cells.isEmpty():
-        chosen = rows.withColumn("__p", F.lit(0.0))
+        chosen = rows.withColumn("probability", F.lit(0.0))
     else:
         targets = {d: shares(cells, d, POWER[d]) for d in DIMENSIONS}
         total = cells.agg(F.sum("tokens").alias("t")).first()["t"]
-        calibrated = checkpointed(_calibrated(rake(cells, targets).cells, keep * total))
-        small = calibrated.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))
-        chosen = join_small(rows, small, [f"__{d}" for d in DIMENSIONS])
-    draw = F.coalesce(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(0)) if "doc_id" in documents.columns else F.lit(0)
-    draw = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(draw)
-    number = F.pmod(draw, F.lit(2**52)) / F.lit(2.0**52)
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    if added:
-        columns += [F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__p").alias("probability")]
-    return chosen.where(number < F.col("__p")).select(*columns)
+        raked = rake(cells, targets)
+        if raked.error >= CLOSE:
+            warnings.warn(f"raking: marginals are {raked.error:.2g} off their targets after {raked.rounds} rounds", stacklevel=2)
+        calibrated = checkpointed(_calibrated(raked.cells, keep * total))
+        chosen = join_small(rows, calibrated.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
+    extra = ["topic", "tokens", "probability"] if added else []
+    columns = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in extra]
+    return chosen.where(F.col("number") < F.col("probability")).select(*columns, *extra)

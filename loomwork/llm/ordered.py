@@ -11,25 +11,27 @@ from pyspark.sql import functions as F
 
 from loomwork.storage import checkpointed
 
-#: A block spans so many consecutive ids, and so holds at most as many documents.
+#: Blocks are added up in groups of so many.
 SPAN = 512
+#: Bytes of texts in a block, and blocks in a task.
+BLOCK_BYTES, TASK_BLOCKS = 2**20, 12
 
 
-def identified(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """block, doc_id, text ("" for null) of the documents that have a doc_id."""
+def identified(documents: DataFrame) -> DataFrame:
+    """doc_id, text ("" for null) of the documents that have a doc_id."""
     doc_id = F.col("doc_id").cast("long")
     rows = documents.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / span).alias("block"), "doc_id", "text")
+    return rows.where("doc_id IS NOT NULL")
 
 
-def identified_by_size(documents: DataFrame, size: int) -> DataFrame:
-    """As identified, but a block ends where the bytes of all texts up to it pass a multiple of size, whatever the ids' spacing.
+def identified_by_size(documents: DataFrame, size: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """As identified, with the number of blocks, but a block ends where the bytes of all texts up to it pass a multiple of size, whatever the ids' spacing.
 
     Blocks are numbered from 0 without gaps; rows of one doc_id stand in one block.
     The running sums are of one row for each doc_id, dealt by range and summed in two
     levels; the driver gets the first doc_id of each block.
     """
-    rows = identified(documents).drop("block")
+    rows = identified(documents)
     amounts = checkpointed(rows.groupBy("doc_id").agg(F.sum(F.octet_length("text") + 1).alias("amount")))
     dealt = checkpointed(amounts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -45,12 +47,15 @@ def identified_by_size(documents: DataFrame, size: int) -> DataFrame:
         for batch in ids:
             yield pd.Series(np.searchsorted(shared.value, batch.to_numpy(np.int64), side="right") - 1)
 
-    return rows.select(block("doc_id").alias("block"), "doc_id", "text")
+    return rows.select(block("doc_id").alias("block"), "doc_id", "text"), len(firsts)
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows dealt out by block, ascending by doc_id within each; the one shuffle of texts."""
-    return rows.repartition("block").sortWithinPartitions("block", "doc_id", "text")
+def in_blocks(rows: DataFrame, n_blocks: int, *order: str) -> DataFrame:
+    """Rows dealt out by block, ascending by order (or doc_id) within each; the one shuffle of texts.
+
+    A task gets TASK_BLOCKS blocks, however large the input.
+    """
+    return rows.repartition(-(-n_blocks // TASK_BLOCKS) or 1, "block").sortWithinPartitions("block", *(order or ("doc_id", "text")))
 
 
 def with_next_block(blocks: DataFrame) -> DataFrame:

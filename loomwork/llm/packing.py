@@ -138,5 +138,5 @@ def packed(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     Rows without a doc_id are left out; repeated rows are packed again.  Columns other
     than doc_id and text are not read.  An empty table gives an empty result.
     """
-    rows = in_blocks(identified_by_size(documents, BLOCK_BYTES))
+    rows = in_blocks(*identified_by_size(documents, BLOCK_BYTES))
     return rows.mapInPandas(_packing(tokenizer or default_tokenizer()), _OUT)

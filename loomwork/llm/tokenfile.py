@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.ids import default_tokenizer, encoder
-from loomwork.llm.ordered import identified, in_blocks, with_start
+from loomwork.llm.ordered import identified_by_size, in_blocks, with_start
 from loomwork.sized import join_small
 from loomwork.storage import checkpointed, written
 
@@ -122,7 +122,7 @@ def write_files(documents: DataFrame, tokenizer: str | None = None, end: int = E
     Images follow one another by (block, part) in the order of doc_id.  Spark's
     writer commits them, so that a lost executor leaves no half of a file.
     """
-    rows = in_blocks(identified(documents)).mapInPandas(
+    rows = in_blocks(*identified_by_size(documents)).mapInPandas(
         _writing(tokenizer or default_tokenizer(), end), "block long, part int, n_docs long, n_ids long, image binary"
     )
     return written(rows, "tokens")
@@ -145,8 +145,8 @@ def read_files(images: DataFrame) -> DataFrame:
     sizes = checkpointed(images.groupBy("block").agg(F.sum("n_ids").alias("n")))
     starts = with_start(sizes, "n").select("block", F.col("start").alias("before"))
     parts = checkpointed(images.select("block", "part", "n_ids"))
-    inner = parts.alias("a").join(parts.alias("b"), F.expr("a.block = b.block AND b.part < a.part"), "left")
-    inner = inner.groupBy("a.block", "a.part").agg(F.coalesce(F.sum("b.n_ids"), F.lit(0)).alias("within"))
+    earlier = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inner = parts.select("block", "part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("within"))
     where = starts.join(inner, "block").select("block", "part", (F.col("before") + F.col("within")).alias("start"))
     # one row for each image of up to IMAGE ids; the images themselves aren't shuffled
     return join_small(images, checkpointed(where), ["block", "part"]).mapInPandas(_reading, "doc_id long, start long, n_tokens long, ids_crc32 long")

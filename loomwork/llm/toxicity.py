@@ -88,14 +88,18 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
 
+def _added_salted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return _added(rows).assign(salt=key[1])
+
+
 def gram_counts(labelled: DataFrame) -> np.ndarray:
     """Two rows of 2**BITS counts: the documents of label 0 and of label 1 with each n-gram.
 
-    Tasks count alone; their chunks are added in two steps, and the result has a fixed size.
+    Tasks count alone; their chunks are added in a tree, and the result has a fixed size.
     """
-    part = labelled.select("text", "label").mapInPandas(_counted, "chunk int, counts binary")
-    part = part.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    added = part.groupBy("chunk", "salt").applyInPandas(_added, "chunk int, counts binary")
+    part = labelled.select("text", "label").mapInPandas(_counted, "chunk int, counts binary").withColumn("task", F.spark_partition_id())
+    added = part.groupBy("chunk", F.pmod("task", F.lit(4096)).alias("salt")).applyInPandas(_added_salted, "chunk int, counts binary, salt int")
+    added = added.groupBy("chunk", F.pmod("salt", F.lit(64)).alias("salt")).applyInPandas(_added, "chunk int, counts binary")
     out = np.zeros((2, 2**BITS), np.int64)
     for row in added.groupBy("chunk").applyInPandas(_added, "chunk int, counts binary").toLocalIterator():
         out[:, row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
@@ -191,10 +195,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     return Model(ratio, weight, bias)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with a column score: 0 to 1, higher for toxic; whole texts, a null text as an empty one.
+def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """documents with a column of that name: 0 to 1, higher for toxic; whole texts, a null text as an empty one.
 
-    Other columns stay as they are; a column named score is replaced.
+    Other columns stay as they are; a column of that name is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 x 2**BITS numbers of 4 bytes
 
@@ -203,7 +207,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.Series([shared.value.score(t) for t in batch], dtype="float64")
 
-    return documents.withColumn("score", scored(F.col("text").cast("string")))
+    return documents.withColumn(name, scored(F.col("text").cast("string")))
 
 
 def held_out() -> F.Column:
@@ -227,6 +231,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents whose score is under the threshold, with the columns of documents."""
-    kept = score(documents, fit(documents, labels.where(~held_out()))).where(F.col("score") < threshold)
+    """The rows of documents whose score is under the threshold, with the columns of documents, whatever their names."""
+    name = max((c for c in documents.columns if c.lower().startswith("score")), key=len, default="score") + "_"
+    kept = score(documents, fit(documents, labels.where(~held_out())), name).where(F.col(f"`{name}`") < threshold)
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -68,7 +69,7 @@ def test_line_dedup(spark):
     found = {r["doc_id"]: r for r in linededup.without_boilerplate(docs(spark, rows), added=True).collect()}
     assert found[3]["text"] == "own line 3\n" and found[3]["n_dropped"] == 3 and found[3]["n_lines"] == 5
     assert found[21]["text"] == rows[21][1]  # too few pages of host b
-    assert found[100]["text"] == "Menu\nshared"  # nothing of its own
+    assert found[100]["text"] == "" and found[100]["n_dropped"] == 2  # nothing of its own
     assert found[101]["text"] is None and found[102]["text"] == "" and found[103]["text"] == "Menu\nx"
     assert linededup.without_boilerplate(docs(spark, [])).count() == 0
 
@@ -80,9 +81,56 @@ def test_line_dedup_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, linededup.without_boilerplate(docs(spark, rows)).collect())) == want
 
 
+def test_line_dedup_counts_copies_of_a_page_once(spark):
+    clash = "doc_id long, text string, source string, host string, frame string, line string, met string, row string, n_lines string"
+    rows = [(k, "one text\nof many copies", "a") for k in range(50)] + [(100 + k, f"Menu\nown {k}", "a") for k in range(6)]
+    rows += [(200, "Menu\n" + "x" * 300_000, "a"), (200, "Menu\n" + "x" * 300_000, "a")]
+    df = spark.createDataFrame([(*r, "1", "2", "3", "4", "5", "6") for r in rows], clash)
+    found = linededup.without_boilerplate(df, added=True)
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert found.count() == len(rows) and by[3]["text"] == rows[3][1] and by[3]["row"] == "5"
+    assert by[101]["text"] == "own 1" and by[200]["text"] == "x" * 300_000 and by[200]["n_lines"] == 2
+    assert linededup.without_boilerplate(df).columns == df.columns
+
+
+def test_line_dedup_as_its_sql_says(spark):
+    import duckdb
+
+    from loomwork.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(map(str, con.execute(queries.ORACLES["op6_line_dedup"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in queries.op6_line_dedup(spark, "/root/testdata/sf0.001").collect()) == want
+
+
 # mixing
 
 
+def test_mixing_without_ids_and_with_clashing_names(spark):
+    rows = [("w " * k, "en", "s", "t", 1.0, "x", 2) for k in range(1, 200)] * 2
+    df = spark.createDataFrame(rows, "text string, lang string, source string, topic string, tokens double, row string, number int")
+    out = mixing.mixed(df, added=True)
+    assert sorted(out.columns) == sorted([*df.columns, "probability"]) and 0 < out.count() < 398
+    assert mixing.mixed(df).columns == df.columns
+    assert all(r["count"] % 2 == 0 for r in mixing.mixed(df).groupBy("text").count().collect())
+
+
+def test_toxicity_keeps_a_column_named_score(labelled, spark):
+    df, labels = labelled
+    kept = toxicity.without_toxic(df, labels)
+    assert kept.select("score").distinct().collect()[0][0] == 2
+
+
+def test_toxicity_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = found.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in rows)
+    caught = [r["predicted"] for r in rows if r["toxic"]]
+    assert right / len(rows) > 0.93 and sum(caught) / len(caught) > 0.55
+
+
 def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame(
         [(s, l, t, float(n)) for s, l, t, n in [("a", "en", "x", 900), ("a", "fr", "y", 50), ("b", "en", "y", 100), ("b", "fr", "x", 30), ("a", "en", "y", 70), ("b", "en", "x", 60)]],
@@ -297,6 +345,25 @@ def test_main_text_of_a_page():
     assert htmlblocks.article(PAGE) == "Title & more\nHello world of text.\nShort.\nfirst item\nsecond\nEnd é x < y z"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>{}</p><p>The last paragraph of this page has eleven words in it.</p>", "{}\nThe last paragraph of this page has eleven words in it."),
+    ("<body><p>Short page.</p></body>", "Short page."),
+    ("<body><h1>Hi</h1></body>", "Hi"),
+    ("<article><p>x</p><div class='related-work'>Work.</div><p class='share-price'>9</p><div class='related-posts'>no</div></article>", "x\nWork.\n9"),
+    ("<article><p>a</p><xmp>b</xmp><p><math><mi>c</mi></math></p></article>", "a\nb\nc"),
+    ("<ul><li><a href=a>Home</a></ul><h1>T</h1><p>{}</p><p>Short.</p><div><a href=x>next page</a></div><div>foot note</div>", "T\n{}\nShort."),
+])
+def test_main_text_of_small_pages(page, text):
+    long = " ".join(["word"] * 60)
+    assert htmlblocks.article(page.format(long)) == text.format(long)
+
+
+def test_many_unclosed_tags_take_linear_time():
+    began = time.perf_counter()
+    assert htmlblocks.article("<article>" + "<b>" * 50_000 + "x" + "</i>" * 50_000) == "x"
+    assert time.perf_counter() - began < 5
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", PAGE, 0), (2, None, None, 0), (3, "u", "", 0), (3, "u", "<div><p" * 1000, 0), (None, "v", "no tags, yet enough words in a row to be called a text of its own", 0)]
     found = htmlblocks.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
