@@ -12,15 +12,35 @@ CONTEXT = 3
 MAX_EDITS = 4000
 
 
-def content_hashes(rows: DataFrame, by: str, key: str, content: str) -> DataFrame:
+#: Keys of one part of a large manifest.
+SPAN = 512
+
+
+def _hashed(rows: DataFrame, by: list[str], key: str, line: Column) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), line.alias("line"))))
+    grouped = rows.groupBy(*by).agg(F.count("*").alias("n"), pairs.alias("p"))
+    return grouped.select(*by, "n", F.sha2(F.array_join(F.transform("p", lambda x: x["line"]), "\n"), 256).alias("content_hash"))
+
+
+def content_hashes(rows: DataFrame, by: str, key: str, content: str, span: int | None = None) -> DataFrame:
     """n and content_hash of each group: SHA-256 of its sorted lines of key and content hash.
 
-    A group is one project or snapshot, whose manifest is one value of the result.
+    span: for groups of any size, with whole numbers as keys.  Each range of so many keys
+    is hashed alone, then the lines of ranges and their hashes; a range holds as many rows
+    as it has keys, so no task gets a whole group.  Without it a group is one manifest
+    of a project, and one value of the result.
     """
     line = F.concat(F.col(key).cast("string"), F.lit("\0"), F.col(content))
-    pairs = F.array_sort(F.collect_list(F.struct(key, line.alias("line"))))
-    grouped = rows.groupBy(by).agg(F.count("*").alias("n"), pairs.alias("p"))
-    return grouped.select(by, "n", F.sha2(F.array_join(F.transform("p", lambda x: x["line"]), "\n"), 256).alias("content_hash"))
+    if span is None:
+        return _hashed(rows, [by], key, line)
+    parts = _hashed(rows.withColumn("part", F.floor(F.col(key) / span)), [by, "part"], key, line)
+    parts = parts.withColumnRenamed("n", "m").withColumn("super", F.floor(F.col("part") / span))
+    for level in (["super"], []):  # ranges of ranges, then the group
+        of = "part" if level else "super"
+        line = F.concat(F.col(of).cast("string"), F.lit("\0"), F.col("content_hash"))
+        summed = parts.groupBy(by, *level).agg(F.sum("m").alias("m"), F.array_sort(F.collect_list(F.struct(F.col(of).alias("key"), line.alias("line")))).alias("p"))
+        parts = summed.select(by, *level, "m", F.sha2(F.array_join(F.transform("p", lambda x: x["line"]), "\n"), 256).alias("content_hash"))
+    return parts.select(by, F.col("m").alias("n"), "content_hash")
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
@@ -32,11 +52,13 @@ def manifest_diff(before: DataFrame, after: DataFrame, key: str, content: str) -
 
 
 def moved(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
-    """content, old_key, new_key: removed and added rows of equal content, the first of each; one move for each content at most."""
-    diff = manifest_diff(before, after, key, content)
-    gone = before.join(diff.where("change = 'removed'"), key, "left_semi").groupBy(content).agg(F.min(key).alias("old_key"))
-    new = after.join(diff.where("change = 'added'"), key, "left_semi").groupBy(content).agg(F.min(key).alias("new_key"))
-    return gone.join(new, content)
+    """content, old_key, new_key: removed and added rows of equal content, paired one to one in the order of their keys."""
+    def ranked(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(content).orderBy(key))
+        return rows.join(other, key, "left_anti").select(content, F.col(key).alias(name), place.alias("place"))
+
+    gone, new = ranked(before, after.select(key), "old_key"), ranked(after, before.select(key), "new_key")
+    return gone.join(new, [content, "place"]).drop("place")
 
 
 def field_changes(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

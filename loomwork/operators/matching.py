@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.sized import join_small
+from loomwork.storage import checkpointed
 
 
 def _suffixes(host: Column) -> Column:
@@ -72,20 +73,31 @@ def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, width: fl
     return met.withColumn("n", best).where("n = 1").select("point_id", "range_id", "start")
 
 
-def shingles(text: Column, n: int) -> Column:
-    """The distinct runs of n words of letters and digits, in lower case."""
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def shingles(text: Column, n: int, hashed: bool = False) -> Column:
+    """The distinct runs of n words of letters and digits, in lower case; hashed: as 64-bit hashes, without building the runs."""
     def runs(w: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+        one = lambda i: F.xxhash64(F.slice(w, i, n)) if hashed else F.array_join(F.slice(w, i, n), " ")
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), one)
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>"))
 
     # a lambda's argument is computed once, where a repeated expression would be computed for each run
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
-    return F.get(F.transform(F.array(words), runs), F.lit(0))
+    return F.get(F.transform(F.array(_words(text)), runs), F.lit(0))
 
 
 def shared_shingles(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, n: int) -> DataFrame:
-    """Documents that share runs of n words with reference items: how many, and with how many items."""
-    have = documents.select(doc_id, F.explode(shingles(F.col("text"), n)).alias("g"))
+    """Documents that share runs of n words with reference items: how many, and with how many items.
+
+    Hashes of the runs meet first; only documents with a hash in common are read again
+    and compared run by run.
+    """
+    hashes = checkpointed(items.select(F.explode(shingles(F.col("text"), n, hashed=True)).alias("h")).distinct())
+    each = documents.select(doc_id, F.explode(shingles(F.col("text"), n, hashed=True)).alias("h"))
+    likely = checkpointed(join_small(each, hashes, "h", "left_semi").select(doc_id).distinct())
+    have = join_small(documents.select(doc_id, "text"), likely, doc_id, "left_semi").select(doc_id, F.explode(shingles(F.col("text"), n)).alias("g"))
     want = items.select(item_id, F.explode(shingles(F.col("text"), n)).alias("g")).distinct()
-    met = join_small(have, want, "g")
+    met = join_small(have, checkpointed(want), "g")
     return met.groupBy(doc_id).agg(F.countDistinct("g").alias("shared"), F.countDistinct(item_id).alias("items"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import events as ops
 from loomwork.plans.registry import query, table
+from loomwork.storage import checkpointed
 
 _RUNS = """
 WITH a AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -233,10 +234,14 @@ def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("prompts")
     )
+    rows = checkpointed(rows)
     top = rows.orderBy(F.desc("prompts"), "conv_id").limit(15)
-    ids = rows.select(F.col("conv_id").alias("other"))
-    met = top.join(ids, F.col("other") != F.col("conv_id"), "left")  # 15 rows against all: a broadcast of the fixed list
-    near = met.groupBy("conv_id", "first_turn", "last_turn", "prompts").agg(
-        F.max(F.when(F.col("other") < F.col("conv_id"), F.col("other"))).alias("previous"), F.min(F.when(F.col("other") > F.col("conv_id"), F.col("other"))).alias("next")
-    )
-    return near
+    ids = [r["conv_id"] for r in top.collect()]  # the fixed length of the list
+    near = [F.struct(
+        F.lit(i).alias("conv_id"), F.max(F.when(F.col("conv_id") < i, F.col("conv_id"))).alias("previous"), F.min(F.when(F.col("conv_id") > i, F.col("conv_id"))).alias("next")
+    ) for i in ids]
+    if not ids:
+        return rows.select("conv_id", "first_turn", "last_turn", "prompts", F.col("conv_id").alias("previous"), F.col("conv_id").alias("next"))
+    neighbours = rows.agg(F.array(*near).alias("each")).select(F.explode("each").alias("e")).select("e.*")
+    return top.join(F.broadcast(neighbours), "conv_id")
+

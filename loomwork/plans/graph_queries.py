@@ -28,15 +28,14 @@ def block_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between nations: from a supplier's to a customer's."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").where("l_orderkey % 50 = 0")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     return lines.join(orders, "l_orderkey").join(suppliers, "l_suppkey").join(customers, "c_custkey").select("src", "dst")
 
 
-_TRADE = """e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE l_orderkey % 50 = 0)"""
+_TRADE = """e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 @query(f"""
@@ -122,13 +121,13 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey * 10 + l_linenumber AS point_id, range_id FROM (
   SELECT l.*, e.event_id AS range_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY e.event_id % 300 DESC, e.event_id) AS n
-  FROM lineitem l JOIN events e ON l_suppkey % 50 = e.user_id % 50 AND l_quantity * 7 BETWEEN e.event_id % 300 AND e.event_id % 300 + 10 WHERE e.event_id < 500) WHERE n = 1""")
+  FROM lineitem l JOIN events e ON l_suppkey % 50 = e.user_id % 50 AND l_quantity * 7 BETWEEN e.event_id % 300 AND e.event_id % 300 + 10) WHERE n = 1""")
 def enclosing_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_suppkey") % 50).alias("key"), (F.col("l_quantity") * 7).alias("at")
     )
     start = (F.col("event_id") % 300).cast("double")
-    ranges = table(spark, sf_dir, "events").where("event_id < 500").select(
+    ranges = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 50).alias("key"), F.col("event_id").alias("range_id"), start.alias("start"), (start + 10).alias("end")
     )
     return matching.innermost(points, ranges, "key", "at", 10.0).select("point_id", "range_id")
@@ -158,8 +157,8 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_VERSIONS}
-SELECT hash, old_key, new_key FROM (SELECT hash, min(doc_id) AS old_key FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a) GROUP BY hash)
-JOIN (SELECT hash, min(doc_id) AS new_key FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) GROUP BY hash) USING (hash)""")
+SELECT hash, old_key, new_key FROM (SELECT hash, doc_id AS old_key, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS n FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a))
+JOIN (SELECT hash, doc_id AS new_key, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS n FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)) USING (hash, n)""")
 def moved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.moved(*_versions(spark, sf_dir), "doc_id", "hash")
 
@@ -273,11 +272,11 @@ def catalog_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_TRADE}, v AS (SELECT user_id % 25 AS a, lead(user_id % 25) OVER (ORDER BY event_id) AS b, event_id FROM events WHERE event_id < 2000)
+WITH {_TRADE}, v AS (SELECT (event_id * 7 + user_id) % 25 AS a, lead((event_id * 7 + user_id) % 25) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
 SELECT a AS src, b AS dst, count(*) AS n, e.src IS NOT NULL AS known FROM v LEFT JOIN e ON v.a = e.src AND v.b = e.dst WHERE b IS NOT NULL GROUP BY a, b, e.src IS NOT NULL""")
 def trace_lit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.operators.reports import lit_edges
 
-    steps = table(spark, sf_dir, "events").where("event_id < 2000").select(F.lit(1).alias("trace"), F.col("event_id").alias("at"), (F.col("user_id") % 25).alias("node"))
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), F.col("event_id").alias("at"), ((F.col("event_id") * 7 + F.col("user_id")) % 25).alias("node"))
     edges = _trade(spark, sf_dir).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     return lit_edges(steps, edges)

@@ -23,13 +23,34 @@ def one(spark, value, column):
     ("a sk-proj-abcdefgh1234 b", "a [REDACTED] b"),
     ("password = 'x y' ok", "password = [REDACTED] ok"),
     ("mail jane.doe@example.com now", "mail j***@e*** now"),
-    ("call +351 912 345 678 now", "call +35***78 now"),
+    ("call +351 912 345 678 now", "call +3***78 now"), ("call +1 234 567 89 now", "call +1***89 now"), ("call 912 345 678 now", "call 91***78 now"), ("n 1 2345678 9", "n 1 *** 9"),
     ("k-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----k", "k[REDACTED]k"),
 ])
 def test_redact(spark, text, want):
     assert one(spark, text, lambda c: fn.redact(c)) == want
 
 
+def test_redact_a_whole_key_and_random_texts(spark):
+    """A 4096-bit key block takes no stack, and the rules say what the plain patterns say."""
+    import random
+    import re
+
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("A1b2" * 16 for _ in range(800)) + "\n-----END RSA PRIVATE KEY-----"
+    assert one(spark, f"x {block} y", lambda c: fn.redact(c)) == "x [REDACTED] y"
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("+ 0123456789()-ab", k=rng.randrange(5, 40))) for _ in range(500)]
+    phone = re.compile(r"(?<![\w])\+?\d[\d ()-]{7,}\d(?![\w])", re.ASCII)
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select("v", fn.redact(F.col("v")).alias("o"))
+    for r in df.collect():
+        assert r["o"] == phone.sub(lambda m: f"{m[0][:2]}***{m[0][-2:]}", r["v"])
+
+
+def test_tokens_of_minified_files(spark):
+    long = "a" * 1_000_000
+    assert one(spark, f"x='{long}';y=`{long}`", structure.code_tokens) == ["x", "=", '"s"', ";", "y", "=", '"s"']
+    assert one(spark, f"x = '{long}' # c", lambda c: structure.code_tokens(c, python=True)) == ["x", "=", '"s"']
+
+
 def test_redact_values_and_limit(spark):
     assert one(spark, "x hunter22hunter y flag", lambda c: fn.redact(c, ["hunter22hunter", "flag"])) == "x [REDACTED] y flag"
     assert one(spark, "é" * 6000, lambda c: fn.redact(c)) == "é" * 5120 + "[TRUNCATED]"
@@ -73,6 +94,9 @@ def test_paths_and_names(spark):
     ("update \"public\".\"notes\" set x = (select 1 from `t`)", "UPDATE", ["notes"], ["t"]),
     ("DELETE FROM [dbo].[x]", "DELETE", ["x"], []), ("", "query", [], []),
     ("create table if not exists z (a int)", "CREATE", ["z"], []),
+    ("with recursive t(n) as (select 1 union all select n from t join main.u), \"v\" as not materialized (select * from x.y) select * from t, v join `q`.`r`", "SELECT", ["u", "x.y", "q.r"], []),
+    ("merge into dbo.a using (select * from b) s on 1 = 1", "MERGE", ["a"], ["b"]),
+    ("replace into k values ('into z')", "REPLACE", ["k"], []),
 ])
 def test_sql_access(spark, sql, operation, tables, reads):
     got = spark.createDataFrame([(sql,)], "s string").select(sqltext.sql_access("s").alias("a")).first()["a"]
