@@ -25,7 +25,6 @@ from loomwork.storage import checkpointed
 
 SIZES = (4, 5)
 BITS = 18
-CHUNK = 4096
 #: Rows of each label that the regression is fitted on.
 SAMPLE = {1: 1000, 0: 2000}
 #: N-grams of the sample that are in the driver's memory at once, or those of one row if it has more.
@@ -71,38 +70,26 @@ class Model:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What one task has seen: for each chunk of buckets, the documents of either label with each n-gram."""
-    count = np.zeros((2, 2**BITS), np.int64)
-    seen = 0
+    """What one task has seen: the documents of either label with each n-gram, a row for each bucket that occurs."""
+    count = np.zeros((2, 2**BITS), np.int32)
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"], strict=True):
             count[int(label), grams(text)] += 1
-            seen += 1
-    if seen:
-        parts = count.reshape(2, -1, CHUNK)
-        yield pd.DataFrame({"chunk": range(parts.shape[1]), "counts": [parts[:, i].tobytes() for i in range(parts.shape[1])]})
-
-
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [total.tobytes()]})
-
-
-def _added_salted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return _added(rows).assign(salt=key[1])
+    at = np.flatnonzero(count.any(axis=0))
+    for x in range(0, len(at), 2**16):
+        part = at[x : x + 2**16]
+        yield pd.DataFrame({"bucket": part.astype(np.int32), "none": count[0, part], "some": count[1, part]})
 
 
 def gram_counts(labelled: DataFrame) -> np.ndarray:
     """Two rows of 2**BITS counts: the documents of label 0 and of label 1 with each n-gram.
 
-    Tasks count alone; their chunks are added in a tree, and the result has a fixed size.
+    Tasks count alone, and Spark adds up their buckets; the driver gets 2**BITS rows at most.
     """
-    part = labelled.select("text", "label").mapInPandas(_counted, "chunk int, counts binary").withColumn("task", F.spark_partition_id())
-    added = part.groupBy("chunk", F.pmod("task", F.lit(4096)).alias("salt")).applyInPandas(_added_salted, "chunk int, counts binary, salt int")
-    added = added.groupBy("chunk", F.pmod("salt", F.lit(64)).alias("salt")).applyInPandas(_added, "chunk int, counts binary")
+    part = labelled.select("text", "label").mapInPandas(_counted, "bucket int, none int, some int")
+    found = part.groupBy("bucket").agg(F.sum("none").alias("none"), F.sum("some").alias("some")).toPandas()
     out = np.zeros((2, 2**BITS), np.int64)
-    for row in added.groupBy("chunk").applyInPandas(_added, "chunk int, counts binary").toLocalIterator():
-        out[:, row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
+    out[0, found["bucket"]], out[1, found["bucket"]] = found["none"], found["some"]
     return out
 
 
