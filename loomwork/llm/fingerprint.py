@@ -135,37 +135,47 @@ def _next_size(one: np.ndarray, two: np.ndarray) -> int:
     return CELLS + HASHES * math.ceil(0.5 * max(unlike, abs(len(one) - len(two))))
 
 
+def published(sets: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """The sketches of many sets side by side, each of so many cells."""
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    start = np.repeat(np.arange(len(sets)) * cells, [len(s) for s in sets])
+    return _filled(every, np.full(len(every), cells), start, len(sets) * cells)
+
+
 def differences(
-    ones: list[np.ndarray], twos: list[np.ndarray], cells: int = CELLS
+    ones: list[np.ndarray], twos: list[np.ndarray], cells: int = CELLS, sketches: tuple[np.ndarray, np.ndarray] | None = None
 ) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """For each pair of digest sets: the digests only in one, those only in two, and the cells that it took.
 
-    The first sketches have so many cells, as published fingerprints do.  Those that
-    get stuck are filled again from the sets with more; another size has other places, so
-    that no digests share their cells for ever.
+    The first sketches have so many cells, as published fingerprints do (sketches: these, if
+    they are made already).  Those that get stuck are filled again from the sets with more;
+    another size has other places, so that no digests share their cells for ever.
     """
     out: list = [None] * len(ones)
     size = np.full(len(ones), cells, np.int64)
-    todo, first_try = np.arange(len(ones)), True
+    todo = np.arange(len(ones))
+    made = sketches or (published(ones, cells), published(twos, cells))
     while len(todo):
         now = size[todo]
         start = np.cumsum(now) - now
-        owner, total = np.repeat(np.arange(len(todo)), now), int(now.sum())
-        sketches = []
-        for sets in (ones, twos):
-            of = np.repeat(np.arange(len(todo)), [len(sets[i]) for i in todo])
-            found = np.concatenate([sets[i] for i in todo]) if len(todo) else np.empty(0, np.uint64)
-            sketches.append(_filled(found, now[of], start[of], total))
-        found, of, first, stuck = peel(subtract(*sketches), owner, now, start)
+        found, of, first, stuck = peel(subtract(*made), np.repeat(np.arange(len(todo)), now), now, start)
         order = np.argsort(of, kind="stable")
         found, of, first = found[order], of[order], first[order]
         ends = np.searchsorted(of, np.arange(len(todo) + 1))
         for k in np.flatnonzero(~stuck):
             mine, side = found[ends[k] : ends[k + 1]], first[ends[k] : ends[k + 1]]
             out[todo[k]] = (mine[side], mine[~side], int(now[k]))
+        again = size[todo[0]] == cells and (now == cells).all()
         todo = todo[stuck]
-        size[todo] = [max(2 * size[i], _next_size(ones[i], twos[i])) if first_try else 2 * size[i] for i in todo]
-        first_try = False
+        if not len(todo):
+            break
+        size[todo] = [max(2 * size[i], _next_size(ones[i], twos[i])) if again else 2 * size[i] for i in todo]
+        now = size[todo]
+        start = np.cumsum(now) - now
+        made = []
+        for sets in (ones, twos):
+            of = np.repeat(np.arange(len(todo)), [len(sets[i]) for i in todo])
+            made.append(_filled(np.concatenate([sets[i] for i in todo]), now[of], start[of], int(now.sum())))
     return out
 
 
@@ -176,12 +186,16 @@ def likeness(n_one: int, only_one: np.ndarray, only_two: np.ndarray) -> float:
     return both / every if every else 1.0
 
 
-def fingerprint(found: np.ndarray, cells: int = CELLS) -> str:
-    """The sketch as text: counts in 32 bits, digests and checks in 64, in base64."""
-    t = table(found, cells)
+def as_text(t: np.ndarray) -> str:
+    """A sketch as text: counts in 32 bits, digests and checks in 64, in base64."""
     return base64.b64encode(t[0].astype("<u4").tobytes() + t[1].astype("<u8").tobytes() + t[2].astype("<u8").tobytes()).decode()
 
 
+def fingerprint(found: np.ndarray, cells: int = CELLS) -> str:
+    """The published sketch of a set of digests, as text."""
+    return as_text(table(found, cells))
+
+
 def edited(text: str, after: str) -> str:
     """The text with its last quarter replaced by the first as many code points of the next text."""
     k = len(text) // 4
@@ -201,13 +215,15 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(pairs: list[tuple]) -> pd.DataFrame:
         texts = [edited(p[1], p[3]) for p in pairs]
         own, changed, after = [p[2] for p in pairs], [digests(t) for t in texts], [p[4] for p in pairs]
-        edits, nexts = differences(own, changed), differences(own, after)
+        mine, theirs, next_ = published(own), published(changed), published(after)
+        edits, nexts = differences(own, changed, sketches=(mine, theirs)), differences(own, after, sketches=(mine, next_))
+        of = lambda every, k: as_text(every[:, k * CELLS : (k + 1) * CELLS])
         return pd.DataFrame([
             (
-                p[0], len(p[1]), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(p[2]), fingerprint(c),
+                p[0], len(p[1]), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), of(mine, k), of(theirs, k),
                 likeness(len(p[2]), e[0], e[1]), likeness(len(p[2]), x[0], x[1]), len(p[2]), len(e[0]) + len(e[1]), e[2],
             )
-            for p, t, c, e, x in zip(pairs, texts, changed, edits, nexts, strict=True)
+            for k, (p, t, e, x) in enumerate(zip(pairs, texts, edits, nexts, strict=True))
         ], columns=columns)
 
     last, pairs = None, []

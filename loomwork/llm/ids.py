@@ -10,7 +10,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: The pieces that a worker remembers (about 200 bytes each); beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words with the space before them, and what stands between words.  Byte-level
 #: pre-tokenization has a boundary at each of these cuts, and what it makes of a piece
