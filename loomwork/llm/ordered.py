@@ -15,6 +15,8 @@ from loomwork.storage import checkpointed
 SPAN = 512
 #: Bytes of texts in a block, and blocks in a task.
 BLOCK_BYTES, TASK_BLOCKS = 2**20, 12
+#: Blocks at most, so that the driver and the broadcast hold 8 MiB of first ids at any input size: over a tebibyte of texts blocks grow with them.
+MOST_BLOCKS = 2**20
 
 
 def identified(documents: DataFrame) -> DataFrame:
@@ -29,17 +31,19 @@ def identified_by_size(documents: DataFrame, size: int = BLOCK_BYTES) -> tuple[D
 
     Blocks are numbered from 0 without gaps; rows of one doc_id stand in one block.
     The running sums are of one row for each doc_id, dealt by range and summed in two
-    levels; the driver gets the first doc_id of each block.
+    levels; the driver gets the first doc_id of each block, of MOST_BLOCKS at most:
+    where so many blocks of size don't hold all texts, each holds as much more.
     """
     rows = identified(documents)
     amounts = checkpointed(rows.groupBy("doc_id").agg(F.sum(F.octet_length("text") + 1).alias("amount")))
     dealt = checkpointed(amounts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    size = max(size, -(-(dealt.agg(F.sum("amount")).first()[0] or 0) // MOST_BLOCKS))
     inner = F.coalesce(F.sum("amount").over(before(Window.partitionBy("part").orderBy("doc_id"))), F.lit(0))
     tops = dealt.groupBy("part").agg(F.sum("amount").alias("total"), F.min("doc_id").alias("first"))
     tops = tops.select("part", F.coalesce(F.sum("total").over(before(Window.orderBy("first"))), F.lit(0)).alias("outer"))
     starts = dealt.withColumn("inner", inner).join(F.broadcast(tops), "part").select("doc_id", F.floor((F.col("inner") + F.col("outer")) / size).alias("k"))
-    firsts = np.sort(np.array([r["first"] for r in starts.groupBy("k").agg(F.min("doc_id").alias("first")).collect()], np.int64))
+    firsts = np.sort(starts.groupBy("k").agg(F.min("doc_id").alias("first")).toPandas()["first"].to_numpy(np.int64))
     shared = documents.sparkSession.sparkContext.broadcast(firsts)
 
     @F.pandas_udf("long")

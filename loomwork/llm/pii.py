@@ -77,6 +77,8 @@ def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 _LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H",
+    "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "ο": "o", "α": "a", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Ο": "O", "Τ": "T",
     "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", " ": " ", " ": " ", " ": " ",
 }
@@ -84,9 +86,17 @@ _LOOKALIKES = {
 _NOTHING = "­​‌‍⁠﻿"
 
 
+#: Letter-like, circled and mathematical letters: their compatibility forms are plain letters.
+_STYLED = (range(0x2100, 0x2150), range(0x24B6, 0x24EA), range(0x1D400, 0x1D7CE))
+
+
 def _characters() -> dict[int, str]:
-    """Replacements of single characters: lookalikes, full-width forms and the decimal digits of all scripts."""
+    """Replacements of single characters: lookalikes, styled and full-width forms and the decimal digits of all scripts."""
     table = {ord(k): v for k, v in _LOOKALIKES.items()}
+    for c in (c for r in _STYLED for c in r):
+        form = unicodedata.normalize("NFKC", chr(c))
+        if len(form) == 1 and (form := _LOOKALIKES.get(form, form)).isascii() and form.isalpha():
+            table[c] = form
     table |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     table |= {c: str(d) for c in range(0x80, 0x1FC00) if (d := unicodedata.decimal(chr(c), None)) is not None}
     return table | {ord(c): "" for c in _NOTHING}

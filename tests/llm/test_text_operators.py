@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loomwork.llm import htmlblocks, ids, linededup, mixing, packing, pii, tokenfile, toxicity
+from loomwork.llm import htmlblocks, ids, linededup, mixing, ordered, packing, pii, tokenfile, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, score int, topic string"
 
@@ -188,6 +188,10 @@ def test_plain_identifiers_as_the_patterns_say():
     ("call plus four nine one five five five one two three four five six ok", "phone", "plus four nine one five five five one two three four five six"),
     ("ip one nine two dot one six eight dot one dot one end", "ip", "one nine two dot one six eight dot one dot one"),
     ("+٤٩ 155 5123456", "phone", "+٤٩ 155 5123456"),
+    ("to 𝗃𝗈𝗁𝗇@𝖾𝗑𝖺𝗆𝗉𝗅𝖾.𝖼𝗈𝗆 now", "email", "𝗃𝗈𝗁𝗇@𝖾𝗑𝖺𝗆𝗉𝗅𝖾.𝖼𝗈𝗆"),
+    ("ⓙⓞⓗⓝ@example.com", "email", "ⓙⓞⓗⓝ@example.com"),
+    ("jօhn@example.cօm", "email", "jօhn@example.cօm"),
+    ("x \u13a0\u13aa\u13b7@example.com", "email", "\u13a0\u13aa\u13b7@example.com"),
 ])
 def test_disguises(text, kind, span):
     (found,) = pii.disguised(text, pii.plain(text))
@@ -305,6 +309,14 @@ def test_packing_does_not_depend_on_the_spacing_of_ids(spark, monkeypatch):
     assert sum(p[2] for p in whole) / (2048 * len({p[3] for p in whole})) > 0.8
 
 
+def test_blocks_grow_where_so_many_are_too_few(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_BLOCKS", 7)
+    rows, n = ordered.identified_by_size(docs(spark, [(k * 3, "x" * 99, "s") for k in range(700)]), 100)
+    found = sorted((r["doc_id"], r["block"]) for r in rows.collect())
+    assert n <= 8 and len(found) == 700 and found[0][1] == 0
+    assert [b for _, b in found] == sorted(b for _, b in found) and {b for _, b in found} == set(range(n))
+
+
 def test_bit_packing_round_trip():
     rng = np.random.default_rng(8)
     for width in (1, 3, 7, 13, 16, 17, 20):
