@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,29 +107,57 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str,
 _CLAIM = "key long, left_id long, right_id long, gap double"
 
 
-def claimed(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str, within: int, span: int) -> DataFrame:
-    """As nearest, but each right row goes to one left row at most: claims go in the order of the left rows' time.
-
-    A group is one key within one stretch of time (span seconds), so that no key is ever
-    held whole; claims don't reach over the ends of a stretch.
+def _claims(reach: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A walk over rows in the order of key, stretch and time that holds only what is within reach of the present row."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, waiting, free, out = None, deque(), deque(), []
+
+        def settle(now: int | None) -> None:
+            while waiting and (now is None or waiting[0][0] + reach < now):
+                t, left = waiting.popleft()
+                while free and free[0][0] < t - reach:
+                    free.popleft()
+                if free:
+                    gap, x, right = min((abs(x - t), x, right) for x, right in free)
+                    free.remove((x, right))
+                    out.append((here[0], left, right, gap / 1e6))
+
+        for batch in batches:
+            for key, stretch, t, side, id_ in zip(batch["key"], batch["stretch"], batch["t"], batch["side"], batch["id"], strict=True):
+                if (key, stretch) != here:
+                    settle(None)
+                    free.clear()
+                    here = (key, stretch)
+                settle(t)
+                (free if side else waiting).append((t, id_))
+                while free and free[0][0] < (waiting[0][0] if waiting else t) - reach:
+                    free.popleft()
+            yield pd.DataFrame(out, columns=["key", "left_id", "right_id", "gap"])
+            out.clear()
+        settle(None)
+        yield pd.DataFrame(out, columns=["key", "left_id", "right_id", "gap"])
+
+    return walk
+
+
+def claimed(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str, within: int) -> DataFrame:
+    """As nearest, but each right row goes to one left row at most: claims go in the order of the left rows' time, then id.
+
+    Nothing is claimed over a time as long as the reach without a row, so each key is dealt
+    out in the stretches between such times; a stretch is walked in order, and of it only
+    the rows within reach are held.  Rows without a key or time claim nothing.
     """
+    reach = within * 1_000_000
+
     def rows(df: DataFrame, id_: str, side: int) -> DataFrame:
-        t = micros(at) / 1e6
-        return df.select(F.col(key).cast("long").alias("key"), F.floor(t / span).alias("stretch"), F.col(id_).cast("long").alias("id"), t.alias("t"), F.lit(side).alias("side"))
-
-    def claim(group: pd.DataFrame) -> pd.DataFrame:
-        mine = group[group["side"] == 0].sort_values(["t", "id"])
-        free = group[group["side"] == 1].sort_values(["t", "id"])
-        times, ids, taken, out = free["t"].to_numpy(), free["id"].to_numpy(), set(), []
-        for k, t, i in zip(mine["key"], mine["t"], mine["id"], strict=True):
-            near = [(abs(x - t), x, j, n) for n, (x, j) in enumerate(zip(times, ids, strict=True)) if abs(x - t) <= within and n not in taken]
-            if near:
-                gap, _, j, n = min(near)
-                taken.add(n)
-                out.append((k, i, j, float(gap)))
-        return pd.DataFrame(out, columns=["key", "left_id", "right_id", "gap"])
-
-    return rows(left, left_id, 0).unionByName(rows(right, right_id, 1)).groupBy("key", "stretch").applyInPandas(claim, _CLAIM)
+        known = df.select(F.col(key).cast("long").alias("key"), micros(at).alias("t"), F.lit(side).alias("side"), F.col(id_).cast("long").alias("id"))
+        return known.where("key IS NOT NULL AND t IS NOT NULL").withColumn("bin", F.floor(F.col("t") / reach))
+
+    both = rows(left, left_id, 0).unionByName(rows(right, right_id, 1))
+    stretch = F.col("bin") - F.row_number().over(Window.partitionBy("key").orderBy("bin"))  # the same along adjacent bins
+    stretches = both.select("key", "bin").distinct().select("key", "bin", stretch.alias("stretch"))
+    dealt = both.join(stretches, ["key", "bin"]).select("key", "stretch", "t", "side", "id").repartition("key", "stretch")
+    return dealt.sortWithinPartitions("key", "stretch", "t", "id").mapInPandas(_claims(reach), _CLAIM)
 
 
 def sessions(events: DataFrame, by: str, at: str, gap: int, cap: int | None = None) -> DataFrame:

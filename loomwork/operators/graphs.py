@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.storage import checkpointed
+from loomwork.storage import checkpointed, written
 
 PROOFS = 20
 
@@ -48,12 +48,12 @@ def fan(edges: DataFrame, least: int) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """node, depth: what the start nodes reach, at the least number of steps; nodes in stops are reached but not left.
 
-    Breadth first: each round joins the newest nodes only, and is checkpointed.  Rounds
+    Breadth first, over edges that are written once: each round joins the newest nodes only, and is checkpointed.  Rounds
     go on until nothing is new; where most is given and more are needed, it raises.
     """
     found = checkpointed(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     newest = found
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "edges")
     for depth in count(1):
         leaving = newest if stops is None else newest.join(stops.select("node"), "node", "left_anti")
         reached = links.join(leaving.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()

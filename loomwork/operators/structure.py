@@ -147,23 +147,23 @@ def located(points: DataFrame, symbols: DataFrame) -> DataFrame:
     return best.select("point_id", F.coalesce("b.symbol", "path").alias("symbol"), F.coalesce(via, F.lit("file")).alias("via"))
 
 
-def composed_routes(mounts: DataFrame, routes: DataFrame, most: int = 16) -> DataFrame:
+def composed_routes(mounts: DataFrame, routes: DataFrame) -> DataFrame:
     """route_id, path: routes with the prefixes of all mounts of their router, followed to the app.
 
     mounts: holder, child, prefix; routes: route_id, router, path.  A router that is mounted
     nowhere has no prefix; several mounts give several paths; a way that comes back to a router is left.
+    Rounds go on until every way has ended.
     """
-    own = routes.select("route_id", F.col("router").alias("at"), "path", F.array("router").alias("seen"))
     done = None
-    open_ = own
+    open_ = checkpointed(routes.select("route_id", F.col("router").alias("at"), "path", F.array("router").alias("seen")))
     step = mounts.select(F.col("child").alias("at"), "holder", "prefix")
-    for _ in range(most):
+    while done is None or not open_.isEmpty():
         met = open_.join(step, "at", "left")
         top = met.where(F.col("holder").isNull()).select("route_id", "path")
         done = top if done is None else done.union(top)
-        open_ = met.where(F.col("holder").isNotNull() & ~F.array_contains("seen", F.col("holder"))).select(
+        open_ = checkpointed(met.where(F.col("holder").isNotNull() & ~F.array_contains("seen", F.col("holder"))).select(
             "route_id", F.col("holder").alias("at"), F.concat("prefix", F.lit("/"), "path").alias("path"), F.concat("seen", F.array("holder")).alias("seen")
-        )
+        ))
     return done.select("route_id", fn.route_path(F.regexp_replace("path", "^/+", "")).alias("path")).distinct()
 
 

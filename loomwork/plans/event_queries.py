@@ -135,7 +135,7 @@ def nearest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nearest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    return ops.claimed(rows.where("event_type = 'purchase'"), rows.where("event_type = 'click'"), "user_id", "ts", "event_id", "event_id", 900, 86_400)
+    return ops.claimed(rows.where("event_type = 'purchase'"), rows.where("event_type = 'click'"), "user_id", "ts", "event_id", "event_id", 900)
 
 
 @query("""

@@ -64,29 +64,32 @@ def dead_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(F.lit("customer").alias("kind"), "node").union(parts.select(F.lit("part"), "node"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of parts: 7k -> part of an order line, from a part to the next ones."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), "p_size")
-    n = F.lit(1) + F.pmod(F.col("src") * 3 + F.col("p_size"), F.lit(400))
-    return p.where("src <= 400").select("src", n.cast("long").alias("dst"))
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of parts: from the part of an order's line to the next line's, if both have one return flag and the next was shipped later."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_returnflag")
+    following = [F.lead(c).over(w).alias(n) for c, n in (("l_partkey", "dst"), ("l_returnflag", "flag"), ("l_shipdate", "shipped"))]
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), "l_returnflag", "l_shipdate", *following)
+    return lines.where("flag = l_returnflag AND shipped > l_shipdate").select("src", "dst").distinct()
 
 
-_SPARSE = "e AS (SELECT p_partkey AS src, CAST(1 + (p_partkey * 3 + p_size) % 400 AS BIGINT) AS dst FROM part WHERE p_partkey <= 400)"
+_FOLLOWED = """e AS (SELECT DISTINCT src, dst FROM (
+  SELECT l_partkey AS src, l_returnflag AS a, l_shipdate AS b, lead(l_partkey) OVER w AS dst, lead(l_returnflag) OVER w AS flag, lead(l_shipdate) OVER w AS shipped
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_returnflag)) WHERE flag = a AND shipped > b)"""
 
 
 @query(f"""
-WITH RECURSIVE {_SPARSE}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT CAST(2 AS BIGINT) UNION SELECT dst FROM r JOIN e ON src = node)
+WITH RECURSIVE {_FOLLOWED}, r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT CAST(2 AS BIGINT) UNION SELECT dst FROM r JOIN e ON src = node)
 SELECT node FROM r""")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = spark.range(1, 3).select(F.col("id").alias("node"))
-    return graphs.reachable(_sparse(spark, sf_dir), starts).select("node")
+    return graphs.reachable(_followed(spark, sf_dir), starts).select("node")
 
 
 @query(f"""
-WITH RECURSIVE {_SPARSE}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON src = b)
+WITH RECURSIVE {_FOLLOWED}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON src = b)
 SELECT x.a AS node, min(least(x.a, x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.strong_components(_sparse(spark, sf_dir))
+    return graphs.strong_components(_followed(spark, sf_dir))
 
 
 @query("""

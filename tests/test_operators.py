@@ -295,8 +295,30 @@ def test_small_reports(spark):
 def test_claims_are_exclusive(spark):
     left = spark.createDataFrame([(1, 1, 100), (1, 2, 101)], "k long, id long, t long").withColumn("ts", F.timestamp_seconds("t"))
     right = spark.createDataFrame([(1, 11, 102), (1, 12, 200)], "k long, id long, t long").withColumn("ts", F.timestamp_seconds("t"))
-    assert [(r["left_id"], r["right_id"]) for r in events.claimed(left, right, "k", "ts", "id", "id", 50, 86_400).collect()] == [(1, 11)]
-    assert sorted((r["left_id"], r["right_id"]) for r in events.claimed(left, right, "k", "ts", "id", "id", 150, 86_400).collect()) == [(1, 11), (2, 12)]
+    assert [(r["left_id"], r["right_id"]) for r in events.claimed(left, right, "k", "ts", "id", "id", 50).collect()] == [(1, 11)]
+    assert sorted((r["left_id"], r["right_id"]) for r in events.claimed(left, right, "k", "ts", "id", "id", 150).collect()) == [(1, 11), (2, 12)]
+
+
+def test_claims_against_a_plain_search(spark):
+    rng = random.Random(5)
+    far = lambda: rng.choice([0, 86_350, 400_000]) + rng.randrange(120)
+    left, right = ([(rng.randrange(3), i, far()) for i in range(n, n + 90)] for n in (0, 1000))
+    want, taken = [], set()
+    for k, i, t in sorted(left, key=lambda r: (r[2], r[1])):
+        near = [(abs(x - t), x, j) for key, j, x in right if key == k and abs(x - t) <= 20 and j not in taken]
+        if near:
+            gap, _, j = min(near)
+            taken.add(j)
+            want.append((k, i, j, float(gap)))
+    tables = [spark.createDataFrame(rows + [(None, 7, 5), (1, 8, None)], "k long, id long, t long").withColumn("ts", F.timestamp_seconds("t")) for rows in (left, right)]
+    assert sorted(map(tuple, events.claimed(*tables, "k", "ts", "id", "id", 20).collect())) == sorted(want)
+    assert events.claimed(*[t.limit(0) for t in tables], "k", "ts", "id", "id", 20).count() == 0
+
+
+def test_routes_under_many_mounts(spark):
+    mounts = spark.createDataFrame([(f"r{k}", f"r{k + 1}", f"p{k}") for k in range(20)], "holder string, child string, prefix string")
+    routes = spark.createDataFrame([(1, "r20", "end")], "route_id int, router string, path string")
+    assert [r["path"] for r in structure.composed_routes(mounts, routes).collect()] == ["/" + "/".join(f"p{k}" for k in range(20)) + "/end"]
 
 
 def test_recordings(spark, tmp_path):
