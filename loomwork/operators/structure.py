@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
 from loomwork.sized import join_small
-from loomwork.storage import checkpointed
+from loomwork.storage import checkpointed, written
 
 # Endings that an import may leave out, in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", ".css")
@@ -275,13 +275,13 @@ def code_tokens(text: Column, python: bool = False) -> Column:
 
 def _windows(n: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_hexdigest
 
         for batch in batches:
             rows = []
             for doc, tokens in zip(batch["doc"], batch["tokens"], strict=True):
                 words = list(tokens)
-                rows += [(doc, at, xxh3_64_intdigest("\x1f".join(words[at : at + n])) - 2**63) for at in range(len(words) - n + 1)]
+                rows += [(doc, at, xxh3_128_hexdigest("\x1f".join(words[at : at + n]))) for at in range(len(words) - n + 1)]
             yield pd.DataFrame(rows, columns=["doc", "at", "h"])
 
     return cut
@@ -294,7 +294,7 @@ def copied_stretches(sources: DataFrame, n: int) -> DataFrame:
     window in many places gives one row for each, not one for each pair; neighbouring windows
     with the same shift join to one stretch.
     """
-    windows = sources.select("doc", "tokens").mapInPandas(_windows(n), "doc long, at int, h long")
+    windows = sources.select("doc", "tokens").mapInPandas(_windows(n), "doc long, at int, h string")
     first = windows.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", "f")
     met = windows.join(first, "h").where(~((F.col("doc") == F.col("f.doc")) & (F.abs(F.col("at") - F.col("f.at")) < n)))
     met = met.select(F.col("f.doc").alias("one"), F.col("f.at").alias("one_at"), F.col("doc").alias("two"), F.col("at").alias("two_at"))
@@ -305,3 +305,44 @@ def copied_stretches(sources: DataFrame, n: int) -> DataFrame:
         F.min("one_at").alias("one_at"), F.min("two_at").alias("two_at"), (F.count("*") + n - 1).alias("length")
     )
     return runs.select("one", "one_at", "two", "two_at", "length")
+
+
+def lined_words(text: Column, pattern: str = "[A-Za-z0-9]+") -> Column:
+    """(tokens, lines) of a text: its words in order, and the line (from 1) of each."""
+    each = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract_all(x, F.lit(pattern), 0))
+    numbers = F.transform(each, lambda words, i: F.transform(words, lambda _: i + 1))
+    return F.struct(F.flatten(each).alias("tokens"), F.flatten(numbers).alias("lines"))
+
+
+def least_period(words: list[str]) -> int:
+    """The least shift under which a list agrees with itself (its length, if there is none)."""
+    fall = [0] * len(words)
+    for k in range(1, len(words)):
+        j = fall[k - 1]
+        while j and words[k] != words[j]:
+            j = fall[j - 1]
+        fall[k] = j + (words[k] == words[j])
+    return len(words) - (fall[-1] if fall else 0)
+
+
+def copies(sources: DataFrame, n: int = 80, least_lines: int = 8) -> DataFrame:
+    """one, one_at, two, two_at, length: copied stretches whose tokens were compared, of so many lines in both places, that don't repeat themselves.
+
+    sources: doc (unique), tokens, lines.  A stretch that consists of one part twice or more (a
+    list of alike lines) is no copy.  Sources are written once; each stretch is read again in both places.
+    """
+    kept = written(sources.select("doc", "tokens", "lines").where(F.size("tokens") >= n), "sources")
+    cut = lambda end, c: F.slice(c, F.col(f"{end}_at") + 1, F.col("length").cast("int"))
+    found = copied_stretches(kept, n)
+    for end in ("two", "one"):
+        text = kept.select(F.col("doc").alias(end), "tokens", "lines")
+        place = cut(end, "lines")
+        found = found.join(text, end).withColumn(f"{end}_lines", F.element_at(place, -1) - F.element_at(place, 1) + 1).withColumn(f"{end}_words", cut(end, "tokens"))
+        found = found.where(F.col(f"{end}_lines") >= least_lines).drop("tokens", "lines")
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[least_period(list(w)) > len(w) / 2 for w in batch.pop("words")]]
+
+    same = found.where("one_words = two_words").select("one", "one_at", "two", "two_at", "length", F.col("one_words").alias("words"))
+    return same.mapInPandas(own, "one long, one_at int, two long, two_at int, length long")

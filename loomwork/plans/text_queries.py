@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as fn
+from loomwork.operators import structure
 from loomwork.plans.registry import query, table
 
 _BEARER = r"(?i)Bearer\s+[^\s""',;]+".replace('""', '"')
@@ -194,3 +195,18 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     numbers = F.size(F.filter("w", lambda x: x.rlike("^[0-9]+$")))
     return rows.select("doc_id", F.size("w").cast("long").alias("words"), F.size(F.array_distinct("w")).cast("long").alias("distinct_words"), numbers.cast("long").alias("numbers"))
+
+
+@query(r"""
+WITH d AS (SELECT doc, flatten([regexp_extract_all(x, '[A-Za-z0-9]+') FOR x IN ls]) AS w, flatten([[i FOR y IN regexp_extract_all(x, '[A-Za-z0-9]+')] FOR x, i IN ls]) AS n
+  FROM (SELECT doc_id AS doc, string_split(text, chr(10)) AS ls FROM documents)),
+h AS (SELECT doc, unnest(range(0, len(w) - 79)) AS pos, unnest([md5(array_to_string(w[i + 1:i + 80], ' ')) FOR i IN range(0, len(w) - 79)]) AS k FROM d WHERE len(w) >= 80),
+f AS (SELECT doc, pos, min({'d': doc, 'a': pos}) OVER (PARTITION BY k) AS p FROM h),
+m AS (SELECT p.d AS one, p.a AS one_at, doc AS two, pos AS two_at FROM f WHERE NOT (doc = p.d AND abs(pos - p.a) < 80)),
+s AS (SELECT *, two_at - one_at AS shift, two_at - row_number() OVER (PARTITION BY one, two, two_at - one_at ORDER BY two_at) AS island FROM m),
+r AS (SELECT one, two, CAST(min(one_at) AS INT) AS one_at, CAST(min(two_at) AS INT) AS two_at, count(*) + 79 AS length FROM s GROUP BY one, two, shift, island)
+SELECT r.* FROM r JOIN d a ON a.doc = one JOIN d b ON b.doc = two WHERE a.n[one_at + length] - a.n[one_at + 1] >= 7 AND b.n[two_at + length] - b.n[two_at + 1] >= 7
+  AND len([p FOR p IN range(1, length // 2 + 1) IF a.w[one_at + 1:one_at + length - p] = a.w[one_at + p + 1:one_at + length]]) = 0""")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = structure.lined_words(F.col("text"))
+    return structure.copies(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words.alias("w")).select("doc", "w.*"))

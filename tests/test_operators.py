@@ -197,6 +197,18 @@ def test_code_copies(spark):
     assert [(r["one"], r["one_at"], r["two"], r["two_at"], r["length"]) for r in got] == [(1, 3, 2, 5, 30)]
 
 
+def test_copies_are_whole_and_do_not_repeat_themselves(spark):
+    shared = [f"word{k} and more" for k in range(12)]
+    texts = ["head\n" + "\n".join(shared) + "\nfoot", "other head here\n" + "\n".join(shared), "a b c\n" * 20, "x\n" + "a b c\n" * 20, " ".join(shared), "", None]
+    sources = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").select("doc", structure.lined_words(F.col("text")).alias("w")).select("doc", "w.*")
+    got = sorted(map(tuple, structure.copies(sources, 10, 8).collect()))
+    assert got == [(0, 1, 1, 3, 36)]  # the fourth repeats itself, the fifth is one line
+    rng = random.Random(2)
+    for _ in range(300):
+        words = [rng.choice("ab") for _ in range(rng.randrange(1, 12))]
+        assert structure.least_period(words) == next(p for p in range(1, len(words) + 1) if words[p:] == words[: len(words) - p])
+
+
 def myers_length(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
