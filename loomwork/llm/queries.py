@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import ann, fingerprint, htmlblocks, infill, linededup, mixing, neardup, packing, pii, tokenfile, toxicity, turnrepair
+from loomwork.llm import ann, fingerprint, htmlblocks, infill, linededup, mixing, neardup, packing, pii, relativeparse, tokenfile, toxicity, turnrepair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,15 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repaired(turnrepair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relativeparse.digest(relativeparse.without_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_near_duplicates, op3_toxicity, op4_mixing, op5_nearest_vectors, op6_line_dedup,
-        op7_personal_data, op8_packing, op9_token_files, op10_main_text, op11_fill_in_middle, op12_turn_repair,
+        op7_personal_data, op8_packing, op9_token_files, op10_main_text, op11_fill_in_middle, op12_turn_repair, op13_substring_dedup,
     )
 }
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES = {
     "op11_fill_in_middle": infill.ORACLE,
     "op12_turn_repair": turnrepair.ORACLE,
+    "op13_substring_dedup": relativeparse.ORACLE,
     "op6_line_dedup": linededup.ORACLE.format(documents="documents")
     + """
 SELECT doc_id, source,
