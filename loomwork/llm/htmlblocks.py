@@ -43,8 +43,9 @@ _FRAME_WORDS = frozenset(
 _FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 # Words that only say what shape a part of the frame has.
 _SHAPE_WORDS = frozenset(
-    "area bar block body box button buttons container content count form group heading icon icons inner inline item items label left link links list "
-    "more panel post posts article articles right row section slot small text thread title top bottom unit wrap wrapper".split()
+    "area bar block body box button buttons col column container content count desktop first fixed form global group heading icon icons id inner inline "
+    "item items js label last left link links list main mobile more outer page panel post posts article articles primary right row secondary section site "
+    "slot small sticky sub text thread title top bottom unit web website wp wrap wrapper".split()
 )
 _ARTICLE_WORDS = frozenset("article articlebody post entry story".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
@@ -55,6 +56,9 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+#: A line of rights at a page's end.
+_RIGHTS = re.compile(r"(?i)(?:©|\(c\)|copyright)\s.*\d{4}|.*\ball rights reserved\W*\Z")
+_RIGHTS_WORDS = 30
 _LINE_HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -86,13 +90,21 @@ def _attributes(text: str) -> dict[str, str]:
 def _named_frame(names: str, inside: bool) -> bool:
     """Whether class or id names mark a part of the frame.
 
-    Outside the article one such word is enough; inside it a name must say nothing
-    else, so that "related-posts" does and "related-work" or "share-price" doesn't.
+    A name must say nothing else, so that "related-posts" and "site-header" do and
+    "has-sidebar", "related-work" or "share-price" don't.
     """
     for name in names.split():
         words = {w.lower() for w in _TOKEN.findall(name)}
-        marking = words & _FRAME_WORDS - ({"header"} if inside else set())
-        if marking and (not inside or words <= _FRAME_WORDS | _SHAPE_WORDS):
+        if words & _FRAME_WORDS - ({"header"} if inside else set()) and words <= _FRAME_WORDS | _SHAPE_WORDS:
+            return True
+    return False
+
+
+def _named_article(names: str) -> bool:
+    """Whether a class or id name says that the article stands there, and nothing else."""
+    for name in names.split():
+        words = {w.lower() for w in _TOKEN.findall(name)}
+        if words & _ARTICLE_WORDS and words <= _ARTICLE_WORDS | _SHAPE_WORDS:
             return True
     return False
 
@@ -109,7 +121,7 @@ def _opened(name: str, attributes: str, parent: _Open) -> _Open:
             frame = frame or bool(marks & _COMMENT_WORDS) and name == "article"
         else:
             frame = frame or role in _FRAME_ROLES or _named_frame(f"{found.get('class', '')} {found.get('id', '')}", parent.inside)
-            inside = inside or role == "main" or bool(marks & _ARTICLE_WORDS) or found.get("itemprop", "").lower() == "articlebody"
+            inside = inside or role == "main" or _named_article(f"{found.get('class', '')} {found.get('id', '')}") or found.get("itemprop", "").lower() == "articlebody"
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _LINE_HIDDEN.search(found.get("style", "")):
             frame = True
     return _Open(name, inside, frame, parent.link or name == "a", parent.heading or name in _HEADINGS)
@@ -196,38 +208,29 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-#: words, link density, words before, link density before, words after, link density after,
-#: place (2: inside the article, 1: the page marks none, 0: outside it), frame, heading, and whether it is article text.
+#: Neighbours of the labelled blocks: words and link density of the block before and of the one after.
+AROUND = [
+    (0, 0.00, 60, 0.00), (60, 0.00, 0, 0.00), (60, 0.00, 45, 0.10), (0, 0.00, 0, 0.00), (8, 0.00, 9, 0.00), (2, 0.00, 3, 0.00),
+    (3, 1.00, 60, 0.00), (60, 0.00, 4, 1.00), (2, 1.00, 3, 1.00), (0, 0.00, 2, 1.00), (3, 1.00, 0, 0.00), (12, 0.80, 7, 0.90),
+]
+#: words, link density, place (2: inside the article, 1: the page marks none, 0: outside it), frame, heading, and
+#: for each of AROUND whether such a block there is article text.
 LABELLED = [
-    (320, 0.00, 12, 0.00, 180, 0.02, 2, 0, 0, 1), (1, 0.00, 60, 0.00, 45, 0.00, 2, 0, 0, 1), (3, 0.00, 4, 0.00, 0, 0.00, 2, 0, 0, 1),
-    (9, 0.00, 0, 0.00, 80, 0.00, 2, 0, 1, 1), (2, 0.00, 0, 0.00, 2, 0.00, 2, 0, 1, 1), (64, 0.20, 30, 0.00, 22, 0.00, 2, 0, 0, 1),
-    (18, 0.45, 90, 0.05, 70, 0.00, 2, 0, 0, 1), (5, 0.00, 120, 0.00, 3, 0.00, 2, 0, 0, 1), (40, 0.00, 6, 1.00, 9, 1.00, 2, 0, 0, 1),
-    (12, 0.00, 9, 0.00, 1, 1.00, 2, 0, 0, 1), (7, 0.00, 0, 0.00, 0, 0.00, 2, 0, 0, 1), (25, 0.30, 2, 0.00, 14, 0.00, 2, 0, 0, 1),
-    (3, 0.00, 1, 1.00, 7, 0.20, 2, 0, 1, 1), (2, 0.00, 2, 1.00, 60, 0.00, 2, 0, 1, 1), (1, 0.00, 3, 1.00, 0, 0.00, 2, 0, 0, 1),
-    (4, 0.00, 6, 1.00, 2, 1.00, 2, 0, 0, 1), (2, 0.00, 30, 0.00, 4, 1.00, 2, 0, 0, 1), (1, 0.00, 2, 0.00, 1, 1.00, 2, 0, 0, 1),
-    (5, 0.00, 1, 1.00, 1, 1.00, 2, 0, 1, 1), (4, 0.40, 1, 1.00, 8, 0.00, 2, 0, 0, 1), (3, 0.33, 20, 0.00, 2, 1.00, 2, 0, 0, 1),
-    (4, 1.00, 60, 0.00, 5, 1.00, 2, 0, 0, 0), (6, 1.00, 4, 1.00, 0, 0.00, 2, 0, 0, 0), (14, 0.90, 40, 0.00, 12, 0.95, 2, 0, 0, 0),
-    (90, 0.00, 60, 0.00, 30, 0.00, 2, 1, 0, 0), (8, 0.00, 120, 0.00, 4, 0.00, 2, 1, 0, 0), (5, 0.00, 90, 0.00, 50, 0.00, 2, 1, 1, 0),
-    (30, 0.10, 15, 0.00, 60, 0.00, 2, 1, 0, 0), (3, 1.00, 90, 0.00, 3, 1.00, 2, 1, 0, 0), (140, 0.00, 8, 0.00, 70, 0.00, 2, 1, 0, 0),
-    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0), (2, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0), (15, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0),
-    (60, 0.00, 200, 0.00, 20, 0.00, 0, 1, 0, 0), (120, 0.05, 80, 0.00, 0, 0.00, 0, 1, 0, 0), (11, 0.00, 180, 0.00, 0, 0.00, 0, 1, 0, 0),
-    (20, 0.00, 14, 1.00, 9, 0.00, 0, 0, 0, 0), (85, 0.00, 3, 0.00, 11, 0.00, 0, 0, 0, 0), (6, 0.00, 2, 1.00, 40, 0.00, 0, 0, 1, 0),
-    (35, 0.10, 150, 0.00, 6, 1.00, 0, 0, 0, 0), (2, 0.00, 70, 0.00, 0, 0.00, 0, 0, 0, 0), (150, 0.00, 9, 0.00, 60, 0.00, 0, 0, 0, 0),
-    (90, 0.02, 8, 0.00, 75, 0.00, 1, 0, 0, 1), (45, 0.00, 60, 0.00, 4, 0.00, 1, 0, 0, 1), (30, 0.10, 100, 0.00, 80, 0.00, 1, 0, 0, 1),
-    (6, 0.00, 3, 1.00, 80, 0.00, 1, 0, 1, 1), (4, 0.00, 60, 0.00, 55, 0.00, 1, 0, 1, 1), (3, 0.00, 50, 0.00, 48, 0.00, 1, 0, 0, 1),
-    (12, 0.00, 40, 0.00, 30, 0.00, 1, 0, 0, 1), (8, 0.00, 70, 0.00, 9, 0.00, 1, 0, 0, 1), (200, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1),
-    (11, 0.00, 120, 0.00, 0, 0.00, 1, 0, 0, 1), (2, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1), (1, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1),
-    (7, 0.00, 140, 0.05, 2, 0.00, 1, 0, 0, 1), (3, 0.00, 9, 0.00, 1, 0.00, 1, 0, 0, 1), (2, 0.00, 1, 0.00, 1, 0.00, 1, 0, 0, 1),
-    (5, 0.00, 70, 0.10, 0, 0.00, 1, 0, 0, 1), (1, 0.00, 30, 0.00, 2, 0.00, 1, 0, 0, 1), (13, 0.00, 2, 0.00, 3, 0.00, 1, 0, 1, 1),
-    (4, 0.00, 8, 0.00, 0, 0.00, 1, 0, 1, 1), (2, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 1), (9, 0.00, 4, 0.00, 2, 0.20, 1, 0, 0, 1),
-    (3, 0.00, 3, 1.00, 0, 0.00, 1, 0, 0, 0), (8, 0.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0), (2, 0.00, 4, 1.00, 5, 1.00, 1, 0, 0, 0),
-    (5, 0.20, 2, 1.00, 1, 1.00, 1, 0, 0, 0), (3, 0.00, 12, 0.80, 2, 0.90, 1, 0, 0, 0), (10, 0.10, 3, 1.00, 4, 1.00, 1, 0, 0, 0),
-    (16, 0.00, 11, 0.00, 35, 0.00, 1, 0, 0, 1), (22, 0.00, 5, 0.00, 3, 1.00, 1, 0, 0, 1), (14, 0.00, 6, 0.00, 13, 0.00, 1, 0, 0, 1),
-    (1, 1.00, 0, 0.00, 2, 1.00, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 0, 0), (5, 1.00, 3, 1.00, 60, 0.00, 1, 0, 0, 0),
-    (25, 0.80, 12, 1.00, 40, 0.00, 1, 0, 0, 0), (3, 0.00, 2, 1.00, 3, 1.00, 1, 0, 0, 0), (2, 0.00, 0, 0.00, 3, 1.00, 1, 0, 0, 0),
-    (4, 0.00, 6, 1.00, 0, 0.00, 1, 0, 0, 0), (6, 0.50, 8, 0.00, 2, 1.00, 1, 0, 0, 0), (4, 0.00, 3, 1.00, 2, 0.00, 1, 0, 1, 0),
-    (50, 0.00, 3, 1.00, 70, 0.00, 1, 1, 0, 0), (7, 0.00, 90, 0.00, 60, 0.00, 1, 1, 0, 0), (110, 0.05, 60, 0.00, 0, 0.00, 1, 1, 0, 0),
-    (3, 1.00, 0, 0.00, 3, 1.00, 1, 1, 0, 0), (9, 0.00, 150, 0.00, 0, 0.00, 1, 1, 0, 0), (24, 0.00, 4, 0.00, 30, 0.00, 1, 1, 1, 0),
+    (1, 0.00, 2, 0, 0, "111111111111"), (4, 0.00, 2, 0, 0, "111111111111"), (9, 0.00, 2, 0, 1, "111111111111"), (2, 0.00, 2, 0, 1, "111111111111"),
+    (18, 0.45, 2, 0, 0, "111111111111"), (64, 0.20, 2, 0, 0, "111111111111"), (320, 0.00, 2, 0, 0, "111111111111"), (3, 1.00, 2, 0, 0, "111111111111"),
+    (8, 0.50, 2, 0, 0, "111111111111"), (30, 1.00, 2, 0, 0, "111111111111"), (5, 1.00, 2, 0, 1, "111111111111"),
+    (3, 1.00, 2, 1, 0, "000000000000"), (30, 0.10, 2, 1, 0, "000000000000"), (140, 0.00, 2, 1, 0, "000000000000"), (5, 0.00, 2, 1, 1, "000000000000"),
+    (1, 1.00, 0, 1, 0, "000000000000"), (15, 0.00, 0, 1, 0, "000000000000"), (120, 0.05, 0, 1, 0, "000000000000"), (3, 0.00, 0, 1, 1, "000000000000"),
+    (2, 0.00, 0, 0, 0, "000000000000"), (20, 0.00, 0, 0, 0, "000000000000"), (150, 0.00, 0, 0, 0, "000000000000"), (6, 0.00, 0, 0, 1, "000000000000"),
+    (3, 1.00, 1, 1, 0, "000000000000"), (24, 0.00, 1, 1, 0, "000000000000"), (110, 0.05, 1, 1, 0, "000000000000"), (7, 0.00, 1, 1, 1, "000000000000"),
+    (20, 0.00, 1, 0, 0, "111111111111"), (35, 0.10, 1, 0, 0, "111111111111"), (60, 0.00, 1, 0, 0, "111111111111"), (90, 0.25, 1, 0, 0, "111111111111"),
+    (200, 0.00, 1, 0, 0, "111111111111"), (28, 0.30, 1, 0, 0, "111111111111"), (45, 0.00, 1, 0, 0, "111111111111"), (120, 0.05, 1, 0, 0, "111111111111"),
+    (14, 0.00, 1, 0, 0, "111111110010"), (12, 0.00, 1, 0, 0, "111111110010"), (17, 0.00, 1, 0, 0, "111111110010"),
+    (1, 0.00, 1, 0, 0, "111111110000"), (3, 0.00, 1, 0, 0, "111111110000"), (6, 0.00, 1, 0, 0, "111111110000"), (9, 0.00, 1, 0, 0, "111111110000"),
+    (2, 0.00, 1, 0, 0, "111111110000"), (5, 0.20, 1, 0, 0, "111111110000"), (8, 0.25, 1, 0, 0, "111111110000"),
+    (1, 0.00, 1, 0, 1, "111111110100"), (4, 0.00, 1, 0, 1, "111111110100"), (9, 0.00, 1, 0, 1, "111111110100"), (6, 0.00, 1, 0, 1, "111111110100"),
+    (1, 1.00, 1, 0, 0, "001000000000"), (2, 1.00, 1, 0, 0, "001000000000"), (5, 1.00, 1, 0, 0, "001000000000"), (12, 0.90, 1, 0, 0, "001000000000"),
+    (25, 0.80, 1, 0, 0, "001000000000"), (40, 1.00, 1, 0, 0, "001000000000"), (3, 1.00, 1, 0, 1, "001000000000"), (8, 0.60, 1, 0, 0, "001000000000"),
 ]
 
 
@@ -242,7 +245,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
     """A tree of splits that lower Gini impurity most; ties go to the first feature and the lowest cut."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -265,22 +268,24 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
 
 @cache
 def tree() -> Node:
-    """The tree of LABELLED."""
-    table = np.array(LABELLED, float)
+    """The tree of LABELLED, each of its blocks among all of AROUND."""
+    rows = [(words, density, *around, place, frame, heading, int(label)) for words, density, place, frame, heading, labels in LABELLED for around, label in zip(AROUND, labels, strict=True)]
+    table = np.array(rows, float)
     return grow(table[:, :-1], table[:, -1])
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row for each block, in the columns of LABELLED."""
+    """A row for each block: words and link density of it, of the one before and of the one after, place, frame and heading."""
     if not found:
         return np.empty((0, 9))
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words for b in found), 0], float)
     marked = any(b.inside and not b.frame for b in found)
     place = [2 if b.inside else 0 if marked else 1 for b in found]
+    frame = [b.frame or not b.inside and b.words <= _RIGHTS_WORDS and bool(_RIGHTS.match(b.text)) for b in found]
     return np.stack([
         words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:],
-        place, [b.frame for b in found], [b.heading for b in found],
+        place, frame, [b.heading for b in found],
     ], axis=1).astype(float)
 
 

@@ -370,6 +370,54 @@ def test_main_text_of_small_pages(page, text):
     assert htmlblocks.article(page.format(long)) == text.format(long)
 
 
+TITLED = "<article><h1>Title of the article</h1><p><a>By Some Author</a></p><p>{0}</p></article>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (TITLED, "Title of the article\nBy Some Author\n{0}"),
+    ("<main><p>{0}</p><ul><li><a>Source one</a></li></ul><p>{0}</p></main>", "{0}\nSource one\n{0}"),
+    ("<body><nav><a>Home</a></nav><p>{0}</p></body>", "{0}"),
+    ("<p>{0}</p><p><a>Read the full report</a></p><p>Here the page says fourteen words more, so that it has an ending today.</p>",
+     "{0}\nHere the page says fourteen words more, so that it has an ending today."),
+    ("<article><p>{0}</p><p><a>A paragraph that is one link.</a></p><figcaption>Photo by <a>A B C</a></figcaption></article>", "{0}\nA paragraph that is one link.\nPhoto by A B C"),
+    ("<article><table><tr><td><a>One</a><td>2<td>3</table></article>", "One\n2\n3"),
+    ("<div id=content class='post-12 has-sidebar'><p>{0}</p><p>Short.</p></div>", "{0}\nShort."),
+    ("<div class=header-image-story><p>{0}</p></div><div class=share-holder><p>{0}</p></div><div class=copyright-law><p>{0}</p></div>", "{0}\n{0}\n{0}"),
+    ("<div class=site-header>My site</div><p>{0}</p><div>Copyright 2020 A. B. All rights reserved.</div>", "{0}"),
+    ("<div class='page-footer wide'>{0}</div><p>{0}</p>", "{0}"),
+])
+def test_linked_neighbours_cost_no_text(page, text):
+    long = " ".join(["word"] * 60)
+    assert htmlblocks.article(page.format(long)) == text.format(long)
+
+
+def test_pages_without_article_marks_lose_no_text():
+    """Blocks of 20 words or more with few links stay, whatever stands around them; named frames and lists of links go."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    for _ in range(200):
+        page, want, gone = ["<body>"], [], []
+        for _ in range(rng.integers(3, 12)):
+            kind = rng.integers(0, 6)
+            text = words(int(rng.integers(20, 200)))
+            if kind <= 2:
+                page.append(f"<{['p', 'div', 'blockquote'][kind]}>{text}</{['p', 'div', 'blockquote'][kind]}>")
+                want.append(text)
+            elif kind == 3:
+                page.append(f"<p>{text} <a href=x>{words(4)}</a> end</p>")
+                want.append(text)
+            elif kind == 4:
+                links = [words(2) for _ in range(4)]
+                page.append("<ul>" + "".join(f"<li><a href=y>{x}</a>" for x in links) + "</ul>")
+                gone += links[1:3]
+            else:
+                page.append(f"<div class='{rng.choice(['sidebar', 'main-nav', 'ad', 'cookie-banner', 'comment-list'])}'>{text}</div>")
+                gone.append(text)
+        found = htmlblocks.article("".join(page)).split("\n")
+        assert all(any(f.startswith(w) for f in found) for w in want)
+        assert not set(found) & set(gone)
+
+
 def test_many_unclosed_tags_take_linear_time():
     began = time.perf_counter()
     assert htmlblocks.article("<article>" + "<b>" * 50_000 + "x" + "</i>" * 50_000) == "x"
