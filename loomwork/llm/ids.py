@@ -42,19 +42,25 @@ class _Codes(dict):
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, without special tokens; their strings in a text are ordinary text."""
+    """Encodes texts with a tokenizer file as the library does without adding special tokens.
 
-    def __init__(self, path: str):
+    Strings of the file's added tokens (such as <|endoftext|>) in a text give those
+    tokens; with plain=True they are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = plain
+        added = sorted((x.content for x in self._tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._added = None if plain or not added else re.compile("(" + "|".join(map(re.escape, added)) + ")")
         self.vocabulary = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 2**16 else "<u4")
         # A word with the space before it is one unit of pre-tokenization, so lines of single words need no pattern.
         self._lines = Tokenizer.from_file(path)
-        self._lines.encode_special_tokens = True
+        self._lines.encode_special_tokens = plain
         self._lines.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
@@ -62,6 +68,13 @@ class Encoder:
         self._line = line[0] if len(line) == 1 else None
         self._forget()
 
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text, an added token being one of its own."""
+        if self._added is None or not self._added.search(text):
+            return pieces(text)
+        parts = self._added.split(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else pieces(part))]
+
     def _forget(self) -> None:
         self._codes = _Codes()
         self._ids = np.empty(0, self.dtype)
@@ -96,7 +109,7 @@ class Encoder:
         """For each text its ids, the number of ids of each of its pieces, and the pieces."""
         if len(self._codes) > REMEMBERED:
             self._forget()
-        split = [pieces(t) for t in texts]
+        split = [self._split(t) for t in texts]
         codes = [np.fromiter(map(self._codes.__getitem__, p), np.int64, len(p)) for p in split]
         if len(self._codes) > len(self._start):
             self._learn()

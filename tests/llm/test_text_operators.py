@@ -232,9 +232,7 @@ def test_personal_data_rows(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(ids.default_tokenizer())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(ids.default_tokenizer())
 
 
 def test_pieces_give_the_ids_of_the_whole(tokenizer):
@@ -247,6 +245,18 @@ def test_pieces_give_the_ids_of_the_whole(tokenizer):
         assert tokenizer.encode(text, add_special_tokens=False).ids == got.tolist(), repr(text)
 
 
+def test_added_tokens_in_a_text_as_the_library_has_them(tokenizer):
+    rng = np.random.default_rng(8)
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    parts = [*added, *added, "a", " b", "c ", "  ", "\n", "'s", "<|endof", "text|>", "<", "é", "ж", " \t", "12", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(4000)] + [t for x in added for t in (x, x + x, " " + x, x + " ", f"a{x}", f"{x}a", f"don{x}'t")]
+    for text, got in zip(texts, ids.Encoder(ids.default_tokenizer()).ids(texts), strict=True):
+        assert tokenizer.encode(text, add_special_tokens=False).ids == got.tolist(), repr(text)
+    plain = ids.Encoder(ids.default_tokenizer(), plain=True).ids(texts)
+    numbers = [tokenizer.token_to_id(x) for x in added]
+    assert not any(n in ids_.tolist() for ids_ in plain for n in numbers)
+
+
 def least_cost(place, penalty, window):
     best = {0: 0}
     for j in range(1, len(place)):
