@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Shuffle files of a job go when it ends: what it wrote to the shared folder outlives them, and nothing runs the same rows again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # an older Spark
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once, with their lineage cut (for small state)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,5 +60,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
