@@ -10,8 +10,8 @@ Indexing every window of every document would shuffle several times the texts.
 the index grows in two steps.  A window's anchor, the least hash of the six-word
 shingles inside it, is the same wherever the window stands; consecutive windows mostly
 share theirs.  Blocks of the reference are the windows of one anchor: only anchors that
-two documents have are worth indexing, and only their windows get entries (128 bits,
-first document, place in it).  All sums are by key with partial aggregation, the joins
+two documents have are worth indexing, and only their windows get entries (anchor and
+hash, 128 bits; first document, place in it).  All sums are by key with partial aggregation, the joins
 have one row a key on one side, and copies of a text take part once.
 """
 
@@ -85,20 +85,27 @@ def _anchored(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> I
         yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), batch.column("name").cast(pa.binary()), lists], schema=_ANCHORS)
 
 
-_ENTRIES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("fresh", pa.bool_())])
+_ENTRIES = pa.schema([(c, pa.int64()) for c in ("anchor", "hash", "doc_id", "spot")])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> Iterator[pa.RecordBatch]:
-    """The windows with a shared anchor; fresh where it is the first in the document with its words."""
+    """The windows with a shared anchor.
+
+    A spot is, from the high bits, a window's place, whether it is the first of the
+    document with its words, and the row's tag.
+    """
     for batch in batches:
         held, n = [], 0
         for doc_id, tag, text, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "shared")), strict=True):
             hashes = _hashes(words(text))
-            at = np.flatnonzero(np.isin(anchors(hashes, window, shingle), np.array(shared, np.int64)))
-            one, two = _rolled(hashes, window, 1)[at], _rolled(hashes, window, 2)[at]
-            fresh = np.zeros(len(at), bool)
-            fresh[np.unique(one, return_index=True)[1]] = True
-            held.append((one.view(np.int64), two.view(np.int64), np.full(len(at), doc_id, np.int64), np.full(len(at), tag, np.int64), at.astype(np.int32), fresh))
+            if len(hashes) < window:  # the doc_id came twice
+                continue
+            anchor = anchors(hashes, window, shingle)
+            at = np.flatnonzero(np.isin(anchor, np.array(shared, np.int64)))
+            found = _rolled(hashes, window, 1)[at].view(np.int64)
+            fresh = np.zeros(len(at), np.int64)
+            fresh[np.unique(found, return_index=True)[1]] = 1
+            held.append((anchor[at], found, np.full(len(at), doc_id, np.int64), at << 33 | fresh << 32 | tag))
             n += len(at)
             if n >= BATCH:
                 yield _entries(held)
@@ -127,30 +134,41 @@ def factors(pos: np.ndarray, first: np.ndarray, ref: np.ndarray, window: int = W
 
 
 _FACTORS = "array<struct<start:int,length:int,reference:bigint,place:int>>"
-_PARSED = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
-    ("factors", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("reference", pa.int64()), ("place", pa.int32())]))),
-])
+_FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("reference", pa.int64()), ("place", pa.int32())]))
+_MARKED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("factors", _FACTOR)])
+_PARSED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", _FACTOR)])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _factored(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The factors of each document, of its windows that the reference has."""
+    for batch in batches:
+        out = []
+        for doc_id, tag, found in zip(*(batch.column(c) for c in ("doc_id", "tag", "found")), strict=True):
+            parts = found.values.flatten()
+            rows = np.unique(np.stack([p.to_numpy(zero_copy_only=False).astype(np.int64) for p in parts], axis=1), axis=0)  # a row that comes twice has each twice
+            out.append((doc_id.as_py(), tag.as_py(), [dict(zip(("start", "length", "reference", "place"), f, strict=True)) for f in factors(*rows.T, window)]))
+        yield _batch(out, _MARKED)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    names = ("start", "length", "reference", "place")
     for batch in batches:
         out = []
-        for doc_id, text, copy_of, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy_of", "found")), strict=True):
+        for doc_id, text, copy_of, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy_of", "factors")), strict=True):
             parts = words(text)
+            spans = found or []
             if copy_of is not None and len(parts) >= window:
-                spans = [(0, len(parts), copy_of, 0)]
-            else:
-                rows = sorted({(r["pos"], r["first"], r["ref"]) for r in found or []})
-                spans = factors(*np.array(rows, np.int64).reshape(-1, 3).T, window)
+                spans = [{"start": 0, "length": len(parts), "reference": copy_of, "place": 0}]
             stays = np.ones(len(parts), bool)
-            for start, length, _, _ in spans:
-                stays[start : start + length] = False
+            for f in spans:
+                stays[f["start"] : f["start"] + f["length"]] = False
             kept = b" ".join(p for p, s in zip(parts, stays, strict=True) if s).decode("utf-8", "surrogatepass")
-            out.append((doc_id, len(parts), int((~stays).sum()), kept, [dict(zip(names, s, strict=True)) for s in spans]))
-        columns = zip(*out, strict=True) if out else [()] * len(_PARSED)
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PARSED, strict=True)], schema=_PARSED)
+            out.append((doc_id, len(parts), int((~stays).sum()), kept, spans))
+        yield _batch(out, _PARSED)
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -163,23 +181,24 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, shingle: int = S
     columns are not read.  An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("tag", F.xxhash64("text"))  # tells rows of one doc_id apart
+    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(2**32 - 1)))  # tells rows of one doc_id apart
     named = docs.where("doc_id IS NOT NULL").withColumn("name", F.unhex(F.sha2("text", 256)))
     found = written(named.mapInArrow(partial(_anchored, window=window, shingle=shingle), "doc_id long, tag long, name binary, anchors array<long>"), "anchors")
     found = found.where(F.size("anchors") > 0)
     groups = checkpointed(found.groupBy("name").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of < last").drop("last"))
     copies = join_small(found.select("doc_id", "tag", "name"), groups, "name").where("doc_id > copy_of").select("doc_id", "tag", "copy_of").distinct()
-    each = join_small(found, groups, "name", "left").where("copy_of IS NULL OR doc_id = copy_of").select("doc_id", "tag", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    lists = join_small(each, written(shared, "shared"), "anchor", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("shared"))
-    rows = join_small(docs, written(lists, "lists"), ["doc_id", "tag"])
-    entries = written(rows.mapInArrow(partial(_windows, window=window, shingle=shingle), "h1 long, h2 long, doc_id long, tag long, pos int, fresh boolean"), "entries")
-    place = F.expr("min_by(pos, doc_id) FILTER (WHERE fresh)")
-    index = entries.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), place.alias("ref"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    hits = join_small(entries.drop("fresh"), written(index, "index"), ["h1", "h2"]).where("doc_id > first")
-    hits = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "first", "ref")).alias("found"))
-    marks = hits.withColumn("copy_of", F.lit(None).cast("long")).unionByName(copies.withColumn("found", F.lit(None).cast(hits.schema["found"].dataType)))
-    rows = join_small(docs, written(marks, "marks"), ["doc_id", "tag"], "left")
+    each = join_small(found, groups, "name", "left").where("copy_of IS NULL OR doc_id = copy_of").select("doc_id", F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").count().where("count > 1").select("anchor")  # a document has an anchor once
+    lists = join_small(each, written(shared, "shared"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    rows = join_small(docs, written(lists, "lists"), "doc_id")
+    entries = written(rows.mapInArrow(partial(_windows, window=window, shingle=shingle), "anchor long, hash long, doc_id long, spot long"), "entries")
+    place = F.expr("CAST(min_by(spot >> 33, doc_id) FILTER (WHERE (spot >> 32) % 2 = 1) AS int)")
+    index = entries.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), place.alias("ref"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    hits = join_small(entries, written(index, "index"), ["anchor", "hash"]).where("doc_id > first")
+    hits = hits.groupBy("doc_id", F.col("spot").bitwiseAND(F.lit(2**32 - 1)).alias("tag")).agg(F.collect_list(F.struct(F.expr("CAST(spot >> 33 AS int)").alias("pos"), "first", "ref")).alias("found"))
+    marks = hits.mapInArrow(partial(_factored, window=window), f"doc_id long, tag long, factors {_FACTORS}").withColumn("copy_of", F.lit(None).cast("long"))
+    marks = written(marks.unionByName(copies, allowMissingColumns=True), "marks")
+    rows = join_small(docs, marks, ["doc_id", "tag"], "left")
     return rows.mapInArrow(partial(_parsed, window=window), f"doc_id long, n_words long, n_removed long, kept string, factors {_FACTORS}")
 
 
