@@ -27,7 +27,7 @@ def ready(spark: SparkSession) -> SparkSession:
         env.setdefault(name, value)
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
-    if spark.conf.get(_BYTES, None) in ("64MB", "67108864", "67108864b"):
+    if spark.conf.isModifiable(_BYTES) and spark.conf.get(_BYTES) == "67108864b":
         spark.conf.set(_BYTES, str(BATCH_BYTES))
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

@@ -28,16 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Shuffle files of a job go when it ends: what it wrote to the shared folder outlives them, and nothing runs the same rows again.
+#: The shuffle files behind a written table go when it is there: the table outlives them, and nothing runs its rows again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    if before is None:  # an older Spark
+    if not spark.conf.isModifiable(_CLEANUP):  # another Spark
         yield
         return
+    before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
@@ -48,8 +48,7 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once, with their lineage cut (for small state)."""
     shared_dir(df.sparkSession)
-    with _tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
