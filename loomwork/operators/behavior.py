@@ -17,55 +17,92 @@ PROVIDERS = {
     "api.stripe.com": ("payment", "Stripe"), "api.resend.com": ("email", "Resend"), "api.sendgrid.com": ("email", "SendGrid"), "api.mailgun.net": ("email", "Mailgun"),
     "api.twilio.com": ("message", "Twilio"),
 }
+# Paths of model servers, and what methods do to a table behind a REST address.
+API_PATHS = r"^/(v1/(chat/completions|completions|responses|messages)|api/(chat|generate))$"
+REST_OPERATIONS = {"GET": "SELECT", "HEAD": "SELECT", "POST": "INSERT", "PATCH": "UPDATE", "PUT": "UPSERT", "DELETE": "DELETE"}
 RERUN = ("GET", "HEAD")
 MAX_REQUESTS = 20
 
 
-def http_boundary(method: Column, url: Column, authorization: Column | None = None) -> Column:
-    """struct(kind, provider, operation, host, path, local) of an outgoing request; the first rule that fits wins."""
+def http_boundary(method: Column, url: Column, authorization: Column | None = None, content_sha256: Column | None = None) -> Column:
+    """struct(kind, provider, operation, host, path, local, tables, mode, bucket) of an outgoing request; the first rule that fits wins.
+
+    authorization and content_sha256 are headers of the request, where they are known.
+    """
     host, path, keys = fn.host_of(url), fn.path_of(url), fn.query_keys(url)
     none = F.lit(None).cast("string")
     authorization = F.lit("") if authorization is None else F.coalesce(authorization, F.lit(""))
     local = fn.is_local(host)
-    compatible = path.rlike(r"^/(v1/(chat/completions|completions|responses|messages)|api/(chat|generate))$")
+    compatible = path.rlike(API_PATHS)
     signed = authorization.startswith("AWS4-HMAC-SHA256") | F.exists(keys, lambda k: k.rlike("(?i)^x-amz-(signature|algorithm)$"))
     signed = signed | (F.array_contains(keys, "AWSAccessKeyId") & F.array_contains(keys, "Signature"))
+    if content_sha256 is not None:
+        signed = signed | (F.coalesce(content_sha256, F.lit("")) != "")
     doing = F.when(method == "GET", "read").when(method == "HEAD", "check").when(method.isin("PUT", "POST"), "write").when(method == "DELETE", "delete").otherwise(method)
+    part = lambda n: F.get(F.split(path, "/"), F.lit(n))
 
-    def made(kind: str | Column, provider: Column, operation: Column) -> Column:
+    def made(
+        kind: str | Column, provider: Column, operation: Column, tables: Column | None = None, mode: Column = none, bucket: Column = none, shown: Column | None = None
+    ) -> Column:
         kind = F.lit(kind) if isinstance(kind, str) else kind
-        return F.struct(kind.alias("kind"), provider.alias("provider"), operation.alias("operation"), host.alias("host"), fn.safe_path(path).alias("path"), local.alias("local"))
+        tables = F.array().cast("array<string>") if tables is None else tables
+        place = F.when(host != "", host)
+        return F.struct(
+            kind.alias("kind"), provider.alias("provider"), operation.alias("operation"), place.alias("host"), (fn.safe_path(path) if shown is None else shown).alias("path"),
+            local.alias("local"), tables.alias("tables"), mode.alias("mode"), bucket.alias("bucket"),
+        )
 
     kinds = F.create_map(*[F.lit(x) for h, (k, _) in PROVIDERS.items() for x in (h, k)])
     names = F.create_map(*[F.lit(x) for h, (_, p) in PROVIDERS.items() for x in (h, p)])
     known, named = F.try_element_at(kinds, host), F.try_element_at(names, host)
     own = F.when(local, "local model").otherwise(F.concat(F.lit("compatible ("), host, F.lit(")")))
+    virtual = F.regexp_extract(host, r"^(.+?)\.s3[.-]", 1)
+    mode = F.when(authorization.rlike("(sk|rk)_test_"), "test").when(authorization.rlike("(sk|rk)_live_"), "live").otherwise("unknown")
+    base = host.endswith(".supabase.co")
+    rest = F.create_map(*[F.lit(x) for pair in REST_OPERATIONS.items() for x in pair])
+    table = F.when(part(3) == "rpc", F.concat(F.lit("rpc:"), F.coalesce(part(4), F.lit("")))).otherwise(part(3))
     return (
-        F.when(host == "", F.struct(F.lit("http").alias("kind"), none.alias("provider"), method.alias("operation"), none.alias("host"), F.lit("[invalid]").alias("path"), F.lit(False).alias("local")))
+        F.when(host == "", made("http", none, method, shown=F.lit("[invalid]")))
         .when((known == "ai") | compatible, made("ai", F.coalesce(named, own), path))
-        .when(signed, made("files", F.lit("S3"), doing))
+        .when(signed, made("files", F.lit("S3"), doing, bucket=F.when(virtual != "", virtual).otherwise(part(1))))
         .when(local, made("http", none, method))
+        .when(known == "payment", made("payment", named, F.concat(method, F.lit(" "), path), mode=mode))
         .when(known.isNotNull(), made(known, named, F.concat(method, F.lit(" "), path)))
+        .when(base & (part(1) == "rest") & (part(2) == "v1"), made("database", F.lit("Supabase"), F.coalesce(F.try_element_at(rest, method), method), F.array(table)))
+        .when(base & (part(1) == "auth"), made("auth", F.lit("Supabase Auth"), part(3)))
+        .when(base & (part(1) == "storage"), made("files", F.lit("Supabase Storage"), method, bucket=F.coalesce(part(4), part(3))))
+        .when((host == "api.clerk.com") | host.endswith(".clerk.accounts.dev"), made("auth", F.lit("Clerk"), none))
         .otherwise(made("http", none, method))
     )
 
 
 def boundary_key(step: DataFrame) -> DataFrame:
-    """Adds key and weight to boundaries (kind, operation, tables, host, provider, local): what one step is, for comparing runs."""
+    """Adds key and weight to boundaries: what one step is, for comparing runs.
+
+    step: kind, operation, tables, host, provider, local, and where they are known
+    library, mode, bucket and path.  Calls to the own machine have no key and go.
+    """
+    def known(name: str) -> Column:
+        return F.col(name).cast("string") if name in step.columns else F.lit(None).cast("string")
+
     tables = F.when(F.size("tables") > 0, F.array_join("tables", ", ")).otherwise("the database")
     op = F.upper(F.coalesce("operation", F.lit("")))
     db = (
         F.when(op.isin(*READS), F.concat(F.lit("db:read:"), tables)).when(op.isin(*STRUCTURE), F.concat(F.lit("db:structure:"), op, F.lit(":"), tables))
         .when(op.isin(*WRITES), F.concat(F.lit("db:write:"), op, F.lit(":"), tables)).otherwise(F.concat(F.lit("db:other:"), op, F.lit(":"), tables))
     )
-    kind = F.col("kind")
-    quiet_file = F.col("operation").isin("read", "check")
+    kind, unknown = F.col("kind"), F.lit("?")
+    quiet_file = F.coalesce(F.col("operation").isin("read", "check"), F.lit(False))
+    provider = F.coalesce(known("provider"), unknown)
+    place = F.when(known("bucket").isNotNull(), F.concat(provider, F.lit(" "), known("bucket"))).otherwise(F.coalesce(known("provider"), known("path"), unknown))
     key = (
-        F.when(kind == "database", db).when((kind == "http") & F.col("local"), None)
-        .when(kind == "http", F.concat(F.lit("http:"), F.coalesce("host", F.lit("?"))))
-        .when(kind.isin("ai", "email", "message", "payment", "auth"), F.concat(kind, F.lit(":"), F.coalesce("provider", F.lit("?"))))
-        .when((kind == "files") & quiet_file, F.concat(F.lit("file:read:"), F.coalesce("provider", F.lit("?"))))
-        .when(kind == "files", F.concat(F.lit("file:"), F.coalesce("operation", F.lit("?")), F.lit(":"), F.coalesce("provider", F.lit("?"))))
+        F.when(kind == "database", db).when((kind == "http") & F.coalesce("local", F.lit(False)), None)
+        .when(kind == "http", F.concat(F.lit("http:"), F.coalesce("host", unknown)))
+        .when(kind == "ai", F.concat(F.lit("ai:"), provider))
+        .when(kind.isin("email", "message", "auth"), F.concat(kind, F.lit(":"), F.coalesce(known("provider"), known("library"), unknown)))
+        .when(kind == "payment", F.concat(F.lit("pay:"), provider, F.lit(":"), F.coalesce(known("mode"), F.lit(""))))
+        .when((kind == "files") & quiet_file, F.concat(F.lit("file:read:"), place))
+        .when(kind == "files", F.concat(F.lit("file:"), F.coalesce("operation", unknown), F.lit(":"), place))
         .otherwise(F.concat(kind, F.lit(":"), F.coalesce("operation", F.lit(""))))
     )
     info = ((kind == "database") & ~op.isin(*STRUCTURE) & ~op.isin(*WRITES)) | ((kind == "files") & quiet_file) | ~kind.isin("database", "http", "ai", "email", "message", "payment", "files")

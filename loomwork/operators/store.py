@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,10 +134,31 @@ def plain_json(text: Column) -> Column:
     return F.regexp_replace(bare, r'("(?:[^"\\]|\\.)*+")|,(?=\s*[}\]])', "$1")
 
 
+def _stable(texts: pd.Series, without: pd.Series) -> pd.Series:
+    """JSON with sorted keys, without one key at any depth, a whole number in one spelling; null for what isn't JSON."""
+    def plain(value: object, key: str) -> object:
+        if isinstance(value, dict):
+            return {k: plain(v, key) for k, v in value.items() if k != key}
+        if isinstance(value, list):
+            return [plain(v, key) for v in value]
+        return int(value) if isinstance(value, float) and value.is_integer() else value
+
+    def stable(text: str | None, key: str) -> str | None:
+        try:
+            return None if text is None else json.dumps(plain(json.loads(text), key), sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([stable(t, k) for t, k in zip(texts, without, strict=True)], dtype=object)
+
+
 def same_json(one: Column, two: Column, without: str = "proof") -> Column:
-    """Whether two flat JSON objects say the same, whatever the order of their keys and apart from one key."""
-    entries = lambda c: F.array_sort(F.filter(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: e["key"] != without))
-    return entries(one).eqNullSafe(entries(two))
+    """Whether two JSON values say the same at every depth, with types, whatever the order of keys and apart from one key.
+
+    Null where either is null, isn't JSON or is nested deeper than a thousand levels.
+    """
+    stable = F.pandas_udf(_stable, "string")
+    return stable(one, F.lit(without)) == stable(two, F.lit(without))
 
 
 def duplicate_sets(stretches: DataFrame) -> DataFrame:
@@ -150,21 +174,33 @@ def data_summary(tables: DataFrame) -> DataFrame:
     )
 
 
-def badge(items: DataFrame, seen: DataFrame, by: str) -> DataFrame:
-    """by, changes, alerts, warnings, unread: what a badge counts.  items: by, key, severity; seen: key."""
-    marked = items.join(seen.select("key").distinct().withColumn("seen", F.lit(True)), "key", "left")
+def badge(items: DataFrame, seen: DataFrame, opened: DataFrame, by: str) -> DataFrame:
+    """by, changes, alerts, warnings, possibly, unread, opened: what the badge of each prompt counts.
+
+    items: by, key, severity, origin, the sentences of a report; seen: by, key, those that
+    were read; opened: by, the reports that were opened.
+    """
+    read = seen.select(by, "key").distinct().withColumn("read", F.lit(True))
+    marked = items.join(read, [by, "key"], "left")
     severe = F.col("severity")
-    return marked.groupBy(by).agg(
+    counted = marked.groupBy(by).agg(
         F.count("*").alias("changes"), F.count_if(severe == "alert").alias("alerts"), F.count_if(severe == "warning").alias("warnings"),
-        F.count_if((severe == "alert") & F.col("seen").isNull()).alias("unread"),
+        F.count_if(F.col("origin") == "possibly").alias("possibly"), F.count_if(F.col("read").isNull()).alias("unread"),
     )
+    return counted.join(opened.select(by).distinct().withColumn("opened", F.lit(True)), by, "left").withColumn("opened", F.coalesce("opened", F.lit(False)))
 
 
-def tallies(answers: DataFrame, by: str, order: str, recent: int = 50) -> DataFrame:
-    """by, n, n_right, recent_right: all answers of a kind, the right ones, and the right ones of the newest so many."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
-    newest = answers.withColumn("place", place)
-    return newest.groupBy(by).agg(F.count("*").alias("n"), F.count_if("is_right").alias("n_right"), F.count_if(F.col("is_right") & (F.col("place") <= recent)).alias("recent_right"))
+def tallies(answers: DataFrame, by: str, order: str, recent: int = 50, project: str | None = None) -> DataFrame:
+    """(project,) by, n, n_right, recent, recent_right: all answers of a kind and the right ones, and those among the newest so many of all kinds."""
+    over = [project] if project else []
+    if project:
+        place = F.row_number().over(Window.partitionBy(project).orderBy(F.desc(order)))
+        newest = answers.withColumn("place", place).where(F.col("place") <= recent).drop("place")
+    else:
+        newest = answers.orderBy(F.desc(order)).limit(recent)
+    late = newest.groupBy(*over, by).agg(F.count("*").alias("recent"), F.count_if("is_right").alias("recent_right"))
+    every = answers.groupBy(*over, by).agg(F.count("*").alias("n"), F.count_if("is_right").alias("n_right"))
+    return every.join(late, [*over, by], "left").fillna(0, ["recent", "recent_right"])
 
 
 def unknown_share(files: DataFrame, by: str, block: str = "block") -> DataFrame:
@@ -172,7 +208,21 @@ def unknown_share(files: DataFrame, by: str, block: str = "block") -> DataFrame:
     return files.groupBy(by).agg(F.avg(F.when(F.col(block) == "unknown", 1.0).otherwise(0.0)).alias("share"))
 
 
-def finding_level(kind: Column, variant: Column) -> Column:
-    """The level of a finding by its kind, with what its variant changes: keys for tests and public keys are only worth a look."""
-    base = F.when(kind.isin("key", "public-secret", "secret-in-browser", "no-rls-browser", "service-in-browser"), "red").when(kind.isin("rls-unknown", "used-not-defined", "production-mode", "remote-database"), "yellow").otherwise("info")
-    return F.when((kind == "key") & variant.isin("stripe-test", "google"), "yellow").when((kind == "public-secret") & (variant == "unread"), "info").otherwise(base)
+# Kinds of findings that are red or only worth knowing; all others are yellow.
+RED_FINDINGS = ("public-secret", "env-tracked", "literal-key", "no-rls-browser")
+INFO_FINDINGS = ("remote-supabase",)
+YELLOW_KEYS = ("stripe-test", "google")
+
+
+def finding_level(kind: Column, key: Column | None = None, is_read: Column | None = None) -> Column:
+    """red, yellow or info by a finding's kind.
+
+    A key written in code that is a test key or often public by design is yellow, and
+    so is a secret under a public name that no code reads yet.
+    """
+    milder = F.lit(False)
+    if key is not None:
+        milder = milder | ((kind == "literal-key") & F.coalesce(key.isin(*YELLOW_KEYS), F.lit(False)))
+    if is_read is not None:
+        milder = milder | ((kind == "public-secret") & ~F.coalesce(is_read, F.lit(False)))
+    return F.when(kind.isin(*INFO_FINDINGS), "info").when(kind.isin(*RED_FINDINGS) & ~milder, "red").otherwise("yellow")

@@ -23,9 +23,9 @@ WITH a AS (SELECT doc_id, text,
 SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS redacted FROM a""")
 def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", fn.BEARER, f"Bearer {fn.MARK}")
-    text = F.regexp_replace(text, fn.TOKEN_SHAPES, fn.MARK)
+    text = F.regexp_replace(text, fn.ascii_bounds(fn.TOKEN_SHAPES), fn.MARK)
     text = F.regexp_replace(text, fn.ASSIGNMENT, f"$1{fn.MARK}")
-    text = F.regexp_replace(text, fn.EMAIL, "$1***@$2***")
+    text = F.regexp_replace(text, fn.EMAIL_ONCE, "$1$2***@$3***")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("redacted_sha256"), (text != F.col("text")).alias("redacted"))
 
 
@@ -59,7 +59,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_LINES} SELECT kind, id, CAST(line AS BIGINT) AS line FROM ({_SHAPES})")
 def key_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [F.when(F.col("t").rlike(v), k) for k, v in fn.KEY_SHAPES.items()]
+    kinds = [F.when(F.col("t").rlike(fn.ascii_bounds(v)), k) for k, v in fn.KEY_SHAPES.items()]
     kinds = F.array_compact(F.array(*kinds, F.when(F.col("t").contains("eyJ") & fn.service_role(F.col("t")), "service-role")))
     # most lines have no beginning of a key: one search leaves them out before the shapes are tried
     likely = _numbered(spark, sf_dir).where(F.col("t").rlike(r"sk-|[sr]k_|whsec_|AKIA|ASIA|gh[pousr]_|github_pat_|xox|AIza|SG\.|PRIVATE KEY|eyJ"))
@@ -155,8 +155,8 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN len(w) > 8 THEN array_to_string(w[1:8], ' ') || '…' ELSE array_to_string(w, ' ') END AS title FROM (
-  SELECT conv_id, turn, string_split(CASE WHEN regexp_matches(t, '^(.*?[.!?])( |$)') THEN regexp_extract(t, '^(.*?[.!?])( |$)', 1) ELSE t END, ' ') AS w
+SELECT conv_id, turn, CASE WHEN len(w) > 8 THEN array_to_string(w[1:8], ' ') || '…' ELSE coalesce(array_to_string(w, ' '), '') END AS title FROM (
+  SELECT conv_id, turn, list_filter(string_split(regexp_replace(CASE WHEN regexp_matches(t, '^.*?[.!?] ') THEN regexp_extract(t, '^(.*?[.!?]) ', 1) ELSE t END, '[.!?:;,]+$', ''), ' '), lambda x: x <> '') AS w
   FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user'))""")
 def prompt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", fn.title(F.col("text")).alias("title"))
@@ -164,15 +164,15 @@ def prompt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n, count(*) OVER (PARTITION BY source) AS total FROM documents)
-SELECT source, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY n) || ' and ' || (any_value(total) - 3) || ' more' AS largest FROM r WHERE n <= 3 GROUP BY source""")
+SELECT source, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY n) || CASE WHEN any_value(total) > 3 THEN ' and ' || (any_value(total) - 3) || ' more' ELSE '' END AS largest FROM r WHERE n <= 3 GROUP BY source""")
 def largest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     top = rows.withColumn("n", F.row_number().over(w)).where("n <= 3")
     joined = top.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("doc_id").cast("string").alias("d")))), lambda x: x["d"]).alias("ids"))
     total = rows.groupBy("source").agg(F.count("*").alias("total"))
-    more = F.concat(F.array_join("ids", ", "), F.lit(" and "), (F.col("total") - 3).cast("string"), F.lit(" more"))
-    return joined.join(total, "source").select("source", more.alias("largest"))
+    more = F.when(F.col("total") > 3, F.concat(F.lit(" and "), (F.col("total") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return joined.join(total, "source").select("source", F.concat(F.array_join("ids", ", "), more).alias("largest"))
 
 
 @query("""

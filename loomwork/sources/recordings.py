@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions.text import language, utf8
+
 EVENT = T.StructType([
     T.StructField("version", T.IntegerType()), T.StructField("process", T.StringType()), T.StructField("sequence", T.LongType()),
     T.StructField("timeNs", T.LongType()), T.StructField("type", T.StringType()), T.StructField("id", T.StringType()),
@@ -39,20 +41,21 @@ def _placed(rows: DataFrame, version: int) -> DataFrame:
 
 
 def spool(spark: SparkSession, path: str, largest: int = 4 * 1024 * 1024) -> DataFrame:
-    """Small files of a spool folder, oldest first by time, then name; larger ones are left out."""
+    """Small files of a spool folder, oldest first by time, then name; larger ones are left out.
+
+    Bytes that aren't UTF-8 become U+FFFD.
+    """
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= largest)
-    return files.select("path", "modificationTime", F.decode("content", "UTF-8").alias("text")).orderBy("modificationTime", "path")
+    return files.select("path", "modificationTime", utf8(F.col("content")).alias("text")).orderBy("modificationTime", "path")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, language, size, lines, hash of all files below a folder; build and environment folders are left out."""
-    from loomwork.functions.text import language
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     skipped = r"/(node_modules|\.git|dist|build|\.next|venv|\.venv|__pycache__)/"
-    text = F.decode("content", "UTF-8")
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n")))
-    lines = breaks + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)
+    text = F.col("content").cast("string")  # not decoded: line breaks are counted in the bytes, and a file need not be text
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))
+    lines = breaks + F.when((F.col("length") > 0) & (F.substring("content", -1, 1) != F.unhex(F.lit("0A"))), 1).otherwise(0)
     return files.where(~F.col("path").rlike(skipped)).select(
         "path", language(F.col("path")).alias("language"), F.col("length").alias("size"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("hash")
     )

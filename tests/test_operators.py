@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import code, sqltext
 from loomwork.functions import text as fn
-from loomwork.operators import behavior, diffs, events, graphs, matching, reports, structure
+from loomwork.operators import behavior, diffs, events, graphs, matching, reports, store, structure
 from loomwork.sources import recordings
 from loomwork.streaming import live
 
@@ -400,3 +400,102 @@ def test_long_ways_are_not_cut(spark):
             cut()
     for function in (graphs.reachable, graphs.dependency_depth):
         assert inspect.signature(function).parameters["most"].default is None
+
+
+def test_redact_cuts_between_characters_at_every_offset(spark):
+    """What a decoder of the first bytes shows, less the mark of a character that was cut."""
+    rows = [(k, "a" * k + c * 40) for k in range(8) for c in ("é", "€", "🎈", "�", "x")]
+    df = spark.createDataFrame(rows, "k int, v string").select("v", fn.redact(F.col("v"), limit=37).alias("o"))
+    for r in df.collect():
+        raw = r["v"].encode()
+        want = r["v"] if len(raw) <= 37 else raw[:37].decode("utf-8", "replace").removesuffix("�") + "[TRUNCATED]"
+        assert r["o"] == want
+
+
+def test_redact_whole_documents_as_plain_patterns_say(spark):
+    """Every document of a table, and random texts, against the rules as Python patterns."""
+    import random
+    import re
+
+    rules = [(fn.BEARER, f"Bearer {fn.MARK}"), (fn.PEM, fn.MARK), (fn.TOKEN_SHAPES, fn.MARK), (fn.ASSIGNMENT, rf"\1{fn.MARK}"), (fn.EMAIL, r"\1***@\2***")]
+
+    def plain(text):
+        for pattern, by in rules:
+            text = re.sub(fn.wide_spaces(pattern), by, text, flags=re.ASCII)
+        text = re.sub(r"(?<![\w])\+?\d[\d ()-]{7,}\d(?![\w])", lambda m: f"{m[0][:2]}***{m[0][-2:]}", text, flags=re.ASCII)
+        raw = text.encode()
+        return text if len(raw) <= fn.LIMIT else raw[: fn.LIMIT].decode("utf-8", "replace").removesuffix("�") + "[TRUNCATED]"
+
+    rng = random.Random(4)
+    parts = ["a", "b.c", "-", "+", ".", "@", "@x.io", "a@b.co", "_", " ", "é", "\n", "token=", "1", "Z9", ".com", "\u00a0", "Bearer", "sk-abcdefgh", "api key :", "eyJa.b-.c"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(4000)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = docs.select("text", fn.redact(F.col("text")).alias("o")).collect()
+    assert len(found) > 4000
+    for r in found:
+        assert r["o"] == plain(r["text"]), repr(r["text"][:200])
+
+
+def test_redact_takes_linear_time_on_long_runs(spark):
+    import time
+
+    texts = ["a." * 200_000, "a" * 400_000 + "@", "a@" * 100_000, "x@" + "b" * 400_000, "1 " * 200_000 + "z"]
+    began = time.perf_counter()
+    assert spark.createDataFrame([(t,) for t in texts], "v string").select(fn.redact(F.col("v")).alias("o")).where("o IS NOT NULL").count() == 5
+    assert time.perf_counter() - began < 20
+
+
+def test_service_role_of_payloads_that_are_not_text(spark):
+    import base64
+
+    def token(payload: bytes) -> str:
+        return "eyJhbGciOiJIUzI1NiJ9." + base64.urlsafe_b64encode(payload).decode().rstrip("=") + ".abcdefgh1234"
+
+    rows = {token(b'{"role":"service_role"}'): True, token(b'{"role":"anon","x":1}'): False, token(b'{"a":"\xff\xfe\xc3","role":"service_role"}'): True, token(b'{"a\xff\xff\xff\xff not json'): False}
+    got = spark.createDataFrame([(f"k = '{t}'", w) for t, w in rows.items()], "v string, want boolean").select("want", fn.service_role(F.col("v")).alias("is"))
+    assert all(r["is"] == r["want"] for r in got.collect())
+
+
+def test_folders_with_files_that_are_not_text(spark, tmp_path):
+    from loomwork.sources import recordings
+
+    files = {"a.png": b"\x89PNG\r\n\x1a\n\xff\x0a\xfe", "b.txt": "é\nx".encode(), "c.txt": b"x\n", "d": b"", "e.bin": bytes(range(256)) * 9}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: (r["lines"], r["size"]) for r in recordings.inventory(spark, str(tmp_path)).collect()}
+    assert got == {n: (raw.count(b"\n") + (1 if raw and not raw.endswith(b"\n") else 0), len(raw)) for n, raw in files.items()}
+    texts = {r["path"].rsplit("/", 1)[1]: r["text"] for r in recordings.spool(spark, str(tmp_path)).collect()}
+    assert texts == {n: raw.decode("utf-8", "replace") for n, raw in files.items()}
+
+
+@pytest.mark.parametrize("ms, shown", [
+    (0.42, "0.42 ms"), (17.3, "17.3 ms"), (1250.0, "1.25 s"), (None, ""), (0.0, "0.00 ms"), (0.125, "0.13 ms"), (0.999, "1.00 ms"), (17.45, "17.4 ms"), (17.25, "17.3 ms"), (17.35, "17.4 ms"),
+    (999.96, "1000.0 ms"), (1000.0, "1.00 s"), (1005.0, "1.00 s"), (1015.0, "1.01 s"), (123456.789, "123.46 s"), (0.005, "0.01 ms"), (8.35, "8.3 ms"), (-2.5, "-2.50 ms"),
+])
+def test_durations_are_rounded_on_their_exact_value(spark, ms, shown):
+    assert spark.createDataFrame([(ms,)], "v double").select(fn.duration_text(F.col("v")).alias("o")).first()["o"] == shown
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Add Google login and keep the users in the database. Use next-auth.", "Add Google login and keep the users in…"), ("Add Google login.", "Add Google login"), ("Fix it, please;:", "Fix it, please"),
+    ("v1.2 is out now", "v1.2 is out now"), ("Really?! Yes.", "Really"), ("... dots", ""), ("", ""), ("  one\n two ", "one two"),
+])
+def test_titles(spark, text, want):
+    assert one(spark, text, lambda c: fn.title(c)) == want
+
+
+@pytest.mark.parametrize("a, b, same", [
+    ('{"a":{"x":1,"y":2}}', '{"a":{"y":2,"x":1}}', True), ('{"a":1}', '{"a":"1"}', False), ('{"a":1.0}', '{"a":1}', True), ('{"a":[1,2]}', '{"a":[2,1]}', False),
+    ('{"a":{"proof":1,"b":[{"proof":2}]},"proof":3}', '{"a":{"b":[{}]}}', True), ("{", "{", None), (None, "{}", None), ('"x"', '"x"', True), ('{"a":null}', "{}", False),
+])
+def test_same_json(spark, a, b, same):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(store.same_json(F.col("a"), F.col("b")).alias("o")).first()["o"] == same
+
+
+def test_boundary_keys_tell_modes_and_buckets_apart(spark):
+    rows = [("payment", "POST", "Stripe", None, "test", None, None), ("payment", "POST", "Stripe", None, "live", None, None), ("files", "read", "S3", None, None, "b1", None), ("files", "write", "S3", None, None, "b2", None),
+            ("files", "write", None, None, None, None, "/tmp/x"), ("email", "send", None, "nodemailer", None, None, None), ("ai", "x", "OpenAI", None, None, None, None), ("http", "GET", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "kind string, operation string, provider string, library string, mode string, bucket string, path string")
+    df = df.withColumns({"tables": F.array().cast("array<string>"), "host": F.lit("h"), "local": F.col("kind") == "http"})
+    assert [r["key"] for r in behavior.boundary_key(df).collect()] == ["pay:Stripe:test", "pay:Stripe:live", "file:read:S3 b1", "file:write:S3 b2", "file:write:/tmp/x", "email:nodemailer", "ai:OpenAI"]
