@@ -189,16 +189,16 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, shingle: int = S
     copies = join_small(found.select("doc_id", "tag", "name"), groups, "name").where("doc_id > copy_of").select("doc_id", "tag", "copy_of").distinct()
     each = join_small(found, groups, "name", "left").where("copy_of IS NULL OR doc_id = copy_of").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").count().where("count > 1").select("anchor")  # a document has an anchor once
-    lists = join_small(each, written(shared, "shared"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    rows = join_small(docs, written(lists, "lists"), "doc_id")
+    lists = each.join(written(shared, "shared"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    rows = docs.join(written(lists, "lists"), "doc_id")
     entries = written(rows.mapInArrow(partial(_windows, window=window, shingle=shingle), "anchor long, hash long, doc_id long, spot long"), "entries")
     place = F.expr("CAST(min_by(spot >> 33, doc_id) FILTER (WHERE (spot >> 32) % 2 = 1) AS int)")
     index = entries.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), place.alias("ref"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    hits = join_small(entries, written(index, "index"), ["anchor", "hash"]).where("doc_id > first")
+    hits = entries.join(written(index, "index"), ["anchor", "hash"]).where("doc_id > first")
     hits = hits.groupBy("doc_id", F.col("spot").bitwiseAND(F.lit(2**32 - 1)).alias("tag")).agg(F.collect_list(F.struct(F.expr("CAST(spot >> 33 AS int)").alias("pos"), "first", "ref")).alias("found"))
     marks = hits.mapInArrow(partial(_factored, window=window), f"doc_id long, tag long, factors {_FACTORS}").withColumn("copy_of", F.lit(None).cast("long"))
     marks = written(marks.unionByName(copies, allowMissingColumns=True), "marks")
-    rows = join_small(docs, marks, ["doc_id", "tag"], "left")
+    rows = docs.join(marks, ["doc_id", "tag"], "left")
     return rows.mapInArrow(partial(_parsed, window=window), f"doc_id long, n_words long, n_removed long, kept string, factors {_FACTORS}")
 
 

@@ -61,15 +61,15 @@ def test_removed_words_against_brute_force(spark):
     assert sorted(map(tuple, relativeparse.digest(found).collect()), key=repr) == brute(rows)
 
 
-def test_other_windows_and_joins_without_broadcast(spark, monkeypatch):
-    from functools import partial
-
-    from loomwork import sized
-
+def test_other_windows_and_joins_without_broadcast(spark):
     rows = [r for r in corpus() if len(r[1] or "") < 5000]
-    monkeypatch.setattr(relativeparse, "join_small", partial(sized.join_small, most=0))
-    found = relativeparse.without_repeats(table(spark, rows), window=8, shingle=3)
-    assert sorted(map(tuple, relativeparse.digest(found).collect()), key=repr) == brute(rows, 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = relativeparse.without_repeats(table(spark, rows), window=8, shingle=3)
+        assert sorted(map(tuple, relativeparse.digest(found).collect()), key=repr) == brute(rows, 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_factors_stand_in_the_reference(spark):
