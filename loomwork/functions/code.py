@@ -41,14 +41,24 @@ def python_facts(text: str) -> list[tuple[str, str, int, int, str]]:
             out.append(("function", node.name, *at, ",".join(_name(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list)))
         elif isinstance(node, ast.ClassDef):
             out.append(("class", node.name, *at, ",".join(filter(None, map(_name, node.bases)))))
+            if any(isinstance(n, ast.Assign) and getattr(n.targets[0], "id", "") == "__tablename__" for n in node.body) or _is_table(node):
+                out.append(("table", node.name, *at, ""))
         elif isinstance(node, ast.Call) and (called := _name(node.func)):
             first = node.args[0].value if node.args and isinstance(node.args[0], ast.Constant) else ""
             out.append(("environ" if called in ("os.getenv", "os.environ.get") else "call", str(first) if called in ("os.getenv", "os.environ.get") else called, *at, str(first)[:200]))
         elif isinstance(node, ast.Subscript) and _name(node.value) == "os.environ" and isinstance(node.slice, ast.Constant):
             out.append(("environ", str(node.slice.value), *at, ""))
+    if not out and not any(isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.Call)) for n in ast.walk(module)):
+        out.append(("empty", "", 1, 1, ""))
     return sorted(out, key=lambda f: (f[2], f[0], f[1]))
 
 
+def _is_table(node: ast.ClassDef) -> bool:
+    """Whether a class is declared as a table: class A(SQLModel, table=True)."""
+    declared = any(k.arg == "table" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
+    return declared and any(_name(b).rsplit(".", 1)[-1] == "SQLModel" for b in node.bases)
+
+
 def read_python(files: DataFrame) -> DataFrame:
     """Facts of Python files (path, text), a row each."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

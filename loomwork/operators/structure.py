@@ -184,6 +184,43 @@ def tree_depth(steps: DataFrame, most: int = 64) -> DataFrame:
     return at.select("trace", "id", "depth")
 
 
+def subtree_sums(steps: DataFrame, values: list[str]) -> DataFrame:
+    """steps (trace, id, parent) with the sums of the values over all steps below each, itself left out.
+
+    Two things double each round: the step that a pointer leads up to, and the stretch of
+    levels whose sums a step holds.  A tree of depth d takes log2(d) rounds of one
+    aggregate by (trace, ancestor) with partial sums, however broad or deep it is; no
+    step's descendants are gathered.  Steps that are their own ancestors end the rounds
+    with an error.  A parent that isn't there is none.
+    """
+    known = steps.select("trace", F.col("id").alias("parent"), F.col("id").alias("up"))
+    at = steps.select("trace", "id", "parent", *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values])
+    at = written(at.join(known, ["trace", "parent"], "left").select("trace", "id", "up", *values, *[F.col(v).alias(f"own_{v}") for v in values]), "steps")
+    before = None
+    while True:
+        moving = at.where("up IS NOT NULL").count()
+        if moving == 0:
+            break
+        if moving == before:
+            raise ValueError("steps that are above themselves")
+        before = moving
+        below = at.where("up IS NOT NULL").groupBy("trace", F.col("up").alias("id")).agg(*[F.sum(v).alias(f"more_{v}") for v in values])
+        above = at.select("trace", F.col("id").alias("up"), F.col("up").alias("next"))
+        grown = at.join(below, ["trace", "id"], "left").join(above, ["trace", "up"], "left")
+        sums = [(F.col(v) + F.coalesce(f"more_{v}", F.lit(0))).alias(v) for v in values]
+        at = checkpointed(grown.select("trace", "id", F.col("next").alias("up"), *sums, *[f"own_{v}" for v in values]))
+    return at.select("trace", "id", *[(F.col(v) - F.col(f"own_{v}")).alias(v) for v in values])
+
+
+def collected(steps: DataFrame) -> DataFrame:
+    """trace, id, functions, boundaries, errors: what stands below each step.  steps: trace, id, parent, type, error."""
+    counted = steps.select(
+        "trace", "id", "parent", (F.coalesce("type", F.lit("")) != "boundary").cast("long").alias("functions"), (F.coalesce("type", F.lit("")) == "boundary").cast("long").alias("boundaries"),
+        F.coalesce(F.col("error").cast("boolean"), F.lit(False)).cast("long").alias("errors"),
+    )
+    return subtree_sums(counted, ["functions", "boundaries", "errors"])
+
+
 # secrets and data
 
 
