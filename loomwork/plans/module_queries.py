@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators import matching, names, placing, structure
+from loomwork.functions import sqltext
+from loomwork.operators import matching, names, placing, schema, structure
 from loomwork.plans.graph_queries import _FOLLOWED, _followed
 from loomwork.plans.registry import query, table
 
@@ -135,3 +136,55 @@ def python_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("path").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     links = orders.select(F.col("path").alias("from"), following.alias("target")).where("target IS NOT NULL")
     return placing.python_layers(profile, links)
+
+
+# Orders as files of statements on their customer's tables; the SQL runs them in turn.
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS project, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 8 AS what,
+  't' || (o_orderkey // 8) % 3 AS t, 't' || (o_orderkey // 5) % 3 AS t2, 'c' || (o_orderkey // 3) % 3 AS c FROM orders),
+run AS (SELECT DISTINCT project, 0::BIGINT AS n, []::STRUCT(name VARCHAR, cols VARCHAR[])[] AS state FROM o
+UNION ALL
+SELECT run.project, o.n, CASE
+  WHEN what <= 2 THEN list_append(list_filter(state, lambda x: x.name <> t), {'name': t, 'cols': ['id', c]})
+  WHEN what = 3 THEN list_transform(state, lambda x: CASE WHEN x.name = t THEN {'name': x.name, 'cols': list_append(list_filter(x.cols, lambda y: y <> c), c)} ELSE x END)
+  WHEN what = 4 AND t <> t2 AND len(list_filter(state, lambda x: x.name = t)) > 0 THEN list_transform(list_filter(state, lambda x: x.name <> t2), lambda x: CASE WHEN x.name = t THEN {'name': t2, 'cols': x.cols} ELSE x END)
+  WHEN what = 5 THEN list_transform(state, lambda x: CASE WHEN x.name = t THEN {'name': x.name, 'cols': list_transform(x.cols, lambda y: CASE WHEN y = c THEN 'd' || o.k ELSE y END)} ELSE x END)
+  WHEN what = 6 THEN list_filter(state, lambda x: x.name <> t)
+  WHEN what = 7 THEN list_transform(state, lambda x: CASE WHEN x.name = t THEN {'name': x.name, 'cols': list_filter(x.cols, lambda y: y <> c)} ELSE x END)
+  ELSE state END
+FROM run JOIN o ON o.project = run.project AND o.n = run.n + 1),
+ended AS (SELECT project, unnest(state) AS s FROM run QUALIFY n = max(n) OVER (PARTITION BY project))
+SELECT CAST(project AS VARCHAR) AS project, s.name AS "table", array_to_string(s.cols, ',') AS columns FROM ended""")
+def replayed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    t, t2, c = (F.concat(F.lit(p), (F.floor(key / d) % 3).cast("string")) for p, d in (("t", 8), ("t", 5), ("c", 3)))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    what = key % 8
+    statement = (
+        F.when(what <= 2, text("-- a table; of two\ncreate table if not exists public.", t, " (id int primary key, ", c, " varchar(20) not null default 'a,b;', constraint u unique (", c, "));"))
+        .when(what == 3, text("ALTER TABLE ", t, " ADD COLUMN ", c, " int;")).when((what == 4) & (t != t2), text("alter table \"", t, "\" rename to ", t2))
+        .when(what == 5, text("select ';'; alter table ", t, " rename column ", c, " to d", key.cast("string"))).when(what == 6, text("drop table if exists ", t, " cascade;"))
+        .when(what == 7, text("alter table ", t, " drop column if exists ", c, ", add check (id > 0)")).otherwise("select 1")
+    )
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.lpad(key.cast("string"), 12, "0").alias("path"), statement.alias("text"))
+    found = schema.replayed(schema.schema_statements(files))
+    return found.select("project", "table", F.array_join(F.transform("columns", lambda x: x["name"]), ",").alias("columns"))
+
+
+# The tables that statements made of an order's parts write and read.
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, 't' || o_custkey % 7 AS t, 's' || o_orderkey % 5 AS s FROM orders),
+a AS (SELECT o_orderkey, t AS "table", CASE k WHEN 0 THEN 'select' WHEN 1 THEN 'upsert' WHEN 2 THEN 'update' WHEN 3 THEN 'delete' WHEN 4 THEN 'insert' ELSE 'select' END AS operation FROM o
+UNION ALL SELECT o_orderkey, s, 'select' FROM o WHERE k <> 5)
+SELECT "table", operation, count(*) AS n, min(o_orderkey) AS "first" FROM a GROUP BY ALL""")
+def sql_table_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, t, s = F.col("o_orderkey") % 6, F.concat(F.lit("t"), F.col("o_custkey") % 7), F.concat(F.lit("s"), F.col("o_orderkey") % 5)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    statement = (
+        F.when(k == 0, text("select extract(year from d), 'from x' from public.", t, " join \"", s, "\" using (id) -- from y"))
+        .when(k == 1, text("with w as (select * from ", s, ") insert into ", t, " select * from w on conflict (id) do update set a = 1"))
+        .when(k == 2, text("UPDATE ONLY ", t, " SET a = (SELECT max(b) FROM ", s, ")")).when(k == 3, text("delete from ", t, " using ", s, " where a is distinct from b"))
+        .when(k == 4, text("insert into ", t, " select * from ", s, ", generate_series(1, 2) /* from z */")).otherwise(text("select count(*) from ", t, " where b in (select * from unnest(x))"))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(sqltext.sql_tables(statement)).alias("a"))
+    return rows.groupBy("a.table", "a.operation").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
