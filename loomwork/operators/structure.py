@@ -267,15 +267,19 @@ def settings(files: DataFrame) -> DataFrame:
 
     A value may be quoted; after a plain one a comment may follow.
     """
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    lines = lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"^\s*(export\s+)?|\r$", "").alias("raw"))
-    left, right = F.rtrim(F.substring_index("raw", "=", 1)), F.trim(F.expr("substr(raw, instr(raw, '=') + 1)"))
-    mark = F.substring(right, 1, 1)
-    last = F.length(right) - F.instr(F.reverse(right), mark) + 1  # place of the last such mark
-    plain = F.regexp_replace(right, r"\s+#.*$", "")
-    value = F.when(mark.isin('"', "'") & (last > 1), F.substring(right, F.lit(2), last - 2)).otherwise(plain)
-    assigned = F.col("raw").contains("=") & left.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
-    return lines.where(assigned).select("path", "line", left.alias("variable"), value.alias("value"))
+    def assignment(line: Column, at: Column) -> Column:
+        raw = F.regexp_replace(line, r"^\s*(export\s+)?|\r$", "")
+        left, right = F.rtrim(F.substring_index(raw, "=", 1)), F.trim(F.substring(raw, F.instr(raw, "=") + 1, F.length(raw)))
+        mark = F.substring(right, 1, 1)
+        last = F.length(right) - F.instr(F.reverse(right), mark) + 1  # place of the last such mark
+        plain = F.regexp_replace(right, r"\s+#.*$", "")
+        value = F.when(mark.isin('"', "'") & (last > 1), F.substring(right, F.lit(2), last - 2)).otherwise(plain)
+        assigned = raw.contains("=") & left.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+        return F.when(assigned, F.struct((at + 1).alias("line"), left.alias("variable"), value.alias("value")))
+
+    # the rows are made before they are asked about, so that no rule repeats how a value was read
+    each = files.select("path", F.explode(F.transform(F.split("text", "\n"), assignment)).alias("s")).where("s IS NOT NULL")
+    return each.select("path", "s.line", "s.variable", "s.value")
 
 
 def environment_facts(files: DataFrame) -> DataFrame:
