@@ -245,3 +245,44 @@ def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     neighbours = rows.agg(F.array(*near).alias("each")).select(F.explode("each").alias("e")).select("e.*")
     return top.join(F.broadcast(neighbours), "conv_id")
 
+
+
+# Conversations as streamed answers: a turn is a body of a frame or two, in one of three dialects or with whole answers at even turns.
+@query("""
+WITH t AS (SELECT conv_id AS call, turn, text, conv_id % 4 AS d FROM conversations),
+l AS (SELECT *, max(CASE WHEN d = 3 AND turn % 2 = 0 THEN turn END) OVER (PARTITION BY call) AS cut FROM t),
+p AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY call ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l WHERE turn >= coalesce(cut, turn)),
+a AS (SELECT call, string_agg(text, '' ORDER BY turn) AS answer FROM p WHERE before < 200 GROUP BY call),
+u AS (SELECT call, CAST(max(turn * 10) AS BIGINT) AS input, CAST(max(CASE WHEN turn % 2 = 1 THEN turn + 1 END) AS BIGINT) AS output FROM t GROUP BY call)
+SELECT call, input, output, left(trim(regexp_replace(answer, '\\s+', ' ', 'g')), 200) AS answer FROM u LEFT JOIN a USING (call)""")
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.operators import ai
+
+    d, turn = F.col("conv_id") % 4, F.col("turn")
+    piece = F.to_json(F.struct("text"))
+    said = F.expr("substr(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")  # the text as JSON
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    counts = text('{"usage": {"input_tokens": ', turn * 10, F.when(turn % 2 == 1, text(', "output_tokens": ', turn + 1)).otherwise(""), "}}")
+    frame = (
+        F.when(d == 0, text('{"choices": [{"delta": {"content": ', said, "}}]}")).when(d == 1, text('{"type": "response.output_text.delta", "delta": ', said, "}"))
+        .when((d == 2) | (turn % 2 == 1), text('{"type": "content_block_delta", "delta": ', piece, "}")).otherwise(text('{"output_text": ', said, "}"))
+    )
+    bodies = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), turn.alias("seq"), text("event: x\ndata: ", frame, "\ndata: not json\ndata:", counts, " \n: ping\n").alias("body"))
+    return ai.response_details(ai.frames(bodies))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN conv_id % 3 > 0 THEN 'm' || conv_id % 5 END AS model, nullif(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200), '') AS prompt, turn % 2 = 0 AS stream FROM conversations""")
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.operators import ai
+
+    said = F.expr("substr(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    d = F.col("conv_id") % 4
+    asked = (
+        F.when(d == 0, text('"messages": [{"role": "user", "content": "old"}, {"role": "user", "content": ', said, '}, {"role": "assistant", "content": "no"}]'))
+        .when(d == 1, text('"input": ', said)).when(d == 2, text('"contents": [{"parts": [{"text": ', said, '}, {"other": 1}]}]')).otherwise(text('"prompt": ', said, ', "messages": null'))
+    )
+    model = F.when(F.col("conv_id") % 3 > 0, text('"model": "m', F.col("conv_id") % 5, '", ')).otherwise('"model": 7, ')
+    body = text("{", model, '"stream": ', (F.col("turn") % 2 == 0), ", ", asked, "}")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ai.request_details(body).alias("r")).select("conv_id", "turn", "r.*")
