@@ -391,3 +391,28 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 80) AS excerpt FROM conversations""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.excerpt(F.col("text"), 80).alias("excerpt"))
+
+
+# Orders as files of two moments in a new archive; the first is read back after the second was written.
+@query("""
+WITH f AS (SELECT 'o/' || o_orderkey || CASE WHEN o_orderkey % 50 = 0 THEN '/.env' ELSE '.txt' END AS path, o_orderkey % 50 = 0 AS env, o_orderkey % 5000 = 1 AS large,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'KEY_' || o_custkey || '=' || o_orderstatus WHEN o_orderkey % 5000 = 1 THEN repeat('x', 1048577) ELSE o_orderpriority || o_custkey % 100 END AS content FROM orders)
+SELECT path, CASE WHEN large THEN 'missing' WHEN env THEN 'names' ELSE 'whole' END AS state, CASE WHEN large THEN NULL WHEN env THEN sha256(regexp_extract(content, '^[^=]*=')) ELSE sha256(content) END AS content_sha256 FROM f""")
+def archived_moment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from loomwork.sources import archive
+    from loomwork.storage import shared_dir
+
+    key = F.col("o_orderkey")
+    path = F.concat(F.lit("o/"), key, F.when(key % 50 == 0, "/.env").otherwise(".txt"))
+    content = (
+        F.when(key % 50 == 0, F.concat(F.lit("KEY_"), "o_custkey", F.lit("="), "o_orderstatus")).when(key % 5000 == 1, F.repeat(F.lit("x"), 2**20 + 1))
+        .otherwise(F.concat("o_orderpriority", F.col("o_custkey") % 100))
+    )
+    files = table(spark, sf_dir, "orders").select(path.alias("path"), content.alias("content"))
+    folder = f"{shared_dir(spark).rstrip('/')}/loomwork/archive-{uuid.uuid4().hex}"
+    first, *_ = archive.archive(files, folder)
+    archive.archive(files.withColumn("content", F.concat("content", F.lit("!"))), folder)
+    found = archive.materialized(spark, folder, first)
+    return found.select("path", "state", F.sha2("content", 256).alias("content_sha256"))
