@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,9 +121,11 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"(?:[ ]?{_OPEN}[ ]?(?:{_AT_WORDS}|@)[ ]?{_CLOSE}[ ]?|[ ]+(?:{_AT_WORDS})[ ]+|[ ]+@[ ]+)"
 _DOT = rf"(?:[ ]?{_OPEN}[ ]?(?:{_DOT_WORDS}|\.)[ ]?{_CLOSE}[ ]?|[ ]+(?:{_DOT_WORDS})[ ]+)"
 _NAME = r"[A-Za-z0-9_%+-]+"
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_DOT}|\.){_NAME})*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE
-)
+#: An address is names, an at-sign and labels.  They are matched one after the other: names that no at-sign follows are passed over as a whole.
+_NAMES = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_DOT}|\.){_NAME})*", re.IGNORECASE)
+_SIGN = re.compile(_AT, re.IGNORECASE)
+_DOT_AT = re.compile(rf"(?<=[ ])(?:{_DOT_WORDS})[ ]+(?:{_AT_WORDS})\Z", re.IGNORECASE)
+_LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 _HALF = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:\.{_NAME})*@[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]+", re.IGNORECASE)
 _PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}[ ]?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[ ]?{_CLOSE}", re.IGNORECASE)
@@ -185,19 +187,30 @@ def _character_edits(text: str) -> list[Edit]:
     return [(m.start(), m.end(), _CHARACTERS[ord(m[0])]) for m in _LOOKS.finditer(text)]
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of names, a disguised at-sign and labels, from left to right and apart, in linear time."""
+    at = 0
+    while names := _NAMES.search(text, at):
+        at = names.end()
+        if (sign := _SIGN.match(text, at)) and (labels := _LABELS.match(text, sign.end())):
+            at = labels.end()
+            yield names.start(), at
+        elif word := _DOT_AT.search(text, names.start() + 1, at):
+            at = word.start()  # "dot at": the dot may be the name
+
+
 def _address_edits(text: str) -> list[Edit]:
     if not _MAY_DISGUISE.search(text):
         return []
     out = [(*m.span(), ".") for m in _DOTTED.finditer(text)]
-    for pattern in (_ADDRESS, _HALF):
-        for m in pattern.finditer(text):
-            parts = list(_PART.finditer(text, m.start(), m.end()))
-            bare_at = next((p for p in parts if p["at"] and not _BRACKETED.search(p[0]) and "@" not in p[0]), None)
-            if bare_at and not _BRACKETED.search(m[0]):
-                # "meet at example.com" is no address, nor is every "at ... dot ..."
-                if not any(p["dot"] for p in parts) or re.split(r"[ .]+", m[0])[-1].lower() not in _LAST:
-                    continue
-            out += [(*p.span(), "@" if p["at"] else ".") for p in parts]
+    for start, end in [*_addresses(text), *(m.span() for m in _HALF.finditer(text))]:
+        parts, whole = list(_PART.finditer(text, start, end)), text[start:end]
+        bare_at = next((p for p in parts if p["at"] and not _BRACKETED.search(p[0]) and "@" not in p[0]), None)
+        if bare_at and not _BRACKETED.search(whole):
+            # "meet at example.com" is no address, nor is every "at ... dot ..."
+            if not any(p["dot"] for p in parts) or re.split(r"[ .]+", whole)[-1].lower() not in _LAST:
+                continue
+        out += [(*p.span(), "@" if p["at"] else ".") for p in parts]
     return _apart(out)
 
 
@@ -245,13 +258,36 @@ def disguised(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, i
                 start, end = step.source(start, end)
             if touched:
                 shown.add((kind, start, end))
-    out: list[tuple[str, int, int]] = []
+    known = {k: _Apart() for k in KINDS}
+    for kind, start, end in found:
+        known[kind].add(start, end)
+    taken = {k: _Apart() for k in KINDS}
     for kind, start, end in sorted(shown, key=lambda s: (s[1] - s[2], s)):
-        over = [(a, b) for k, a, b in found if k == kind and a < end and b > start]
-        longer = all(start <= a and b <= end and (a, b) != (start, end) for a, b in over)
-        if longer and not any(k == kind and a < end and b > start for k, a, b in out):
-            out.append((kind, start, end))
-    return _sorted(out)
+        longer = all(start <= a and b <= end and (a, b) != (start, end) for a, b in known[kind].over(start, end))
+        if longer and not taken[kind].over(start, end):
+            taken[kind].add(start, end)
+    return _sorted([(k, start, end) for k, spans in taken.items() for start, end in spans])
+
+
+class _Apart:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self) -> None:
+        self._starts: list[int] = []
+        self._ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_right(self._starts, start)
+        self._starts.insert(k, start)
+        self._ends.insert(k, end)
+
+    def over(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The spans that overlap one."""
+        first, last = bisect_right(self._ends, start), bisect_left(self._starts, end)
+        return list(zip(self._starts[first:last], self._ends[first:last], strict=True))
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return iter(zip(self._starts, self._ends, strict=True))
 
 
 _OUT = "doc_id long, base array<struct<kind:string,start:int,end:int>>, added array<struct<kind:string,start:int,end:int>>"

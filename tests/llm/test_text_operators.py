@@ -440,3 +440,22 @@ def test_main_text_rows(spark):
     assert len(found) == 5 and found[1]["text"] == "" and found[2]["n_chars"] == 0
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert htmlblocks.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_disguised_addresses_as_one_pattern_finds_them():
+    """The matching in steps against the pattern of the whole, on random texts."""
+    whole = re.compile(rf"{pii._NAMES.pattern}{pii._SIGN.pattern}{pii._LABELS.pattern}", re.IGNORECASE)
+    rng = np.random.default_rng(21)
+    parts = ["a", "john", " ", " ", ".", " dot ", "[dot]", " at ", "[at]", "(@)", " @ ", "com", "-", "_", "%", "x.y", "@", " (dot) ", "\n", "at", "dot"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        if re.search(r"dot[\])]?\s*[\[(]?dot", text):  # which of them is a name is anyone's guess
+            continue
+        assert list(pii._addresses(text)) == [m.span() for m in whole.finditer(text)], repr(text)
+
+
+@pytest.mark.parametrize("text", ["a dot " * 60_000, "a at " * 60_000, "a.b" * 100_000 + " at", " " * 300_000 + "at", "x@y dot " * 40_000, "(at" * 100_000, "one two " * 50_000 + "[dot]"])
+def test_disguises_take_linear_time(text):
+    began = time.perf_counter()
+    pii.disguised(text, pii.plain(text))
+    assert time.perf_counter() - began < 15
