@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -314,16 +316,30 @@ def code_tokens(text: Column, python: bool = False) -> Column:
     return F.transform(kept, lambda t: F.when(t.rlike("^[\"'`]"), '"s"').when(t.rlike("^[0-9]"), "0").otherwise(t))
 
 
+#: Odd bases of the two rolling hashes, and what undoes them.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _rolling(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A hash for each run of n tokens, from sums of hashes times powers of the base: no window is read again."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), base, np.uint64)], dtype=np.uint64)
+    back = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes) - n, pow(base, -1, 2**64), np.uint64)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * powers[:-1], dtype=np.uint64)]
+    return (sums[n:] - sums[:-n]) * back
+
+
 def _windows(n: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_hexdigest
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            rows = []
-            for doc, tokens in zip(batch["doc"], batch["tokens"], strict=True):
-                words = list(tokens)
-                rows += [(doc, at, xxh3_128_hexdigest("\x1f".join(words[at : at + n]))) for at in range(len(words) - n + 1)]
-            yield pd.DataFrame(rows, columns=["doc", "at", "h"])
+            for doc, tokens in zip(batch.column("doc").to_pylist(), batch.column("tokens"), strict=True):
+                words = tokens.as_py() or []
+                if len(words) >= n:
+                    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+                    one, two = (_rolling(hashes, n, base).view(np.int64) for base in _BASES)
+                    at = np.arange(len(one), dtype=np.int32)
+                    yield pa.record_batch([pa.array(one), pa.array(two), pa.array(np.full(len(one), doc, np.int64)), pa.array(at)], names=["h1", "h2", "doc", "at"])
 
     return cut
 
@@ -335,9 +351,9 @@ def copied_stretches(sources: DataFrame, n: int) -> DataFrame:
     window in many places gives one row for each, not one for each pair; neighbouring windows
     with the same shift join to one stretch.
     """
-    windows = sources.select("doc", "tokens").mapInPandas(_windows(n), "doc long, at int, h string")
-    first = windows.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", "f")
-    met = windows.join(first, "h").where(~((F.col("doc") == F.col("f.doc")) & (F.abs(F.col("at") - F.col("f.at")) < n)))
+    windows = sources.select(F.col("doc").cast("long").alias("doc"), "tokens").mapInArrow(_windows(n), "h1 long, h2 long, doc long, at int")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h1", "h2", "f")
+    met = windows.join(first, ["h1", "h2"]).where(~((F.col("doc") == F.col("f.doc")) & (F.abs(F.col("at") - F.col("f.at")) < n)))
     met = met.select(F.col("f.doc").alias("one"), F.col("f.at").alias("one_at"), F.col("doc").alias("two"), F.col("at").alias("two_at"))
     shift = F.col("two_at") - F.col("one_at")
     w = Window.partitionBy("two", "one", shift).orderBy("two_at")
@@ -387,3 +403,42 @@ def copies(sources: DataFrame, n: int = 80, least_lines: int = 8) -> DataFrame:
 
     same = found.where("one_words = two_words").select("one", "one_at", "two", "two_at", "length", F.col("one_words").alias("words"))
     return same.mapInPandas(own, "one long, one_at int, two long, two_at int, length long")
+
+
+def duplicated(sources: DataFrame, n: int = 80, least_lines: int = 8) -> DataFrame:
+    """stretch, doc, at, length, line, end_line: every place of each stretch of n tokens or more that stands in two places or more.
+
+    sources: doc (unique), tokens, lines.  Windows of n tokens belong to one stretch as
+    long as all of their places go on together, so each stretch is as long as all its
+    places allow, and where one place ends a shorter set may go on as another stretch.
+    What tells a window's set of places is a sum over them, so no set is gathered.
+    Places of one source that overlap count once; a stretch that repeats itself, or has
+    fewer lines than least_lines in any place, is none.  A stretch is named by its first place.
+    """
+    kept = written(sources.select(F.col("doc").cast("long").alias("doc"), "tokens", "lines").where(F.size("tokens") >= n), "sources")
+    windows = written(kept.select("doc", "tokens").mapInArrow(_windows(n), "h1 long, h2 long, doc long, at int"), "windows")
+    often = windows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    before = Window.partitionBy("h1", "h2", "doc").orderBy("at")
+    rows = windows.join(often, ["h1", "h2"]).withColumn("lag", F.lag("at").over(before)).where(F.col("lag").isNull() | (F.col("at") - F.col("lag") >= n)).drop("lag")
+    rows = written(rows, "rows")
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    placed = written(rows.join(first, ["h1", "h2"]).select("h1", "h2", "doc", "at", "k", F.col("f.doc").alias("one"), F.col("f.at").alias("one_at")), "placed")
+    shift = F.col("at") - F.col("one_at")
+    signs = placed.groupBy("h1", "h2").agg(F.sum(F.xxhash64("doc", shift).cast("decimal(38,0)")).alias("places"))
+    marked = placed.join(signs, ["h1", "h2"]).withColumn("shift", shift)
+    run = Window.partitionBy("doc", "one", "shift", "k", "places").orderBy("at")
+    island = F.col("at") - F.row_number().over(run)
+    runs = marked.withColumn("island", island).groupBy("doc", "one", "shift", "k", "places", "island").agg(F.min("at").alias("at"), F.min("one_at").alias("one_at"), (F.count("*") + n - 1).cast("int").alias("length"))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("length"))
+    read = runs.join(kept, "doc").select("doc", "at", "length", "k", "one", "one_at", F.element_at(cut("lines"), 1).alias("line"), F.element_at(cut("lines"), -1).alias("end_line"), cut("tokens").alias("words"))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = [least_period(list(w)) > len(w) / 2 for w in batch.pop("words")]
+            yield batch.assign(own=whole)
+
+    names = "doc long, at int, length int, k long, one long, one_at int, line int, end_line int, own boolean"
+    each = written(read.mapInPandas(own, names), "places")
+    good = each.groupBy("one", "one_at", "length").agg(F.count("*").alias("n"), F.min(F.col("end_line") - F.col("line") + 1).alias("least"), F.bool_and("own").alias("own"), F.max("k").alias("k"))
+    good = good.where((F.col("n") == F.col("k")) & (F.col("least") >= least_lines) & F.col("own")).select("one", "one_at", "length")
+    return each.join(good, ["one", "one_at", "length"]).select(F.concat_ws(":", "one", "one_at", "length").alias("stretch"), "doc", "at", "length", "line", "end_line")

@@ -210,3 +210,26 @@ SELECT r.* FROM r JOIN d a ON a.doc = one JOIN d b ON b.doc = two WHERE a.n[one_
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = structure.lined_words(F.col("text"))
     return structure.copies(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words.alias("w")).select("doc", "w.*"))
+
+
+@query()
+def copied_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = structure.lined_words(F.col("text"))
+    return structure.duplicated(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words.alias("w")).select("doc", "w.*"))
+
+
+# A document as a value: its text, its lines and what is deep in it.
+@query("""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '[TRUNCATED ' || length(text) || ']' ELSE text END AS text, least(len(ls), 20) + CASE WHEN len(ls) > 20 THEN 1 ELSE 0 END AS items,
+  CASE WHEN len(ls) > 20 THEN len(ls) - 20 END AS more, 'list (' || len(ls) || ')' AS deep FROM d""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.functions.preview import preview
+
+    lines = F.split("text", "\n", -1)
+    sizes = F.transform(lines, lambda x: F.length(x))
+    value = F.to_json(F.struct("text", sizes.alias("lines"), F.struct(F.struct(F.struct(sizes.alias("d")).alias("c")).alias("b")).alias("a")))
+    shown = table(spark, sf_dir, "documents").select("doc_id", preview(value).alias("p"))
+    lists = F.from_json(F.get_json_object("p", "$.lines"), "array<string>")
+    more = F.get_json_object(F.try_element_at(lists, F.lit(-1)), "$.$more").cast("long")
+    return shown.select("doc_id", F.get_json_object("p", "$.text").alias("text"), F.size(lists).cast("long").alias("items"), more.alias("more"), F.get_json_object("p", "$.a.b.c.d['$type']").alias("deep"))

@@ -201,3 +201,25 @@ def test_what_python_files_are(spark):
         "back/scripts/x.py": "folder:scripts", "string_utils.py": "utilities", "migrations/1.py": "python:alembic-migration",
     }
     assert got["pkg/__init__.py"][2] is None and got["store/use.py"] == ("data", "database-queries", "server")
+
+
+def test_all_places_of_copied_stretches(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    own = lambda n: [word() for _ in range(n)]
+    a, b, c = own(30), own(25), own(12)
+    texts = {1: own(9) + a + own(5) + b, 2: own(3) + a + b, 3: a + own(4) + c, 4: own(2) + b + own(6) + b, 5: c[:9] + own(3), 6: ["x", "y"] * 40, 7: ["x", "y"] * 40, 8: own(4), 9: a[:20] + own(2)}
+    rows = [(d, w, [k // 2 + 1 for k in range(len(w))]) for d, w in texts.items()]
+    got = structure.duplicated(frame(spark, rows, "doc long, tokens array<string>, lines array<int>"), n=10, least_lines=4)
+    found = {}
+    for r in got.collect():
+        assert texts[r["doc"]][r["at"] : r["at"] + r["length"]] and r["line"] == r["at"] // 2 + 1
+        found.setdefault(r["stretch"], set()).add((r["doc"], r["at"], r["length"]))
+    assert sorted(found.values(), key=sorted) == sorted([
+        {(1, 9, 20), (2, 3, 20), (3, 0, 20), (9, 0, 20)},  # the part of a that four places have
+        {(1, 20, 19), (2, 14, 19), (3, 11, 19)},  # and what goes on in three of them
+        {(1, 44, 25), (2, 33, 25), (4, 2, 25), (4, 33, 25)},
+    ], key=sorted)
+    for places in found.values():
+        assert len({tuple(texts[d][p : p + n]) for d, p, n in places}) == 1
+    assert structure.duplicated(frame(spark, [], "doc long, tokens array<string>, lines array<int>")).count() == 0
