@@ -10,7 +10,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: The pieces that a worker remembers (about 200 bytes each); beyond, it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words with the space before them, and what stands between words.  Byte-level
 #: pre-tokenization has a boundary at each of these cuts, and what it makes of a piece
@@ -55,7 +55,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = plain
         added = sorted((x.content for x in self._tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self._added = None if plain or not added else re.compile("(" + "|".join(map(re.escape, added)) + ")")
+        self._added = [] if plain else added
+        self._around = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         self.vocabulary = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 2**16 else "<u4")
         # A word with the space before it is one unit of pre-tokenization, so lines of single words need no pattern.
@@ -70,9 +71,9 @@ class Encoder:
 
     def _split(self, text: str) -> list[str]:
         """The pieces of a text, an added token being one of its own."""
-        if self._added is None or not self._added.search(text):
+        if not any(x in text for x in self._added):
             return pieces(text)
-        parts = self._added.split(text)
+        parts = self._around.split(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else pieces(part))]
 
     def _forget(self) -> None:
