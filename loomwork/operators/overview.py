@@ -176,7 +176,10 @@ def unguarded_routes(routes: DataFrame) -> DataFrame:
 
 def fact_rows(files: DataFrame, most: int = 5) -> DataFrame:
     """section, fact: for each block its count of files and the first ones by path."""
-    grouped = files.groupBy("block").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, most).alias("p"))
+    first = files.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("path"))).where(F.col("place") <= most)
+    shown = first.groupBy("block").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    counted = files.groupBy(F.col("block").alias("of")).agg(F.count("*").alias("n"))
+    grouped = shown.join(counted, F.col("block").eqNullSafe(F.col("of"))).drop("of")
     more = F.when(F.col("n") > most, F.concat(F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
     return grouped.select(F.col("block").alias("section"), F.concat(F.col("n").cast("string"), F.lit(" files: "), F.array_join("p", ", "), more).alias("fact"))
 

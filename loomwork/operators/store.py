@@ -94,10 +94,10 @@ def by_longest_prefix(uses: DataFrame, services: DataFrame, module: str) -> Data
     parts = F.split(F.col(module), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     known = services.withColumnRenamed("name", "of_name")
-    each = uses.withColumn("row", F.struct(*uses.columns)).select("row", F.explode(prefixes).alias("prefix"))
-    met = each.join(known, "prefix").where("of_name = '*' OR of_name = row.name")
-    best = met.groupBy("row").agg(F.max_by("service", F.struct(F.length("prefix"), F.col("of_name") != "*", "service")).alias("service"))
-    return uses.withColumn("row", F.struct(*uses.columns)).join(best, "row", "left").drop("row")
+    each = uses.select(module, "name").distinct().select(module, "name", F.explode(prefixes).alias("prefix"))
+    met = each.join(known, "prefix").where("of_name = '*' OR of_name = name")
+    best = met.groupBy(module, "name").agg(F.max_by("service", F.struct(F.length("prefix"), F.col("of_name") != "*", "service")).alias("service"))
+    return uses.join(best, [module, "name"], "left").select(*uses.columns, "service")
 
 
 def python_modules(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -142,11 +142,19 @@ def new_and_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.new_and_gone(rows.where("v = 0"), rows.where("v = 1"), ["who", "what"])
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+# A document as JSON with comments and final commas around it; its own text has what looks like both.
+@query("""
+SELECT doc_id, doc_id AS k, text AS t, len(string_split(text, chr(10))) AS n FROM documents""")
 def jsonc_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('/* "x" */ {"a": "// no /* comment */, }", // yes\n"b": '), "props", F.lit(",\n}"))
+    said = F.expr("substr(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    lines = F.to_json(F.transform(F.split("text", "\n", -1), lambda x: F.length(x)))
+    text = F.concat(
+        F.lit('/* "x": { */ {"a": "// no /* comment */, }", // yes, ]\n"t" : '), said, F.lit(', /* , */ "lines": '), F.substring(lines, F.lit(1), F.length(lines) - 1), F.lit(" , ], // }\n"),
+        F.lit('"b": {"k": '), F.col("doc_id").cast("string"), F.lit(",\n} /**/ ,\n}"),
+    )
     plain = store.plain_json(text)
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(plain, "$.b.k").alias("k"))
+    counted = F.size(F.from_json(F.get_json_object(plain, "$.lines"), "array<bigint>")).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(plain, "$.b.k").cast("long").alias("k"), F.get_json_object(plain, "$.t").alias("t"), counted.alias("n"))
 
 
 # Nested objects of an order, with keys in another order, a proof at two depths, a number as text, another amount, or cut short.
@@ -270,13 +278,16 @@ def matched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_orderkey AS action, count(*) AS n, bool_or(l_returnflag = 'R') AS other, bool_or(l_linestatus = 'O') AS write, bool_or(l_linenumber > 5) AS query FROM lineitem GROUP BY ALL),
-r AS (SELECT action, CASE WHEN other THEN 'other-origin' WHEN write THEN 'method' WHEN query THEN 'query' WHEN n > 20 THEN 'path' END AS reason FROM g)
+WITH g AS (SELECT l_orderkey AS action, count(*) AS n, bool_or(l_returnflag = 'R') AS other, bool_or(l_linestatus = 'O') AS write, bool_or(l_linenumber > 5) AS query,
+  bool_or(l_partkey % 40 < 3) AS path FROM lineitem GROUP BY ALL),
+r AS (SELECT action, CASE WHEN other THEN 'other-origin' WHEN write THEN 'method' WHEN query THEN 'query' WHEN n > 20 OR path THEN 'path' END AS reason FROM g)
 SELECT action, CASE WHEN reason IS NULL THEN 'rerun' ELSE 'by-hand' END AS how, reason FROM r""")
 def redo_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("l_partkey")
+    path = F.when(part % 40 == 0, "/a b").when(part % 40 == 1, F.concat(F.lit("/p/"), F.lit(fn.MARK))).when(part % 40 == 2, "/é").otherwise(F.concat(F.lit("/p/"), part.cast("string"), F.lit("/x.y_z~")))
     keys = F.when(F.col("l_linenumber") > 5, F.array(F.lit("q"))).otherwise(F.array().cast("array<string>"))
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("action"), F.when(F.col("l_linestatus") == "O", "POST").otherwise("GET").alias("method"), F.lit("/a/b").alias("path"),
+        F.col("l_orderkey").alias("action"), F.when(F.col("l_linestatus") == "O", "POST").otherwise("GET").alias("method"), path.alias("path"),
         keys.alias("query_keys"), (F.col("l_returnflag") == "R").alias("other_origin"),
     )
     return behavior.redo_plan(rows, "action")
