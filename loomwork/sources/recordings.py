@@ -50,7 +50,10 @@ def spool(spark: SparkSession, path: str, largest: int = 4 * 1024 * 1024) -> Dat
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """path, language, size, lines, hash of all files below a folder; build and environment folders are left out."""
+    """path, language, size, lines, hash of all files below a folder; build and environment folders are left out.
+
+    Empty files are not there: Spark's readers pass them over.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     skipped = r"/(node_modules|\.git|dist|build|\.next|venv|\.venv|__pycache__)/"
     text = F.col("content").cast("string")  # not decoded: line breaks are counted in the bytes, and a file need not be text

@@ -459,7 +459,7 @@ def test_service_role_of_payloads_that_are_not_text(spark):
 def test_folders_with_files_that_are_not_text(spark, tmp_path):
     from loomwork.sources import recordings
 
-    files = {"a.png": b"\x89PNG\r\n\x1a\n\xff\x0a\xfe", "b.txt": "é\nx".encode(), "c.txt": b"x\n", "d": b"", "e.bin": bytes(range(256)) * 9}
+    files = {"a.png": b"\x89PNG\r\n\x1a\n\xff\x0a\xfe", "b.txt": "é\nx".encode(), "c.txt": b"x\n", "d": b"\n", "e.bin": bytes(range(256)) * 9}
     for name, raw in files.items():
         (tmp_path / name).write_bytes(raw)
     got = {r["path"].rsplit("/", 1)[1]: (r["lines"], r["size"]) for r in recordings.inventory(spark, str(tmp_path)).collect()}
