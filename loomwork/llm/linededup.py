@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.sized import join_small
 from loomwork.storage import checkpointed
 
 RATIO = 0.02
 MIN_PAGES = 5
-#: Boilerplate lines of all hosts that are sent to every task; with more, documents and hosts are shuffled in so many parts a host.
-BROADCAST_LINES, PARTS = 200_000, 64
+#: Boilerplate lines of all hosts that are sent to every task; with more, documents and hosts are shuffled, a host in parts of so many bytes of texts.
+BROADCAST_LINES, PART_BYTES = 200_000, 64 * 2**20
 
 
 def _lines(text: Column) -> Column:
@@ -56,10 +57,15 @@ def without_boilerplate(
     same = F.col("of_host").eqNullSafe(F.col("host"))
     if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         rows = rows.join(F.broadcast(by_host), same, "left")
-    else:  # a host's documents go to PARTS tasks, each with the host's lines
-        part = F.pmod(F.xxhash64("row.text"), F.lit(PARTS)).cast("int")
-        framed = checkpointed(by_host).select("host", "frame", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-        rows = rows.withColumn("of_part", part).join(framed, same & (F.col("of_part") == F.col("part")), "left")
+    else:  # a host's documents go to as many tasks as they have parts, each with the host's lines
+        key = lambda c: F.to_json(F.struct(F.col(c).alias("of")))  # noqa: E731  (a null host is one too)
+        sizes = rows.groupBy(key("of_host").alias("key")).agg(F.sum(F.octet_length(F.col("row.text").cast("string"))).alias("size"))
+        parts = F.greatest(F.ceil(F.col("size") / PART_BYTES), F.lit(1)).cast("int")
+        hosts = checkpointed(by_host.withColumn("key", key("host")).join(sizes, "key").select("key", "host", "frame", F.coalesce(parts, F.lit(1)).alias("parts")))
+        framed = hosts.select("key", "host", "frame", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        rows = join_small(rows.withColumn("key", key("of_host")), hosts.select("key", "parts"), "key", "left")
+        part = F.pmod(F.xxhash64(F.col("row.text").cast("string")), F.coalesce("parts", F.lit(1))).cast("int")
+        rows = rows.withColumn("part", part).join(framed, ["key", "part"], "left")
     text = F.col("row.text").cast("string")
     lines = _lines(text)
     met = F.array_intersect(F.transform(lines, _name), "frame")  # the page's own boilerplate lines, few

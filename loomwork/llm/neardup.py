@@ -9,8 +9,7 @@ confirmed on the full sets.
 
 A band that thousands of texts share never becomes all its pairs.  Each set is
 first compared with one centre of its bands: the set that meets most others, which
-in a group of copies is the text they were made from (three rounds, with other
-centres in each).  Only bands that still hold several components are compared in
+in a group of copies is the text they were made from.  Only bands that still hold several components are compared in
 full, inside blocks of bounded size, across components only, and a block gives a
 spanning forest of its links.  Pairs never become rows, but one for each node and
 round; a node's set is joined once to each place where it is compared.

@@ -75,10 +75,12 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):
-    rows = [(k, f"Menu\nown {k}", "a") for k in range(9)]
-    want = sorted(map(tuple, linededup.without_boilerplate(docs(spark, rows)).collect()))
+    rows = [(k, f"Menu\nown {k}", "a") for k in range(9)] + [(20 + k, f"Top\nown {k}", None) for k in range(9)] + [(40, "Menu\nx", "b"), (41, None, "a"), (42, None, None)]
+    want = sorted(map(repr, linededup.without_boilerplate(docs(spark, rows)).collect()))
     monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
-    assert sorted(map(tuple, linededup.without_boilerplate(docs(spark, rows)).collect())) == want
+    for size in (2**20, 10):  # hosts in one part, and in many
+        monkeypatch.setattr(linededup, "PART_BYTES", size)
+        assert sorted(map(repr, linededup.without_boilerplate(docs(spark, rows)).collect())) == want
 
 
 def test_line_dedup_counts_copies_of_a_page_once(spark):
