@@ -31,14 +31,23 @@ def _plain(path: Column, rounds: int = 6) -> Column:
     return path
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    """from, specifier, target (a project file) or package: what each import means.
+# What may follow an import's path, in the order in which it is tried; last, sources of a compiled file's name.
+_ENDINGS = ("", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS])
+_SOURCES = (".ts", ".tsx", ".mts", ".cts")
+_COMPILED = (".js", ".mjs", ".cjs")
 
-    imports: from, specifier; files: path.  A relative specifier is joined to its folder, one
-    with / starts at the project; an alias (pattern with *, target) is tried next, and what is
-    left names a package.  Each import becomes its candidate paths in order, joined by equal
-    path; the first that exists wins.
-    """
+
+def _known_roots(files: DataFrame) -> DataFrame:
+    """root, place: the paths without endings that files are found by, and the first ending that finds one."""
+    path = F.col("path")
+    less = lambda ending, instead="": F.concat(F.substring(path, F.lit(1), F.length(path) - len(ending)), F.lit(instead))
+    ways = [(k, e, "") for k, e in enumerate(_ENDINGS)] + [(len(_ENDINGS) + k, e, c) for k, e in enumerate(_SOURCES) for c in _COMPILED]
+    each = F.array_compact(F.array(*[F.when(path.endswith(e), F.struct(less(e, c).alias("root"), F.lit(k).alias("place"))) for k, e, c in ways]))
+    return files.select(F.explode(each).alias("r")).groupBy("r.root").agg(F.min("r.place").alias("place"))
+
+
+def _rooted(imports: DataFrame, aliases: list[tuple[str, str]] | None) -> DataFrame:
+    """imports with roots: the paths without endings that each may mean, in order; none for a package."""
     spec = F.regexp_replace("specifier", r"[?#].*$", "")
     base = F.when(spec.startswith("."), _plain(F.concat(_folder(F.col("from")), spec))).when(spec.startswith("/"), F.substring(spec, 2, 10_000))
     roots = [F.array_compact(F.array(base))]
@@ -48,17 +57,49 @@ def resolved_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[s
         middle = F.substring(spec, F.lit(len(head) + 1), F.length(spec) - len(head) - len(tail))
         to_head, to_star, to_tail = target.partition("*")
         made = F.concat(F.lit(to_head), middle, F.lit(to_tail)) if to_star else F.lit(target)
-        roots.append(F.when(fits & base.isNull(), F.array(made)).otherwise(F.array().cast("array<string>")))
-    candidates = F.flatten(F.transform(F.concat(*roots), lambda r: F.concat(
-        F.array(r), F.array(*[F.concat(r, F.lit(e)) for e in EXTENSIONS]), F.array(*[F.concat(r, F.lit(f"/index{e}")) for e in EXTENSIONS]),
-        F.when(r.rlike(r"\.[mc]?js$"), F.array(*[F.concat(F.regexp_replace(r, r"\.[mc]?js$", ""), F.lit(e)) for e in (".ts", ".tsx", ".mts", ".cts")])).otherwise(F.array().cast("array<string>")),
-    )))
-    each = imports.select("from", "specifier", F.posexplode_outer(candidates).alias("place", "path"))
-    known = files.select("path", F.col("path").alias("target"))
-    met = join_small(each, known, "path", "left")
-    found = met.groupBy("from", "specifier").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("place"))).alias("target"))
+        inside = spec.startswith(".") & F.col("from").isNotNull() | spec.startswith("/")
+        roots.append(F.when(fits & ~inside, F.array(made)).otherwise(F.array().cast("array<string>")))
+    return imports.withColumn("roots", F.concat(*roots))
+
+
+def _met_roots(rooted: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
+    """roots, keep, target: the file that each distinct list of roots means, if one does."""
+    lists = rooted.where(F.size("roots") > 0).select("roots", *keep).distinct()
+    met = lists.select("roots", *keep, F.posexplode("roots").alias("nth", "root")).join(_known_roots(files), "root")
+    n = len(_ENDINGS) + len(_SOURCES)
+    first = met.groupBy("roots", *keep).agg(F.min(F.col("nth") * n + F.col("place")).alias("first"))
+    place, root = F.col("first") % n, F.get("roots", F.floor(F.col("first") / n).cast("int"))
+    source = F.concat(F.regexp_replace(root, r"\.[mc]?js$", ""), F.get(F.array(*[F.lit(e) for e in _SOURCES]), place - len(_ENDINGS)))
+    ending = F.get(F.array(*[F.lit(e) for e in _ENDINGS]), place)
+    return first.select("roots", *keep, F.when(place < len(_ENDINGS), F.concat(root, ending)).otherwise(source).alias("target"))
+
+
+def with_targets(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """imports (from, specifier and more) with target (a project file) and package: what each means.
+
+    files: path.  A relative specifier is joined to its folder, one with / starts at the
+    project; an alias (pattern with *, target) is tried next, and what is left names a
+    package.  Files are listed under the few paths without endings that lead to them, and
+    each distinct such path of an import is looked up once, so no import has a row for each ending.
+    """
+    rooted = _rooted(imports, aliases)
+    # what has no roots meets nothing and is dealt out by its own hash
+    deal = F.when(F.size("roots") > 0, F.lit(0).cast("long")).otherwise(F.xxhash64("from", "specifier"))
+    found = written(_met_roots(rooted, files, []).withColumn("deal", F.lit(0).cast("long")), "roots")
+    met = join_small(rooted.withColumn("deal", deal), found, ["roots", "deal"], "left")
     package = F.when(F.col("target").isNull() & ~F.col("specifier").rlike(r"^[./]"), fn.package_name(F.col("specifier")))
-    return found.select("from", "specifier", "target", package.alias("package"))
+    return met.select(*imports.columns, "target", package.alias("package"))
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """from, specifier, target, package: what each distinct import means, as in with_targets."""
+    return with_targets(imports.select("from", "specifier").distinct(), files, aliases)
+
+
+def imported(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The distinct target (a project file) and keep of the imports, without the imports: as in with_targets."""
+    keep = keep or []
+    return _met_roots(_rooted(imports, aliases), files, keep).select("target", *keep).distinct()
 
 
 def import_edges(imports: DataFrame) -> DataFrame:
@@ -123,8 +164,8 @@ def dead_files(files: DataFrame, edges: DataFrame, entries: DataFrame | None = N
 def unused_exports(exports: DataFrame, imports: DataFrame) -> DataFrame:
     """path, name of exports that no importer takes, in files that are imported by name only."""
     taken = imports.where("target IS NOT NULL").select(F.col("target").alias("path"), F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("*")))).alias("name")).distinct()
-    whole = taken.where("name = '*'").select("path")
-    some = taken.select("path").distinct().join(whole, "path", "left_anti")
+    taken = written(taken, "taken")
+    some = taken.groupBy("path").agg(F.bool_or(F.col("name") == "*").alias("whole")).where("NOT whole").select("path")
     return exports.select("path", "name").join(some, "path", "left_semi").join(taken, ["path", "name"], "left_anti")
 
 

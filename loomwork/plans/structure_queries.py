@@ -32,7 +32,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, how = F.col("q"), F.col("line") % 5
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("q"), F.col("l_linenumber").alias("line")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("q"), F.col("l_linenumber").alias("line"))
+    lines = lines.repartition("k").distinct()  # one shuffle by part serves the distinct lines, their files and distinct imports of a file
     rows = lines.join(_files(spark, sf_dir), "k").withColumnRenamed("path", "from")
     stem = _text(F.get(F.array(*[F.lit(v) for v in ["src", "lib/api", "src/pages", "test"]]), (q % 4).cast("int")), "/f", q)
     up = F.repeat(F.lit("../"), F.size(F.split("from", "/")) - 1)
@@ -40,25 +41,23 @@ def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(how == 0, F.concat(up, stem)).when(how == 1, _text("/", stem, ".js")).when(how == 2, F.concat(F.lit("@/"), stem))
         .when(how == 3, _text("@scope/p", q % 9, "/deep")).otherwise(_text("p", q % 9, "/x"))
     )
-    return rows.select("from", specifier.alias("specifier"), "line", "q")
+    return rows.select("k", "from", specifier.alias("specifier"), "line", "q")
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = _imports(spark, sf_dir)
-    found = structure.resolved_imports(imports.select("from", "specifier").distinct(), _files(spark, sf_dir), [("@/*", "*")])
-    return imports.join(found, ["from", "specifier"])
+_ALIASES = [("@/*", "*")]
 
 
 @query(f"""WITH {_FILES} SELECT DISTINCT "from", specifier, target, package FROM r""")
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.resolved_imports(_imports(spark, sf_dir).select("from", "specifier").distinct(), _files(spark, sf_dir), [("@/*", "*")])
+    imports = _imports(spark, sf_dir).select("k", "from", "specifier").distinct()
+    return structure.with_targets(imports, _files(spark, sf_dir), _ALIASES).drop("k")
 
 
 @query(f"""
 WITH {_FILES} SELECT "from" AS src, target AS dst, count(*) AS n, array_to_string(list_sort(list_distinct(list('n' || q % 4))), ',') AS names, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines
 FROM r WHERE target IS NOT NULL GROUP BY ALL""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _resolved(spark, sf_dir).withColumn("names", F.array(_text("n", F.col("q") % 4)))
+    rows = structure.with_targets(_imports(spark, sf_dir), _files(spark, sf_dir), _ALIASES).withColumn("names", F.array(_text("n", F.col("q") % 4)))
     found = structure.import_edges(rows)
     return found.select("src", "dst", "n", F.array_join("names", ",").alias("names"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
@@ -67,8 +66,8 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_FILES} SELECT path, CASE WHEN regexp_matches(path, '^src/pages/|^lib/api/|(^|/)index[.]') THEN 'possible' ELSE 'sure' END AS certainty
 FROM f WHERE path NOT IN (SELECT target FROM r WHERE target IS NOT NULL) AND NOT starts_with(path, 'test/')""")
 def dead_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _resolved(spark, sf_dir).where("target IS NOT NULL").select(F.col("target").alias("dst"))
-    return structure.dead_files(_files(spark, sf_dir), edges)
+    files = _files(spark, sf_dir)
+    return structure.dead_files(files, structure.imported(_imports(spark, sf_dir), files, _ALIASES).withColumnRenamed("target", "dst"))
 
 
 @query(f"""
@@ -77,7 +76,8 @@ SELECT path, name FROM e WHERE path IN (SELECT path FROM t) AND path NOT IN (SEL
 def unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(F.col("line") == 6, F.array().cast("array<string>")).otherwise(F.array(_text("n", F.col("q") % 4)))
     exports = _files(spark, sf_dir).select("path", F.explode(F.array(*[F.lit(f"n{n}") for n in range(4)])).alias("name"))
-    return structure.unused_exports(exports, _resolved(spark, sf_dir).withColumn("names", names))
+    imports = _imports(spark, sf_dir).withColumn("names", names)
+    return structure.unused_exports(exports, structure.imported(imports, _files(spark, sf_dir), _ALIASES, ["names"]))
 
 
 @query("""
