@@ -175,17 +175,63 @@ def stable_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("stable_id", F.concat("path", F.lit("#"), "name", F.when(n > 1, F.concat(F.lit("~"), n.cast("string"))).otherwise("")))
 
 
+#: Lines of a file that are walked together: a symbol is dealt to each such stretch that it reaches into.
+_LINES = 4096
+
+
+def _walk_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a file in order, symbols before points and of one line the first name last, give each point its symbol.
+
+    The open symbols are a stack: one that ends no later than another that starts later
+    (or on the same line, with a smaller name) can never be the answer again and goes.
+    Names of the line that is being walked stand beside it.
+    """
+    at_key, at_line, stack, here, least = None, None, [], set(), None
+    for batch in batches:
+        kept, ranks, starts, symbols = [], [], [], []
+        for k, (path, bin_, line, is_point, to, variable, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "bin", "line", "is_point", "to", "variable", "name")), strict=True)):
+            if (path, bin_) != at_key:
+                at_key, at_line, stack = (path, bin_), None, []
+            if line != at_line or at_line is None:
+                at_line, here, least = line, set(), None
+            if not is_point:
+                while stack and stack[-1][0] <= to:
+                    stack.pop()
+                stack.append((to, line, name))
+                here.add(name)
+                least = name if variable is False else least  # names come in falling order
+                continue
+            while stack and line is not None and stack[-1][0] < line:
+                stack.pop()
+            found = (0, line, name) if name is not None and name in here else (1, line, least) if least is not None else (2, *stack[-1][1:]) if stack and line is not None else (3, None, None)
+            kept.append(k)
+            for values, value in zip((ranks, starts, symbols), found, strict=True):
+                values.append(value)
+        points = batch.take(pa.array(kept, pa.int64()))
+        columns = [points.column("point_id"), points.column("path"), pa.array(ranks, pa.int32()), pa.array(starts, pa.int64()), pa.array(symbols, pa.string())]
+        yield pa.record_batch(columns, names=["point_id", "path", "rank", "start", "symbol"])
+
+
 def located(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """point_id, symbol, via: the symbol of each position (path, name, line): by key, by line, innermost around it, else the file."""
-    met = points.join(symbols.select("path", F.col("name").alias("symbol"), F.col("line").alias("from"), F.coalesce("end_line", "line").alias("to"), "kind"), "path", "left")
-    rank = (
-        F.when((F.col("symbol") == F.col("name")) & (F.col("from") == F.col("line")), 0)
-        .when((F.col("from") == F.col("line")) & (F.col("kind") != "variable"), 1)
-        .when((F.col("from") <= F.col("line")) & (F.col("line") <= F.col("to")), 2)
+    """point_id, symbol, via: the symbol of each position (path, name, line): by key, by line, innermost around it, else the file.
+
+    A file's positions and symbols are walked together in the order of lines, a stretch of
+    lines at a time, with only the symbols in memory that are still open: no position meets
+    the other symbols of its file, and a long file is dealt out.
+    """
+    line = F.col("line").cast("long")
+    to = F.greatest(F.coalesce("end_line", "line").cast("long"), line)  # a symbol is at least on its own line
+    kind = points.schema["point_id"].dataType
+    known = symbols.where("path IS NOT NULL AND line IS NOT NULL AND name IS NOT NULL").select(
+        F.lit(None).cast(kind).alias("point_id"), "path", F.explode(F.sequence(F.floor(line / _LINES), F.floor(to / _LINES))).alias("bin"), line.alias("line"), F.lit(False).alias("is_point"),
+        F.coalesce("end_line", "line").cast("long").alias("to"), (F.col("kind") == "variable").alias("variable"), "name",
     )
-    best = met.withColumn("rank", rank).groupBy("point_id", "path").agg(
-        F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", (-F.col("from")).alias("f"), "symbol"))).alias("b")
-    )
+    none = F.lit(None)
+    asked = points.select("point_id", "path", F.floor(line / _LINES).alias("bin"), line.alias("line"), F.lit(True).alias("is_point"), none.cast("long").alias("to"), none.cast("boolean").alias("variable"), "name")
+    dealt = known.unionByName(asked).repartition("path", "bin").sortWithinPartitions("path", "bin", "line", "is_point", F.desc("name"))
+    schema = f"point_id {kind.simpleString()}, path string, rank int, start long, symbol string"
+    each = dealt.mapInArrow(_walk_symbols, schema)
+    best = each.groupBy("point_id", "path").agg(F.min(F.struct("rank", (-F.col("start")).alias("f"), "symbol")).alias("b"))  # of a position that comes twice
     via = F.get(F.array(F.lit("key"), F.lit("line"), F.lit("enclosing")), F.col("b.rank"))
     return best.select("point_id", F.coalesce("b.symbol", "path").alias("symbol"), F.coalesce(via, F.lit("file")).alias("via"))
 

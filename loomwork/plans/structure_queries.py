@@ -103,11 +103,11 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "variable").otherwise("function").alias("kind"),
     )
     line = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").distinct()
     points = rows.select(
         (F.col("l_orderkey") * 10 + line).alias("point_id"), F.col("o_custkey").cast("string").alias("path"), _text("o", F.col("l_orderkey") + line % 2).alias("name"),
         (F.col("l_orderkey") % 500 + line % 3 * 20).alias("line"),
-    ).distinct()
+    )
     return structure.located(points, symbols)
 
 
