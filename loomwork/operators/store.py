@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sized import join_small
+from loomwork.storage import written
+
 # Paths that development tools ask for, and kinds of calls that leave a project.
 DEV_TOOLS = r"(\.hot-update\.(json|js)$|/_next/webpack-hmr|/__nextjs_|/__webpack_hmr|/@vite/|/@react-refresh|/__vite_ping|/_next/static/webpack/)"
 OUTGOING = ("http", "ai", "email", "message", "payment", "database", "auth", "files")
@@ -109,16 +112,20 @@ def python_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     dots = F.length(F.regexp_extract("module", r"^\.*", 0))
     tail = F.regexp_replace(F.regexp_replace("module", r"^\.+", ""), r"\.", "/")
-    folders = F.split(F.regexp_replace("from", r"/?[^/]*$", ""), "/")
+    folders = F.split("folder", "/")
     climbed = F.array_join(F.slice(folders, 1, F.greatest(F.size(folders) - dots + 1, F.lit(0))), "/")
     joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "/")
     bases = F.when(dots > 0, F.array(joined(climbed, tail))).otherwise(F.array(tail, joined(F.array_join(folders, "/"), tail)))
     candidates = F.flatten(F.transform(bases, lambda b: F.array(
         joined(b, F.concat("name", F.lit(".py"))), joined(b, "name", F.lit("__init__.py")), F.concat(b, F.lit(".py")), joined(b, F.lit("__init__.py"))
     )))
-    each = imports.select("from", "module", "name", F.posexplode(candidates).alias("place", "path"))
-    met = each.join(files.select("path", F.col("path").alias("target")), "path", "left")
-    return met.groupBy("from", "module", "name").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("place"))).alias("target"))
+    # of the importing file only its folder counts, so each distinct import of a folder is looked up once
+    rows = imports.select("from", "module", "name").distinct().withColumn("folder", F.regexp_replace("from", r"/?[^/]*$", ""))
+    key = F.struct("folder", "module", "name")  # as one value, so that imports without a name meet too
+    asked = rows.select("folder", "module", "name").distinct().select(key.alias("key"), F.posexplode(candidates).alias("place", "path"))
+    met = asked.join(files.select("path").distinct(), "path")
+    found = met.groupBy("key").agg(F.min(F.struct("place", "path")).alias("b")).select("key", F.to_json("key").alias("said"), F.col("b.path").alias("target"))  # said: for the count of bytes
+    return join_small(rows.withColumn("key", key), written(found, "modules"), "key", "left").select("from", "module", "name", "target")
 
 
 def new_and_gone(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:

@@ -199,7 +199,7 @@ def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     module = F.when(how == 0, _text("..p", q % 5)).when(how == 1, _text("app.p", q % 5, ".m", q)).when(how == 2, _text("..p", q % 5, ".m", q)).otherwise(_text("json", q % 3))
     name = F.when(how == 0, _text("m", q)).when(how == 3, "loads").otherwise("f")
     importer = _text("app/p", F.col("l_partkey") % 5, "/m", F.col("l_partkey"), ".py")
-    imports = table(spark, sf_dir, "lineitem").select(importer.alias("from"), module.alias("module"), name.alias("name")).distinct()
+    imports = table(spark, sf_dir, "lineitem").select(importer.alias("from"), module.alias("module"), name.alias("name"))
     return store.python_modules(imports, files)
 
 
