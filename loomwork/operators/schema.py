@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -223,9 +224,8 @@ def followed_names(events: DataFrame, scope: list[str], at: list[str]) -> tuple[
     rename = F.col("kind") == "rename"
     first = rows.select(*scope, "place", F.lit(0).alias("half"), F.when(rename, "close").otherwise(F.col("kind")).alias("kind"), "name", rename.alias("renames"))
     second = rows.where(rename).select(*scope, "place", F.lit(1).alias("half"), F.lit("from").alias("kind"), F.col("to").alias("name"), rename.alias("renames"))
-    halves, void = first.unionByName(second), None
+    live, done = first.unionByName(second), []
     while True:
-        live = halves if void is None else halves.join(void, [*scope, "place"], "left_anti")
         before = Window.partitionBy(*scope, "name").orderBy("place", "half").rowsBetween(Window.unboundedPreceding, -1)
         named = F.last(F.when(F.col("kind") != "use", F.struct("place", "kind")), ignorenulls=True).over(before)
         last = F.max(F.when(F.col("kind") != "use", F.struct("place", "half"))).over(Window.partitionBy(*scope, "name"))
@@ -235,10 +235,14 @@ def followed_names(events: DataFrame, scope: list[str], at: list[str]) -> tuple[
         opened = seen.where("kind = 'open'").select(*scope, "place", F.col("place").alias("to"), F.lit(True).alias("is_end"))
         origins = written(_origins(checkpointed(opened.unionByName(renamed.withColumn("is_end", F.lit(False)))), scope), "origins")
         lost = renamed.select(*scope, "place").join(origins.where("origin IS NOT NULL"), [*scope, "place"], "left_anti")
-        more = checkpointed(lost.groupBy(*scope).agg(F.min("place").alias("place")))
-        if more.isEmpty():
+        void = checkpointed(lost.groupBy(*scope).agg(F.min("place").alias("place")))
+        if void.isEmpty():
+            done.append((seen, origins))
             break
-        void = more if void is None else checkpointed(void.unionByName(more))
+        again = void.select(*scope)
+        done.append((seen.join(again, scope, "left_anti"), origins.join(again, scope, "left_anti")))
+        live = seen.select(*scope, "place", "half", "kind", "name", "renames").join(again, scope, "left_semi").join(void, [*scope, "place"], "left_anti")
+    seen, origins = (written(reduce(DataFrame.unionByName, part), name) for part, name in zip(zip(*done, strict=True), ("named", "origins"), strict=True)) if len(done) > 1 else done[0]
     known = origins.select(*scope, F.col("place").alias("target"), F.col("origin").alias("identity"))
     starts = seen.where("kind IN ('open', 'from')").select(*scope, "place", "half", "name", "is_last", F.col("place").alias("target"))
     final = starts.where("is_last").join(known, [*scope, "target"]).where("identity IS NOT NULL").select(*scope, "identity", "name")

@@ -79,3 +79,16 @@ def test_replay_against_running_in_turn(spark):
     want = {p: {n: [x for k, x in enumerate(cols) if x[0] not in [y[0] for y in cols[k + 1 :]]] for n, cols in tables.items()} for p, tables in want.items()}
     assert got == want
     assert schema.replayed(schema.schema_statements(sources.limit(0))).count() == 0
+
+
+def test_only_scopes_with_renamings_of_nothing_are_followed_anew(spark, monkeypatch):
+    rows = [("p", k, "open", f"t{k}", None) for k in range(20)]
+    rows += [("q", 0, "rename", "x", "a"), ("q", 1, "open", "a", None), ("q", 2, "rename", "x", "a"), ("q", 3, "rename", "a", "b"), ("q", 4, "rename", "y", "b")]
+    events = spark.createDataFrame(rows, "project string, k long, kind string, name string, to string")
+    sizes, plainly = [], schema.written
+    monkeypatch.setattr(schema, "written", lambda df, name: (kept := plainly(df, name), sizes.append((name, kept.count())))[0])
+    found, final = schema.followed_names(events, ["project"], ["k"])
+    assert {(r["project"], r["identity"]["k"], r["name"]) for r in final.collect()} == {("p", k, f"t{k}") for k in range(20)} | {("q", 1, "b")}
+    assert {r["k"]: r["identity"] and r["identity"]["k"] for r in found.where("project = 'q'").collect()} == {0: None, 1: 1, 2: None, 3: 1, 4: None}
+    rounds = [n for name, n in sizes if name == "named"]
+    assert len(rounds) > 2 and rounds[0] > 20 and max(rounds[1:-1]) < 10
