@@ -431,6 +431,16 @@ def _windows(n: int):
     return cut
 
 
+def _repeated_windows(sources: DataFrame, n: int) -> DataFrame:
+    """h1, h2, doc, at of the windows whose first hash stands in two places or more.
+
+    That hash alone is dealt out to find them; where few are, the others are never shuffled with their places.
+    """
+    windows = sources.select(F.col("doc").cast("long").alias("doc"), "tokens").mapInArrow(_windows(n), "h1 long, h2 long, doc long, at int")
+    often = written(windows.groupBy("h1").agg(F.count("*").alias("k")).where("k > 1").select("h1"), "often")
+    return join_small(windows, often, "h1", "left_semi")
+
+
 def copied_stretches(sources: DataFrame, n: int) -> DataFrame:
     """one, one_at, two, two_at, length: maximal stretches of n tokens or more that a source shares with the first place that has them.
 
@@ -438,7 +448,7 @@ def copied_stretches(sources: DataFrame, n: int) -> DataFrame:
     window in many places gives one row for each, not one for each pair; neighbouring windows
     with the same shift join to one stretch.
     """
-    windows = sources.select(F.col("doc").cast("long").alias("doc"), "tokens").mapInArrow(_windows(n), "h1 long, h2 long, doc long, at int")
+    windows = written(_repeated_windows(sources, n), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h1", "h2", "f")
     met = windows.join(first, ["h1", "h2"]).where(~((F.col("doc") == F.col("f.doc")) & (F.abs(F.col("at") - F.col("f.at")) < n)))
     met = met.select(F.col("f.doc").alias("one"), F.col("f.at").alias("one_at"), F.col("doc").alias("two"), F.col("at").alias("two_at"))
@@ -503,7 +513,7 @@ def duplicated(sources: DataFrame, n: int = 80, least_lines: int = 8) -> DataFra
     fewer lines than least_lines in any place, is none.  A stretch is named by its first place.
     """
     kept = written(sources.select(F.col("doc").cast("long").alias("doc"), "tokens", "lines").where(F.size("tokens") >= n), "sources")
-    windows = written(kept.select("doc", "tokens").mapInArrow(_windows(n), "h1 long, h2 long, doc long, at int"), "windows")
+    windows = written(_repeated_windows(kept, n), "windows")
     often = windows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     before = Window.partitionBy("h1", "h2", "doc").orderBy("at")
     rows = windows.join(often, ["h1", "h2"]).withColumn("lag", F.lag("at").over(before)).where(F.col("lag").isNull() | (F.col("at") - F.col("lag") >= n)).drop("lag")
