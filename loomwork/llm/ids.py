@@ -5,32 +5,52 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, islice
+from itertools import compress, islice
 
 import numpy as np
 
-#: The pieces that a worker remembers (about 200 bytes each); beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: The pieces that a worker remembers (about 200 bytes each); beyond, it forgets those that it met in one batch only.
+REMEMBERED = 300_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words with the space before them, and what stands between words.  Byte-level
 #: pre-tokenization has a boundary at each of these cuts, and what it makes of a piece
 #: doesn't depend on its neighbours ...
 _PIECES = re.compile(rf" ?[{_LETTER}]+|(?:[^ {_LETTER}]| (?![{_LETTER}]))+")
+_ASCII_PIECES = re.compile(r" ?[A-Za-z]++|(?:[^ A-Za-z]++| (?![A-Za-z]))++")
 #: ... except around apostrophes, other scripts' characters, and white space of several characters that doesn't end in a space.
 _FOREIGN = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ɏ]")
 _RUN = re.compile(r"[\t\n\r\x0b\x0c\x1c-\x1f](?<=\s.)", re.DOTALL)
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 #: There, texts are only cut before a single space or line break between other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A character that no word has, as text or in the alphabet of bytes.
+_NOT_IN_WORDS = re.compile(r"[!-@\[-`{-~]")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 def pieces(text: str) -> list[str]:
     """Pieces of a text whose ids, one after the other, are the ids of the text."""
     if not text:
         return []
-    if "'" in text or _RUN.search(text) or not text.isascii() and _FOREIGN.search(text):
+    ascii_ = text.isascii()
+    if "'" in text or _RUN.search(text) or not ascii_ and _FOREIGN.search(text):
         return _CUT.split(text)
-    return _PIECES.findall(text)
+    return (_ASCII_PIECES if ascii_ else _PIECES).findall(text)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of so many places from each start, one after the other."""
+    step = np.repeat(start - (np.cumsum(size) - size), size)
+    return step + np.arange(len(step))
 
 
 class _Codes(dict):
@@ -59,15 +79,14 @@ class Encoder:
         self._around = re.compile("(" + "|".join(map(re.escape, added)) + ")")
         self.vocabulary = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 2**16 else "<u4")
-        # A word with the space before it is one unit of pre-tokenization, so lines of single words need no pattern.
+        # A word with the space before it is one unit of pre-tokenization, so lines of single words, in the alphabet of bytes, need no pattern.
         self._lines = Tokenizer.from_file(path)
         self._lines.encode_special_tokens = plain
-        self._lines.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        line = self._tokenizer.encode("\n", add_special_tokens=False).ids
-        self._line = line[0] if len(line) == 1 else None
-        self._forget()
+        self._lines.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[10], "isolated")
+        self._line = self._tokenizer.token_to_id(_ALPHABET[10])
+        self._by_line = self._line is not None and self._tokenizer.normalizer is None and all(_NOT_IN_WORDS.search(x) for x in added)
+        self._codes, self._ids = _Codes(), np.empty(0, self.dtype)
+        self._start, self._size, self._again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def _split(self, text: str) -> list[str]:
         """The pieces of a text, an added token being one of its own."""
@@ -77,34 +96,35 @@ class Encoder:
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else pieces(part))]
 
     def _forget(self) -> None:
-        self._codes = _Codes()
-        self._ids = np.empty(0, self.dtype)
-        self._start, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
+        """Forgets the pieces that no later batch has met again, and of the others those beyond half of what may be remembered."""
+        keep = np.flatnonzero(self._again)[: REMEMBERED // 2]
+        marks = np.zeros(len(self._again), bool)
+        marks[keep] = True
+        self._codes = _Codes(zip(compress(self._codes, marks.tolist()), range(len(keep))))
+        size = self._size[keep]
+        self._ids = self._ids[_runs(self._start[keep], size)]
+        self._start, self._size, self._again = np.cumsum(size) - size, size, np.zeros(len(keep), bool)
 
     def _learn(self) -> None:
-        """Encodes the pieces that have a number but no ids yet: words in rows of a thousand, a line each."""
+        """Encodes the pieces that have a number but no ids yet: words in rows of a hundred, a line each."""
         new = list(islice(self._codes, len(self._start), None))
-        found: list[list[int] | None] = [None] * len(new)
-        words = [k for k, p in enumerate(new) if _WORD.fullmatch(p)]
-        if self._line is None:
-            words = []
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            row = self._lines.encode_batch_fast(["\n".join([new[k] for k in part])], add_special_tokens=False)[0].ids
-            begin = 0
-            for k in part[:-1]:
-                end = row.index(self._line, begin)
-                found[k] = row[begin:end]
-                begin = end + 1
-            found[part[-1]] = row[begin:]
-        rest = [k for k, x in enumerate(found) if x is None]
+        is_word = np.fromiter((self._by_line and _WORD.fullmatch(p) is not None for p in new), bool, len(new))
+        words, rest = np.flatnonzero(is_word), np.flatnonzero(~is_word)
+        size, flat, order = np.zeros(len(new), np.int64), [], np.r_[words, rest]
+        for at in range(0, len(words), 100):
+            part = words[at : at + 100]
+            row = "\n".join([new[k] for k in part]).encode().decode("latin-1").translate(_ALPHABET)
+            found = np.array(self._lines.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(found == self._line)
+            size[part] = np.diff(np.r_[-1, ends, len(found)]) - 1
+            flat.append(np.delete(found, ends))
         for k, e in zip(rest, self._tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
-            found[k] = e.ids
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum()))
-        self._start = np.r_[self._start, len(self._ids) + np.cumsum(size) - size]
-        self._size = np.r_[self._size, size]
-        self._ids = np.r_[self._ids, flat]
+            flat.append(np.array(e.ids, self.dtype))
+            size[k] = len(e.ids)
+        start, end = np.empty(len(new), np.int64), np.cumsum(size[order])
+        start[order] = len(self._ids) + end - size[order]
+        self._start, self._size, self._again = np.r_[self._start, start], np.r_[self._size, size], np.r_[self._again, np.zeros(len(new), bool)]
+        self._ids = np.concatenate([self._ids, *flat])
 
     def encode(self, texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray, list[str]]]:
         """For each text its ids, the number of ids of each of its pieces, and the pieces."""
@@ -112,13 +132,14 @@ class Encoder:
             self._forget()
         split = [self._split(t) for t in texts]
         codes = [np.fromiter(map(self._codes.__getitem__, p), np.int64, len(p)) for p in split]
-        if len(self._codes) > len(self._start):
+        known = len(self._start)
+        if len(self._codes) > known:
             self._learn()
         out = []
         for code, p in zip(codes, split, strict=True):
+            self._again[code[code < known]] = True
             size = self._size[code]
-            step = np.repeat(self._start[code] - (np.cumsum(size) - size), size)
-            out.append((self._ids[step + np.arange(len(step))], size, p))
+            out.append((self._ids[_runs(self._start[code], size)], size, p))
         return out
 
     def ids(self, texts: Iterable[str]) -> list[np.ndarray]:

@@ -259,6 +259,20 @@ def test_added_tokens_in_a_text_as_the_library_has_them(tokenizer):
     assert not any(n in ids_.tolist() for ids_ in plain for n in numbers)
 
 
+def test_pieces_met_again_are_remembered(tokenizer, monkeypatch):
+    monkeypatch.setattr(ids, "REMEMBERED", 200)
+    rng = np.random.default_rng(9)
+    new = lambda: "".join(rng.choice(list("abcdeé "), 6))
+    batches = [["der Hund läuft " + " ".join(new() for _ in range(60)), "the dog runs, 12 times " + new()] for _ in range(20)]
+    enc = ids.Encoder(ids.default_tokenizer())
+    for batch in batches:
+        for text, got in zip(batch, enc.ids(batch), strict=True):
+            assert tokenizer.encode(text, add_special_tokens=False).ids == got.tolist(), repr(text)
+        assert len(enc._codes) < 500
+        if batch is not batches[0]:
+            assert {" Hund", " dog"} <= set(list(enc._codes)[: ids.REMEMBERED])
+
+
 def least_cost(place, penalty, window):
     best = {0: 0}
     for j in range(1, len(place)):
