@@ -9,7 +9,7 @@ same files give the same moment, which is written once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,25 +27,20 @@ OBJECT = T.StructType().add("hash", "string").add("content", "string").add("shar
 ENTRY = T.StructType().add("path", "string").add("hash", "string").add("size", "long").add("flag", "string").add("real_hash", "string").add("moment", "string")
 
 
-def _kept(path: Column, content: Column) -> tuple[Column, Column]:
-    """What is kept of a file, and why it isn't the whole: names, large or masked."""
-    names = F.array_join(F.transform(fn.env_names(content), lambda n: F.concat(n, F.lit("="))), "\n")
-    masked = fn.mask_keys(content)
-    env, large = path.rlike(ENV_FILE), F.octet_length(content) > MOST_BYTES
-    kept = F.when(env, names).when(large, content).otherwise(masked)
-    flag = F.when(env, "names").when(large, "large").when(masked != content, "masked")
-    return kept, flag
-
-
 def manifest(files: DataFrame) -> DataFrame:
     """path, kept, hash, size, flag, real_hash of files (path, content): hash is of what is kept, real_hash of the file where the two differ.
 
     Of several rows of a path the least content counts; rows without a path or content go.
+    Of a large file kept is null: its hash is of the whole.  Keys are looked for once, and only where a text may have one.
     """
     rows = files.where("path IS NOT NULL AND content IS NOT NULL").groupBy("path").agg(F.min(F.col("content").cast("string")).alias("content"))
-    kept, flag = _kept(F.col("path"), F.col("content"))
-    each = rows.select("path", kept.alias("kept"), F.octet_length("content").cast("long").alias("size"), flag.alias("flag"), F.sha2("content", 256).alias("whole"))
-    hashed = each.withColumn("hash", F.sha2("kept", 256))
+    path, content = F.col("path"), F.col("content")
+    env, large = path.rlike(ENV_FILE), F.octet_length(content) > MOST_BYTES
+    names = F.array_join(F.transform(fn.env_names(content), lambda n: F.concat(n, F.lit("="))), "\n")
+    masked = F.when(content.rlike(fn.MASKABLE), fn.mask_keys(content)).otherwise(content)
+    each = rows.select("path", "content", F.when(env, "names").when(large, "large").alias("by_name"), F.when(env, names).when(~large, masked).alias("kept"), F.sha2("content", 256).alias("whole"))
+    flag = F.coalesce("by_name", F.when(F.col("kept") != F.col("content"), "masked"))
+    hashed = each.select("path", "kept", F.coalesce(F.sha2("kept", 256), "whole").alias("hash"), F.octet_length("content").cast("long").alias("size"), flag.alias("flag"), "whole")
     return hashed.select("path", "kept", "hash", "size", "flag", F.when(F.col("hash") != F.col("whole"), F.col("whole")).alias("real_hash"))
 
 
@@ -74,7 +69,7 @@ def archive(files: DataFrame, folder: str) -> tuple[str, int, int]:
     spark = files.sparkSession
     rows = written(manifest(files), "manifest")
     found = moment_id(rows)
-    wanted = rows.where("flag IS NULL OR flag <> 'large'").select("hash", F.col("kept").alias("content")).dropDuplicates(["hash"])
+    wanted = rows.where("flag IS NULL OR flag <> 'large'").select("hash", F.col("kept").alias("content")).distinct()  # a hash has one content
     known = _read(spark, f"{folder}/objects", OBJECT).select("hash")
     new = written(wanted.join(known, "hash", "left_anti").withColumn("shard", F.substring("hash", 1, 2)), "objects")
     n_new = new.count()

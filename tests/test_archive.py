@@ -44,3 +44,14 @@ def test_two_writers_and_an_empty_folder(spark, tmp_path):
     assert content(spark, folder, first) == {"a": ("1", "whole"), "b": ("2", "whole")}
     empty, n, new = archive.archive(files.limit(0), folder)
     assert (n, new) == (0, 0) and archive.read_moment(spark, folder, empty).count() == 0
+
+
+def test_large_contents_are_not_carried_and_masks_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(archive, "MOST_BYTES", 1000)
+    files = {"big.txt": "y" * 2000, "k.js": "k = 'whsec_" + "a1" * 10 + "'", "b64": "x\n" + "QUJD" * 10 + "\n", "plain": "sk 1", "big/.env": "A=" + "z" * 2000}
+    got = {r["path"]: r for r in archive.manifest(frame(spark, files)).collect()}
+    assert got["big.txt"]["kept"] is None and got["big.txt"]["hash"] == hashlib.sha256(b"y" * 2000).hexdigest()
+    assert {p: (r["kept"], r["flag"]) for p, r in got.items() if p != "big.txt"} == {
+        "k.js": ("k = 'whsec_••••••'", "masked"), "b64": ("x\n••••••\n", "masked"), "plain": ("sk 1", None), "big/.env": ("A=", "names"),
+    }
+    assert got["big.txt"]["flag"] == "large" and got["big.txt"]["real_hash"] is None and got["plain"]["real_hash"] is None and got["k.js"]["real_hash"] is not None
