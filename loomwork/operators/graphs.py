@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.sized import BROADCAST_BYTES, join_small
 from loomwork.storage import checkpointed, written
 
 PROOFS = 20
@@ -66,51 +67,75 @@ def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = Non
     return found
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, id of an edge's ends, and the edges as src, dst of ids.  Ids are in the order of hashes: none runs along a path."""
+    pairs = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ends = ends.repartition("node").sortWithinPartitions(F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("id"))
+    nodes = written(ends, "nodes")
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    links = pairs.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    return nodes, written(links, "links")
+
+
+def _joined(big: DataFrame, small: DataFrame, rows: int, on: str | list[str]) -> DataFrame:
+    """big joined with so many rows of numbers: broadcast if they are few."""
+    return big.join(F.broadcast(small) if rows * (24 + 16 * len(small.columns)) <= BROADCAST_BYTES else small, on)
+
+
+def _least_both_ways(links: DataFrame) -> DataFrame:
+    """node, above, below: the least node that reaches a node and the least one that it reaches, itself included.
+
+    Only labels that got less in the round before are sent on.  Each third round a node also
+    takes the label of its label, so that long ways take few rounds.
+    """
+    fewer = F.least("src", "dst")
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.col("src").alias("above"), fewer.alias("below")), F.struct(F.col("dst").alias("node"), fewer.alias("above"), F.col("dst").alias("below"))
+    )).alias("e")).select("e.*")
+    first = ends.groupBy("node").agg(F.min("above").alias("above"), F.min("below").alias("below"))
+    at = written(first.select("node", "above", "below", (F.col("above") < F.col("node")).alias("above_new"), (F.col("below") < F.col("node")).alias("below_new")), "labels")
+    none = F.lit(None).cast("long")
+    for k in count(2):
+        new = at.agg(F.count_if("above_new"), F.count_if("below_new"), F.count_if(F.col("above") < F.col("node")), F.count_if(F.col("below") < F.col("node"))).first()
+        if new[0] + new[1] == 0:
+            return at.select("node", "above", "below")
+        sent = _joined(links, at.where("above_new").select(F.col("node").alias("src"), "above"), new[0], "src").select(F.col("dst").alias("node"), "above", none.alias("below"))
+        sent = sent.union(_joined(links, at.where("below_new").select(F.col("node").alias("dst"), "below"), new[1], "dst").select(F.col("src").alias("node"), none, "below"))
+        if k % 3 == 0:
+            for label, rows, less in (("above", new[2], lambda c: (c, none)), ("below", new[3], lambda c: (none, c))):
+                labelled = at.where(f"{label} < node").select("node", label)
+                of = labelled.select(F.col("node").alias(label), F.col(label).alias("less"))
+                sent = sent.union(_joined(labelled, of, rows, label).select("node", *less(F.col("less"))))
+        got = sent.groupBy("node").agg(F.min("above").alias("a"), F.min("below").alias("b"))
+        less_above, less_below = F.coalesce(F.col("a") < F.col("above"), F.lit(False)), F.coalesce(F.col("b") < F.col("below"), F.lit(False))
+        at = written(at.select("node", "above", "below").join(got, "node", "left").select(
+            "node", F.least("above", "a").alias("above"), F.least("below", "b").alias("below"), less_above.alias("above_new"), less_below.alias("below_new")
+        ), "labels")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node): the cycles, as components of two nodes or more that reach one another.
 
-    Nodes without an edge in or out can't be on a cycle and are trimmed first, again
-    and again.  Then each node learns the least node that reaches it (its colour);
-    a colour's component is what reaches its least node within the colour.  Found
-    components leave, and the rest starts anew.
+    Each node learns the least node that reaches it and the least one that it reaches.  Where they
+    are the same, it is in a cycle with that one (or is it), and so is all of that component.  Nodes of one
+    component agree in both, so only edges between nodes that do are looked at again.
     """
-    links = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
-    parts: list[DataFrame] = []
+    nodes, links = _numbered(edges)
+    every = None
     while not links.isEmpty():
-        size = links.count()
-        while True:
-            links = checkpointed(
-                links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-                .join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            )
-            if links.count() == size:
-                break
-            size = links.count()
-        if size == 0:
-            break
-        colour = checkpointed(links.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            near = links.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
-            step = checkpointed(colour.join(near, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("new"), "colour"))
-            colour = step.select("node", F.col("new").alias("colour"))
-            if step.where("new <> colour").isEmpty():
-                break
-        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
-        inside = links.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst")
-        back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select("node"))
-        part = checkpointed(back.select("node").join(colour, "node").select("node", F.col("colour").alias("component")))
-        parts.append(part)
-        done = part.select("node")
-        links = checkpointed(
-            links.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        )
-    if not parts:
+        at = _least_both_ways(links)
+        part = at.where("above = below").select(F.col("node").alias("id"), F.col("above").alias("first"))
+        every = part if every is None else every.union(part)
+        rest = at.where("above <> below")
+        rows = rest.count()
+        of = lambda end: rest.select(F.col("node").alias(end), "above", "below")  # noqa: B023, E731
+        links = written(_joined(_joined(links, of("src"), rows, "src"), of("dst"), rows, ["dst", "above", "below"]).select("src", "dst"), "links")
+    if every is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    large = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return every.join(large.select("component"), "component", "left_semi").select("node", "component")
+    found = written(every.join(nodes, "id").select("node", "first"), "components")
+    large = written(found.groupBy("first").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("first", "component"), "large")
+    return join_small(found, large, "first").select("node", "component")
 
 
 def dependency_depth(edges: DataFrame, most: int | None = None) -> DataFrame:
