@@ -9,6 +9,7 @@ from loomwork.functions import sqltext
 from loomwork.operators import matching, names, placing, schema, structure
 from loomwork.plans.graph_queries import _FOLLOWED, _followed
 from loomwork.plans.registry import query, table
+from loomwork.storage import written
 
 # Orders as files: each exports its customer's names again from the customer's next order, the last one has
 # the symbols (unless it is pending), and some customers' last order takes them from the first, in a circle.
@@ -37,7 +38,8 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = F.explode(F.array(F.lit("f0"), F.lit("f1"), F.lit("f2")))
     exports = chain.select("path", three.alias("name"), F.lit(None).cast("string").alias("local"), "source", F.lit(None).cast("string").alias("source_name"))
     symbols = chain.where("defines").select("path", three.alias("name"))
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use_id"), F.col("l_orderkey").alias("target"), (F.col("l_linenumber") % 3).alias("k")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use_id"), F.col("l_orderkey").alias("target"), (F.col("l_linenumber") % 3).alias("k"))
+    lines = written(lines.distinct(), "lines")
     user = -F.col("use_id")  # each line is a file of its own that imports from its order
     bindings = lines.select(user.alias("path"), F.lit("x").alias("local"), F.when(F.col("k") == 2, "*").otherwise(F.concat(F.lit("f"), "k")).alias("imported"), "target")
     uses = lines.select("use_id", user.alias("path"), F.when(F.col("k") == 2, F.lit("f2")).otherwise("x").alias("name"), F.when(F.col("k") == 2, "x").alias("object"))
