@@ -40,18 +40,17 @@ def cuts(place: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.nda
     a window apart.  Least is the sum of window - length over all windows and of the
     penalties of the cuts; of equal choices the earlier start wins.
     """
-    where, cost = place.tolist(), penalty.tolist()
+    where, price = place.tolist(), (penalty + window).tolist()
     n = len(where)
-    best, came = [0] * n, [0] * n
-    queue: deque[int] = deque([0])  # ascending places with rising best + place
+    # key: the least cost up to a cut and its place, which is what the windows and cuts up to it cost
+    key, came = [0] * n, [0] * n
+    queue: deque[int] = deque([0])  # ascending places with rising key
     for j in range(1, n):
         while where[j] - where[queue[0]] > window:
             queue.popleft()
-        i = queue[0]
-        best[j] = best[i] + where[i] + window - where[j] + cost[j]
-        came[j] = i
-        key = best[j] + where[j]
-        while queue and best[queue[-1]] + where[queue[-1]] > key:
+        came[j] = i = queue[0]
+        key[j] = at = key[i] + price[j]
+        while queue and key[queue[-1]] > at:
             queue.pop()
         queue.append(j)
     out = [n - 1]
@@ -60,45 +59,46 @@ def cuts(place: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.nda
     return np.array(out[::-1])
 
 
-def candidates(sizes: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a document's cuts after its start, and their penalties.
+def candidates(sizes: np.ndarray, ends: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the cuts in consecutive documents, and their penalties; 0 is the first.
 
-    sizes: tokens of each piece of text; ends: whether a sentence ends with it.
+    sizes: tokens of each piece of text; ends, last: whether a sentence, and a
+    document, ends with it.
     """
-    stop = np.cumsum(sizes)
-    total = int(stop[-1])
-    soft = np.unique(stop[ends])
-    soft = soft[(soft > 0) & (soft < total)]
-    edges = np.r_[0, soft, total]
-    gap = np.diff(edges)
-    hard = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(edges[:-1][gap > 2 * STRIDE], edges[1:][gap > 2 * STRIDE], strict=True)]
-    place = np.concatenate([soft, *hard, [total]]).astype(np.int64)
-    cost = np.concatenate([np.full(len(soft), SENTENCE), *[np.full(len(h), INSIDE) for h in hard], [0]]).astype(np.int64)
+    at = np.flatnonzero(ends & (sizes > 0) | last)
+    place = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[at]])
+    cost = np.concatenate([[0], np.where(last[at], 0, SENTENCE)])
+    long = np.flatnonzero(np.diff(place) > 2 * STRIDE)
+    hard = [np.arange(place[k] + STRIDE, place[k + 1], STRIDE) for k in long]
+    cost = np.concatenate([cost, *[np.full(len(h), INSIDE) for h in hard]])
+    place = np.concatenate([place, *hard])
     order = np.argsort(place, kind="stable")
     return place[order], cost[order]
 
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
-_ENDS = (".", "!", "?", "…", "。", ".”", '."', ".)")
 
 
 def packed_block(block: int, docs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple]:
-    """Rows of one block.  docs: doc_id, ids with the end id, places of cuts in them and their penalties."""
-    starts = np.cumsum([0, *(len(ids) for _, ids, _, _ in docs)])
-    place = np.concatenate([[0], *(at + s for (_, _, at, _), s in zip(docs, starts, strict=False))]).astype(np.int64)
-    penalty = np.concatenate([[0], *(cost for _, _, _, cost in docs)]).astype(np.int64)
-    edges = place[cuts(place, penalty)]
+    """Rows of one block.  docs: doc_id, ids without the end id, tokens of each piece of text and whether a sentence ends with it."""
+    starts = np.cumsum([0, *(len(ids) + 1 for _, ids, _, _ in docs)])
+    raw = np.concatenate([x for _, ids, _, _ in docs for x in (ids, [END])]).astype("<u4").tobytes()
+    sizes = np.concatenate([x for _, _, sizes, _ in docs for x in (sizes, [1])])
+    ends = np.concatenate([x for _, _, _, ends in docs for x in (ends, [True])])
+    last = np.zeros(len(sizes), bool)
+    last[np.cumsum([len(sizes) + 1 for _, _, sizes, _ in docs]) - 1] = True
+    place, penalty = candidates(sizes, ends, last)
+    edges = place[cuts(place, penalty)].tolist()
     rows, w = [], 0
-    for (doc_id, ids, _, _), s in zip(docs, starts, strict=False):
-        e, at = s + len(ids), s
-        raw = ids.astype("<u4").tobytes()
+    for (doc_id, _, _, _), s, e in zip(docs, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        at = s
         while at < e:
             while edges[w + 1] <= at:
                 w += 1
             upto = min(e, edges[w + 1])
             rows.append((
-                doc_id, at - s, upto - at, zlib.crc32(raw[4 * (at - s) : 4 * (upto - s)]), len(ids), block * NUMBERS + w, at - edges[w],
+                doc_id, at - s, upto - at, zlib.crc32(raw[4 * at : 4 * upto]), e - s, block * NUMBERS + w, at - edges[w],
             ))
             at = upto
     return rows
@@ -114,15 +114,11 @@ def _packing(path: str):
                 yield pd.DataFrame(packed_block(block, docs), columns=_COLUMNS)
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                for of, doc_id, (ids, sizes, pieces) in zip(part["block"], part["doc_id"], enc.encode(part["text"]), strict=True):
-                    if of != block:
-                        yield from flushed()
-                        block, docs = of, []
-                    ids, sizes = np.append(ids, np.array([END], enc.dtype)), np.append(sizes, 1)
-                    ends = np.array([p.endswith(_ENDS) for p in pieces] + [True])
-                    docs.append((doc_id, ids, *candidates(sizes, ends)))
+            for of, doc_id, found in zip(batch["block"], batch["doc_id"], enc.encode(batch["text"]), strict=True):
+                if of != block:
+                    yield from flushed()
+                    block, docs = of, []
+                docs.append((doc_id, *found))
         yield from flushed()
 
     return pack

@@ -274,6 +274,40 @@ def test_pieces_met_again_are_remembered(tokenizer, monkeypatch):
     assert learnt.count(" Hund") == learnt.count(" dog") == 1
 
 
+def test_each_distinct_piece_of_a_batch_is_looked_up_once(tokenizer):
+    enc, seen = ids.Encoder(ids.default_tokenizer()), []
+
+    class Counted(type(enc._codes)):
+        def get(self, piece, *other):
+            seen.append(piece)
+            return super().get(piece, *other)
+
+        def __getitem__(self, piece):
+            seen.append(piece)
+            return super().__getitem__(piece)
+
+    enc._codes = Counted()
+    texts = ["El año pasado. The dog runs, " * 400, "the dog's tail. " * 300]
+    for text, got in zip(texts, enc.ids(texts), strict=True):
+        assert tokenizer.encode(text, add_special_tokens=False).ids == got.tolist()
+    assert 8 <= len(seen) < 20
+
+
+def test_pieces_know_their_tokens_and_ends_of_sentences(tokenizer, monkeypatch):
+    rng = np.random.default_rng(10)
+    parts = ["a", " b", "é", "ÿ", "ɏ", "ɐ", "×", "÷", "\x80", "ж", "'s", ".", "!", "…", "。", ".”", " ", "\n", "\t", "\x85", "\x1c", "7"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(6000)] + ["<|endoftext|>. a", "a. b", "a.", "", "b"]
+    for most in (9, 2**22):
+        monkeypatch.setattr(ids, "AT_A_TIME", most, raising=False)
+        for text, (found, sizes, ends) in zip(texts, ids.Encoder(ids.default_tokenizer()).encode(texts), strict=True):
+            assert tokenizer.encode(text, add_special_tokens=False).ids == found.tolist(), repr(text)
+            assert sizes.sum() == len(found) and len(sizes) == len(ends) and ends.dtype == bool
+            for at in np.cumsum(sizes)[ends]:
+                assert tokenizer.decode(found[:at].tolist(), skip_special_tokens=False).endswith(ids.SENTENCE_ENDS), repr(text)
+    _, sizes, ends = next(iter(ids.Encoder(ids.default_tokenizer()).encode(["Él dijo: 3. Y más!"])))
+    assert ends.tolist() == [False, False, True, False, False, True] and len(sizes) == 6
+
+
 def least_cost(place, penalty, window):
     best = {0: 0}
     for j in range(1, len(place)):
