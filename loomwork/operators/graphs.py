@@ -7,10 +7,14 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.sized import BROADCAST_BYTES, join_small
+from loomwork.sized import join_small
 from loomwork.storage import checkpointed, written
 
 PROOFS = 20
+#: Bytes of numbers that a join in rounds sends to every task, at most: a round has four such joins at once, each several times over in the driver.
+ROUND_BYTES = 4 * 2**20
+#: Of more nodes than EARLY_NODES, only labels under about an EARLY_SHARE-th of the ids are sent in the first rounds: most others would be replaced soon.
+EARLY_NODES, EARLY_SHARE, EARLY_ROUNDS = 2**16, 1024, 8
 
 
 def block_edges(edges: DataFrame, block_of: DataFrame, node: str, block: str, proofs: int = PROOFS) -> DataFrame:
@@ -68,11 +72,14 @@ def reachable(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = Non
 
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, id of an edge's ends, and the edges as src, dst of ids.  Ids are in the order of hashes: none runs along a path."""
+    """node, id of an edge's ends, and the edges as src, dst of ids.  Ids are in the order of hashes: none runs along a path.
+
+    An id is the place in a partition, then the partition, so that the least ids come from all partitions.
+    """
     pairs = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ends = ends.repartition("node").sortWithinPartitions(F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("id"))
-    nodes = written(ends, "nodes")
+    ends = ends.repartition("node").sortWithinPartitions(F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("at"))
+    nodes = written(ends.select("node", F.shiftleft("at", 31).bitwiseOR(F.shiftrightunsigned("at", 33)).alias("id")), "nodes")
     of = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
     links = pairs.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
     return nodes, written(links, "links")
@@ -80,14 +87,14 @@ def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _joined(big: DataFrame, small: DataFrame, rows: int, on: str | list[str]) -> DataFrame:
     """big joined with so many rows of numbers: broadcast if they are few."""
-    return big.join(F.broadcast(small) if rows * (24 + 16 * len(small.columns)) <= BROADCAST_BYTES else small, on)
+    return big.join(F.broadcast(small) if rows * (24 + 16 * len(small.columns)) <= ROUND_BYTES else small, on)
 
 
 def _least_both_ways(links: DataFrame) -> DataFrame:
     """node, above, below: the least node that reaches a node and the least one that it reaches, itself included.
 
-    Only labels that got less in the round before are sent on.  Each third round a node also
-    takes the label of its label, so that long ways take few rounds.
+    Only labels that got less and were not sent since are sent on, at first only the least.  Each third round a node
+    also takes the label of its label, so that long ways take few rounds.
     """
     fewer = F.least("src", "dst")
     ends = links.select(F.explode(F.array(
@@ -96,12 +103,20 @@ def _least_both_ways(links: DataFrame) -> DataFrame:
     first = ends.groupBy("node").agg(F.min("above").alias("above"), F.min("below").alias("below"))
     at = written(first.select("node", "above", "below", (F.col("above") < F.col("node")).alias("above_new"), (F.col("below") < F.col("node")).alias("below_new")), "labels")
     none = F.lit(None).cast("long")
+    size, top = at.agg(F.count("*"), F.max("node")).first()
+    most = top // EARLY_SHARE if size > EARLY_NODES else top
     for k in count(2):
-        new = at.agg(F.count_if("above_new"), F.count_if("below_new"), F.count_if(F.col("above") < F.col("node")), F.count_if(F.col("below") < F.col("node"))).first()
+        if k > EARLY_ROUNDS + 1:
+            most = top
+        above_due, below_due = F.col("above_new") & (F.col("above") <= most), F.col("below_new") & (F.col("below") <= most)
+        new = at.agg(F.count_if(above_due), F.count_if(below_due), F.count_if(F.col("above") < F.col("node")), F.count_if(F.col("below") < F.col("node"))).first()
         if new[0] + new[1] == 0:
-            return at.select("node", "above", "below")
-        sent = _joined(links, at.where("above_new").select(F.col("node").alias("src"), "above"), new[0], "src").select(F.col("dst").alias("node"), "above", none.alias("below"))
-        sent = sent.union(_joined(links, at.where("below_new").select(F.col("node").alias("dst"), "below"), new[1], "dst").select(F.col("src").alias("node"), none, "below"))
+            if most == top:
+                return at.select("node", "above", "below")
+            most = top
+            continue
+        sent = _joined(links, at.where(above_due).select(F.col("node").alias("src"), "above"), new[0], "src").select(F.col("dst").alias("node"), "above", none.alias("below"))
+        sent = sent.union(_joined(links, at.where(below_due).select(F.col("node").alias("dst"), "below"), new[1], "dst").select(F.col("src").alias("node"), none, "below"))
         if k % 3 == 0:
             for label, rows, less in (("above", new[2], lambda c: (c, none)), ("below", new[3], lambda c: (none, c))):
                 labelled = at.where(f"{label} < node").select("node", label)
@@ -109,8 +124,9 @@ def _least_both_ways(links: DataFrame) -> DataFrame:
                 sent = sent.union(_joined(labelled, of, rows, label).select("node", *less(F.col("less"))))
         got = sent.groupBy("node").agg(F.min("above").alias("a"), F.min("below").alias("b"))
         less_above, less_below = F.coalesce(F.col("a") < F.col("above"), F.lit(False)), F.coalesce(F.col("b") < F.col("below"), F.lit(False))
-        at = written(at.select("node", "above", "below").join(got, "node", "left").select(
-            "node", F.least("above", "a").alias("above"), F.least("below", "b").alias("below"), less_above.alias("above_new"), less_below.alias("below_new")
+        at = written(at.join(got, "node", "left").select(
+            "node", F.least("above", "a").alias("above"), F.least("below", "b").alias("below"),
+            (less_above | (F.col("above_new") & ~above_due)).alias("above_new"), (less_below | (F.col("below_new") & ~below_due)).alias("below_new"),
         ), "labels")
 
 
@@ -135,7 +151,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
     found = written(every.join(nodes, "id").select("node", "first"), "components")
     large = written(found.groupBy("first").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("first", "component"), "large")
-    return join_small(found, large, "first").select("node", "component")
+    return join_small(found, large, "first", most=ROUND_BYTES).select("node", "component")
 
 
 def dependency_depth(edges: DataFrame, most: int | None = None) -> DataFrame:
